@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import automaton, exact, packing, secrets, tokenstore
 
 QUERIES = {
+    "op1_exact_dedup": exact.op1_exact_dedup,
+    "op2_token_store": tokenstore.op2_token_store,
+    "op6_bpe_automaton": automaton.op6_bpe_automaton,
+    "op7_secret_scan": secrets.op7_secret_scan,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_exact_dedup": exact.OP1_SQL,
+}
