@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import automaton, exact, packing, secrets, tokenstore
+from . import automaton, exact, packing, quality, secrets, tokenstore, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op2_token_store": tokenstore.op2_token_store,
+    "op3_quality_classifier": quality.op3_quality_classifier,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe_automaton": automaton.op6_bpe_automaton,
     "op7_secret_scan": secrets.op7_secret_scan,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
