@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, keyed
+from .common import documents, keyed, pieces
 from .tokens import CACHE_WORDS, PLAIN, VOCAB, WORD, byte_letters
 
 #: Pre-tokenizer pattern of the vocabulary file (fixed value).
@@ -175,7 +175,7 @@ def encode_documents(docs: DataFrame, vocab: str | None = None, id_col: str = "d
 
     def run(batches):
         words = words_of(vocab)
-        for b in batches:
+        for b in pieces(batches):
             ids, shown = [], []
             for text in b.column(1).to_pylist():
                 found = list(map(words.__getitem__, words.split(text)))
@@ -188,7 +188,7 @@ def encode_documents(docs: DataFrame, vocab: str | None = None, id_col: str = "d
 
 def op6_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches):
-        for b in batches:
+        for b in pieces(batches):
             ids, shown = b.column(1).to_pylist(), b.column(2).to_pylist()
             yield pa.record_batch(
                 [b.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha256(x).hexdigest() for x in ids]), pa.array([sha256(x.encode()).hexdigest() for x in shown])],

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keyed, materialise, shuffle_width
+from .common import documents, keyed, materialise, pieces, shuffle_width
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 UPPER_LETTERS, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,7 +61,7 @@ def send(owners: int):
     def run(batches):
         block = TaskContext.get().partitionId()
         ids, shas, prints = [], [], []
-        for b in batches:
+        for b in pieces(batches):
             ids += b.column(0).to_pylist()
             for text in b.column(1).cast(pa.binary()):
                 digest = sha256(text.as_py().translate(LOWER))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, keyed, materialise
+from .common import documents, keyed, materialise, pieces
 from .tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, block int, rank long"
@@ -32,7 +32,7 @@ PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 def cut(capacity: int, end_id: int, vocab: str | None):
     def run(batches):
         block, seen, enc, end = TaskContext.get().partitionId(), Counter(), encoder(vocab), np.array([end_id], "<u4").tobytes()
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = enc.encode(text) + end

@@ -20,7 +20,7 @@ from math import log2
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents, keyed
+from .common import documents, keyed, pieces
 
 #: Fixed patterns; ASCII letters of the keywords in either case.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -107,7 +107,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for b in batches:
+        for b in pieces(batches):
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t)] for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(spans, kind)], ["doc_id", "spans"])
 
@@ -116,7 +116,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(batches):
-        for b in batches:
+        for b in pieces(batches):
             rows = []
             for spans in b.column(1).to_pylist():
                 spans = [(x["kind"], x["start"], x["end"]) for x in spans]

@@ -20,8 +20,8 @@ VOCAB = "word_bpe_49k.json"
 PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\s0-9a-zà-öø-ÿß]+")
 CHUNK = re.compile(r"[^\t\n\r ]+")
-#: Distinct words kept by a worker before its cache starts anew (about 100 MB).
-CACHE_WORDS = 400_000
+#: Distinct words kept by a worker before its cache starts anew (about 50 MB).
+CACHE_WORDS = 250_000
 
 
 def byte_letters() -> dict[int, str]:

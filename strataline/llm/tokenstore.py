@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keyed, shared_dir, shuffle_width
+from .common import documents, keyed, pieces, shared_dir, shuffle_width
 from .tokens import encoder
 
 FRAMES = "doc_id long, part int, n_tokens long, frame binary"
@@ -53,7 +53,7 @@ def train(docs: DataFrame, vocab: str | None, width: int, sample_docs: int, samp
     picked = [r[0] for r in docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()]
 
     def run(batches):
-        for b in batches:
+        for b in pieces(batches):
             yield pa.record_batch([pa.array([np.frombuffer(encoder(vocab).encode(t), "<u4").astype(f"<u{width}").tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["ids"])
 
     rows = docs.where(F.col("doc_id").isin(picked) & (F.length("text") <= sample_chars)).select("text").limit(2 * sample_docs).mapInArrow(run, "ids binary").collect()
@@ -68,7 +68,7 @@ def to_frames(vocab: str | None, end_id: int, width: int, dictionary: bytes, bou
     def run(batches):
         enc, end = encoder(vocab), np.array([end_id], "<u4").tobytes()
         pack = codec(dictionary)[0].compress
-        for b in batches:
+        for b in pieces(batches):
             out = ([], [], [], [])
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.frombuffer(enc.encode(text) + end, "<u4")
@@ -97,7 +97,7 @@ def to_shards(shard_bytes: int, hash_: str):
             }
             return pa.RecordBatch.from_pylist([made], pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in SHARDS.split(", "))]))
 
-        for b in batches:
+        for b in pieces(batches):
             for i, p, n, frame in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if rows and (p != part or size + len(frame) > shard_bytes):
                     made = shard()
@@ -132,7 +132,7 @@ def write_store(docs: DataFrame, path: str, end_id: int = 2, vocab: str | None =
 def opened(width: int, hash_: str, dictionary: bytes, bases: dict[int, int], only: int | None = None):
     def run(batches):
         unpack = codec(dictionary)[1].decompress
-        for b in batches:
+        for b in pieces(batches, 1):
             for s in b.to_pylist():
                 if s["dict_hash"] != hash_:
                     raise ValueError(f"shard needs dictionary {s['dict_hash']}, found {hash_}")
@@ -163,7 +163,7 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_store(documents(spark, sf_dir), f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
 
     def crc(batches):
-        for b in batches:
+        for b in pieces(batches):
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([zlib.crc32(x.as_buffer()) for x in b.column(3)], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return read_store(spark, path).mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
