@@ -28,13 +28,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, keyed, pieces
-from .tokens import CACHE_WORDS, PLAIN, VOCAB, WORD, byte_letters
+from .tokens import PLAIN, VOCAB, WORD, byte_letters
 
 #: Pre-tokenizer pattern of the vocabulary file (fixed value).
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACES = regex.compile(r"\s+")
+#: Distinct words kept by a worker before its cache starts anew (about 50 MB).
+KEPT_WORDS = 150_000
 #: Verdicts kept by a worker before its table starts anew.
-TABLE_ARCS = 2_000_000
+TABLE_ARCS = 400_000
 
 
 class Automaton:
@@ -140,7 +142,7 @@ class Words(dict):
             self[content, True] = (np.array([i], "<u4").tobytes(), content)
 
     def __missing__(self, word: str):
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= KEPT_WORDS:
             kept = {k: v for k, v in self.items() if isinstance(k, tuple)}
             self.clear()
             self.update(kept)
