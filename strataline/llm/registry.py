@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import automaton, exact, nearby, packing, quality, secrets, tokenstore, toxicity
+from . import automaton, exact, hamming, nearby, packing, quality, secrets, tokenstore, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
     "op2_token_store": tokenstore.op2_token_store,
     "op3_quality_classifier": quality.op3_quality_classifier,
+    "op4_topk_hamming": hamming.op4_topk_hamming,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe_automaton": automaton.op6_bpe_automaton,
     "op7_secret_scan": secrets.op7_secret_scan,
@@ -17,4 +18,5 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact.OP1_SQL,
+    "op4_topk_hamming": hamming.OP4_SQL,
 }
