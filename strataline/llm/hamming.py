@@ -2,7 +2,7 @@
 
 Codes are cut into m segments of about log2(rows) bits, and every segment value is indexed. Searches go in
 rounds: round r probes the segment values at distance exactly r, a candidate counts where it is found first
-(so none comes twice), its full distance is computed, and a query ends once its last wanted distance is at
+(so none comes twice), its full distance is held against the query's last wanted distance so far, and a query ends once its last wanted distance is at
 most m * (r + 1) - 1, for a code that near differs in some segment by at most r bits. All of it is DataFrame
 code. Of rows with one code only the k + 1 least ids are indexed, and queries of one code are searched once,
 so a vector that many rows share costs no more than others.
@@ -34,8 +34,8 @@ def sign_code(vector) -> F.Column:
 
 
 def widths(rows: int) -> list[int]:
-    """Segment widths: about log2(rows) bits each."""
-    m = max(1, min(16, round(BITS / max(4.0, log2(max(rows, 2))))))
+    """Segment widths: about log2(rows) bits each, 16 at least."""
+    m = max(1, round(BITS / max(16.0, log2(max(rows, 2)))))
     return [BITS // m + (j < BITS % m) for j in range(m)]
 
 
@@ -54,31 +54,30 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     starts = [sum(cuts[:j]) for j in range(len(cuts))]
     parts = F.array(*(F.lit(j << 40).cast("long").bitwiseOR(segment(F.col("code"), a, w)) for j, (a, w) in enumerate(zip(starts, cuts, strict=True))))
     buckets = materialise(index.select("code", "vec_id", F.explode(parts).alias("key")))
-    active = materialise(queries.select(F.col("code").alias("query")).distinct())
+    active = materialise(queries.select(F.col("code").alias("query")).distinct().withColumn("bound", F.lit(BITS)))
     asked = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(w).alias("width"), segment(F.col("query"), a, w).alias("value")) for j, (a, w) in enumerate(zip(starts, cuts, strict=True))))
     best, done = None, None
     rank = Window.partitionBy("query").orderBy("distance", "vec_id")
     for r in range(max(cuts) + 1):
         masks = [sum(1 << b for b in flips) for flips in combinations(range(max(cuts)), r)]
-        probes = active.select("query", F.explode(asked).alias("s")).select("query", "s.*", F.explode(F.lit(masks).cast("array<bigint>")).alias("mask"))
-        probes = probes.where(F.col("mask") < F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width"))).select("query", "j", F.call_function("shiftleft", F.col("j").cast("long"), F.lit(40)).bitwiseOR(F.col("value").bitwiseXOR(F.col("mask"))).alias("key"))
+        probes = active.select("query", "bound", F.explode(asked).alias("s")).select("query", "bound", "s.*", F.explode(F.lit(masks).cast("array<bigint>")).alias("mask"))
+        probes = probes.where(F.col("mask") < F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width"))).select("query", "bound", "j", F.call_function("shiftleft", F.col("j").cast("long"), F.lit(40)).bitwiseOR(F.col("value").bitwiseXOR(F.col("mask"))).alias("key"))
         gap = F.col("query").bitwiseXOR(F.col("code"))
-        first = F.lit(True)  # no earlier segment is as near, no later one nearer
+        first = F.bit_count(gap) <= F.col("bound")  # and no earlier segment is as near, no later one nearer
         for i, (a, w) in enumerate(zip(starts, cuts, strict=True)):
             d = F.bit_count(segment(gap, a, w))
             first = first & F.when(F.col("j") > i, d > r).when(F.col("j") < i, d >= r).otherwise(True)
         found = probes.join(buckets, "key").where(first).select("query", "vec_id", F.bit_count(gap).alias("distance"))
         both = found if best is None else found.unionByName(best)
         ranked = materialise(both.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= want).drop("n"))
-        near = ranked.groupBy("query").agg(F.max("distance").alias("last"), F.count("*").alias("n"))
-        ready = near.where((F.col("n") >= min(want, held)) & (F.col("last") <= len(cuts) * (r + 1) - 1)).select("query")
-        over = materialise(ready)
+        near = materialise(ranked.groupBy("query").agg(F.max("distance").alias("last"), F.count("*").alias("n")).where(F.col("n") >= min(want, held)).select("query", "last"))
+        over = near.where(F.col("last") <= len(cuts) * (r + 1) - 1).select("query")
         ended = ranked.join(over, "query", "left_semi")
         done = ended if done is None else done.unionByName(ended)
-        active = materialise(active.join(over, "query", "left_anti"))
+        active = materialise(active.join(over, "query", "left_anti").join(near, "query", "left").select("query", F.least("bound", "last").alias("bound")))
         if active.isEmpty():
             break
-        best = ranked.join(active, "query", "left_semi")
+        best = ranked.join(active.select("query"), "query", "left_semi")
     per = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     out = queries.select(F.col("vec_id").alias("query_id"), F.col("code").alias("query")).join(done, "query").where("query_id <> vec_id")
     out = out.select("query_id", F.col("vec_id").alias("neighbor_id"), F.col("distance").cast("int").alias("distance"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import automaton, exact, hamming, nearby, packing, quality, secrets, tokenstore, toxicity
+from . import automaton, exact, hamming, nearby, packing, quality, repeats, secrets, tokenstore, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe_automaton": automaton.op6_bpe_automaton,
     "op7_secret_scan": secrets.op7_secret_scan,
+    "op8_suffix_dedup": repeats.op8_suffix_dedup,
     "op9_minhash_near_dedup": nearby.op9_minhash_near_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
