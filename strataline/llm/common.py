@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..shipping import ship
 
@@ -45,6 +48,22 @@ def pieces(batches, rows: int = 256):
             yield b.slice(at, rows)
 
 
+def mapped_texts(docs: DataFrame, name: str, kind: T.DataType, fn, text_col: str = "text", rows: int = 256) -> DataFrame:
+    """docs with one more column, or a new one in its place: fn of the lists of texts, null ones as empty. All other columns pass through."""
+    ship(docs.sparkSession)
+    inner = "".join(["_", *docs.columns])  # a name that no column has
+    schema = T.StructType([f for f in docs.schema.fields if f.name != name] + [T.StructField(name, kind)])
+    order = docs.columns if name in docs.columns else [*docs.columns, name]
+
+    def run(batches):
+        for b in pieces(batches, rows):
+            made = pa.array(fn(b.column(b.num_columns - 1).to_pylist()), to_arrow_type(kind))
+            keep = [k for k, n in enumerate(b.schema.names[:-1]) if n != name]
+            yield pa.record_batch([*(b.column(k) for k in keep), made], [*(b.schema.names[k] for k in keep), name])
+
+    return docs.withColumn(inner, F.coalesce(docs[text_col], F.lit(""))).mapInArrow(run, schema).select(*(F.col(f"`{c}`") for c in order))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from .common import crc_mod, documents, keyed, pieces
+from .common import crc_mod, documents, keyed, mapped_texts, pieces
 
 WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 BUCKETS, DIM, NONZERO, REACH = 8192, 32, 4, 2
@@ -173,26 +174,27 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, max_labelled: int)
     return docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score of every row of docs; labels: doc_id and quality of the rows to learn from."""
-    docs = keyed(docs, id_col, text_col)
+def with_quality(docs: DataFrame, labels: DataFrame, name: str = "score", max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of docs and the score as column `name`; labels: doc_id and quality of the rows to learn from."""
+    known = keyed(docs, id_col, text_col)
     context = docs.sparkSession.sparkContext
-    vectors = context.broadcast(word_vectors(docs))
+    vectors = context.broadcast(word_vectors(known))
 
     def features(batches):
         for b in pieces(batches):
             x = pooled(b.column(0).to_pylist(), vectors.value)
             yield pa.record_batch([b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
 
-    rows = labelled(docs, labels, "quality", max_labelled).select("text", "label").mapInArrow(features, "label int, x binary").collect()
+    rows = labelled(known, labels, "quality", max_labelled).select("text", "label").mapInArrow(features, "label int, x binary").collect()
     rows = sorted(rows, key=lambda r: (r["label"], bytes(r["x"])))  # the same model whatever order rows come in
-    model = context.broadcast(train(np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), -1), np.array([r["label"] for r in rows], np.float64)))
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), -1)
+    model = context.broadcast(train(x, np.array([r["label"] for r in rows], np.float64)))
+    return mapped_texts(docs, name, DoubleType(), lambda texts: probability(pooled(texts, vectors.value), model.value), text_col)
 
-    def scores(batches):
-        for b in pieces(batches):
-            yield pa.record_batch([b.column(0), pa.array(probability(pooled(b.column(1).to_pylist(), vectors.value), model.value), pa.float64())], ["doc_id", "score"])
 
-    return docs.mapInArrow(scores, "doc_id long, score double")
+def score_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and score of every row of docs."""
+    return with_quality(keyed(docs, id_col, text_col), labels, "score", max_labelled)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
