@@ -125,7 +125,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bodies = texts.groupBy("body").agg(F.first("sha").alias("sha"), F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).groupBy("sha").agg(F.count("*").alias("n_bodies"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
     one = F.when(F.col("n_bodies") == 1, F.col("group_size")).otherwise(F.raise_error("two texts share a SHA-256").cast("long"))
     stay = suspects.groupBy("sha").agg(F.max(F.struct(F.col("doc_id"), (-F.col("rid")).alias("order"))).alias("stay"))
-    classes = bodies.select("sha", one.alias("group_size"), "keep_id").join(stay, "sha")
+    classes = materialise(bodies.select("sha", one.alias("group_size"), "keep_id").join(stay, "sha"))  # so that the next join's sides are plain exchanges, which Spark splits where skewed
     found = suspects.join(classes, "sha").select("doc_id", "keep_id", "group_size", (-F.col("rid") == F.col("stay.order")).alias("kept"), F.col("sha").alias("text_sha256"))
     alone = marked.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     return alone.unionByName(found)
