@@ -4,11 +4,13 @@ A document's set holds the 64-bit hashes of its distinct word shingles; its sket
 of at most K are kept whole. Rows with equal sets form one node. Retained values are ordered by how often they
 occur, rare ones first (a bounded table of the most frequent values decides; any order is lossless), and a node
 is listed under the values of its prefix: two sets similar enough share one, for whole sets by counting, for
-sampled ones within SIGMAS standard deviations of the overlap. Each list first links its members to one pivot;
-then lists that still span several components give the remaining pairs that cross them, members outside the
-pivot's component against all. So a group of many copies costs a few links per member and no link between
-components is lost. Candidates pass a length and a position filter, then the estimate from the union sketch,
-and last the exact comparison of the whole sets, which for sets above K are built again from the texts.
+sampled ones within SIGMAS standard deviations of the overlap. Each list first links its members to one pivot.
+Two members that meet there can share no more than the lesser of their overlaps with the pivot and the lesser
+counts of their values outside it that follow its first one; so of the pairs left, members outside the pivot's
+component against all others, only those that may pass that bound are compared. A group of many copies thus
+costs a few links per member and no link between components is lost. Candidates pass a length and a position
+filter, then the estimate from the union sketch, and last the exact comparison of the whole sets, which for
+sets above K are built again from the texts.
 
 Defined cases: words are runs of anything but ASCII white space, A-Z lower-cased; texts with fewer words than
 a shingle are one shingle; null or empty texts have no set, link with nothing and stay. component_id is the
@@ -97,19 +99,14 @@ def listed(frequent, percent: int):
     """Postings of the prefix: value, node, set size, position."""
 
     def run(batches):
-        values, counts = frequent.value
         for b in pieces(batches):
             out = ([], [], [], [])
             for nid, n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 v = np.frombuffer(s.as_buffer(), np.uint64)
-                seen = np.zeros(len(v), np.int64)
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, v), len(values) - 1)
-                    seen = np.where(values[at] == v, counts[at], 0)
                 keep = n - -(-percent * n // 100) + 1 if 100 * n < percent * K else slack(percent) + 1
                 if n <= K and 100 * n >= percent * K:
                     keep = min(n, max(keep, n - -(-percent * n // 100) + 1))
-                order = np.lexsort((v, seen))[:keep]
+                order = ranked(v, frequent.value)[:keep]
                 out[0].append(v[order].view(np.int64))
                 out[1].append(np.full(len(order), nid))
                 out[2].append(np.full(len(order), n))
@@ -126,22 +123,41 @@ def possible(n1, p1, n2, p2, percent: int):
     return (100 * least >= percent * most) & ((most > K) | ((100 + percent) * room >= percent * (n1 + n2)))
 
 
-def estimate(percent: int):
-    """Both sketches of a pair -> 1 linked, 0 not, 2 to be compared in full."""
+def ranked(values: np.ndarray, frequent) -> np.ndarray:
+    """Places of the values from the rare to the frequent."""
+    known, counts = frequent
+    seen = np.zeros(len(values), np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+        seen = np.where(known[at] == values, counts[at], 0)
+    return np.lexsort((values, seen))
+
+
+def estimate(percent: int, frequent):
+    """Both sketches of a pair -> 1 linked, 0 not, 2 to be compared in full; their overlap; of each the values outside the other that follow the first one inside."""
     low = percent / 100 - SIGMAS * sqrt(percent / 100 * (1 - percent / 100) / K)
 
+    def tail(x: np.ndarray, inside: np.ndarray) -> int:
+        hit = inside[ranked(x, frequent.value)]
+        return int(np.count_nonzero(~hit[np.argmax(hit) :])) if hit.any() else 0
+
     def run(batches):
         for b in pieces(batches):
-            found = []
+            found, common, tails = [], [], ([], [])
             for n1, n2, s1, s2 in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
                 x, y = np.frombuffer(s1.as_buffer(), np.uint64), np.frombuffer(s2.as_buffer(), np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True)
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                inside = y[at] == x
+                both = x[inside]
                 if n1 <= K and n2 <= K:
                     found.append(int(100 * len(both) >= percent * (n1 + n2 - len(both))))
                 else:
                     union = np.union1d(x, y)[:K]
                     found.append(2 if np.count_nonzero(both <= union[-1]) >= low * len(union) else 0)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.int32())], ["a", "b", "verdict"])
+                common.append(len(both))
+                tails[0].append(tail(x, inside))
+                tails[1].append(tail(y, np.isin(y, both, assume_unique=True)))
+            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(c, pa.int32()) for c in (found, common, *tails))], ["a", "b", "verdict", "common", "tail_a", "tail_b"])
 
     return run
 
@@ -163,11 +179,22 @@ def with_both(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "b").join(right, "a").select("a", "b", "n1", "n2", "x", "y")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: by their sketches where those are whole sets, else by their texts."""
-    judged = materialise(with_both(pairs, nodes, "sketch").mapInArrow(estimate(percent), "a long, b long, verdict int").where("verdict > 0"))
-    open_ = judged.where("verdict = 2").select("a", "b")
-    needed = open_.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "node", "doc_id"), "nid")
+def needed(n1, n2, percent: int):
+    """The least overlap of the sketches of similar sets; that of sampled ones within SIGMAS standard deviations."""
+    share = F.least(F.lit(1.0), percent / (100 + percent) * (n1 + n2) / F.greatest(n1, n2))
+    return F.when(F.greatest(n1, n2) <= K, percent * (n1 + n2) / (100 + percent) - 1e-6).otherwise(K * share - SIGMAS * F.sqrt(K * share * (1 - share)) - 1)
+
+
+def judged(pairs: DataFrame, nodes: DataFrame, percent: int, frequent) -> DataFrame:
+    return materialise(with_both(pairs, nodes, "sketch").mapInArrow(estimate(percent, frequent), "a long, b long, verdict int, common int, tail_a int, tail_b int"))
+
+
+def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The similar ones of judged pairs: by their sketches where those are whole sets, else by their texts."""
+    sure, open_ = pairs.where("verdict = 1").select("a", "b"), pairs.where("verdict = 2").select("a", "b")
+    if open_.isEmpty():
+        return sure
+    wanted = open_.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "node", "doc_id"), "nid")
 
     def whole(batches):
         for b in pieces(batches, 64):
@@ -176,10 +203,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, per
             yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["nid", "n", "full"]).filter(pa.array(ok))
 
     texts = docs.where(F.length("text") > K).withColumnRenamed("doc_id", "text_id")
-    sets = texts.join(needed, F.col("text_id").eqNullSafe(F.col("doc_id"))).select("nid", "node", "doc_id", "text").mapInArrow(whole, "nid long, n long, full binary").dropDuplicates(["nid"])
-    if open_.isEmpty():
-        return judged.select("a", "b")
-    return judged.where("verdict = 1").select("a", "b").union(with_both(open_, materialise(sets), "full").mapInArrow(exactly(percent), "a long, b long"))
+    sets = texts.join(wanted, F.col("text_id").eqNullSafe(F.col("doc_id"))).select("nid", "node", "doc_id", "text").mapInArrow(whole, "nid long, n long, full binary").dropDuplicates(["nid"])
+    return sure.union(with_both(open_, materialise(sets), "full").mapInArrow(exactly(percent), "a long, b long"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,18 +248,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     pivots = materialise(postings.groupBy("value").agg(pivot.alias("p"), F.count("*").alias("members")).where("members > 1").select("value", F.col("p.nid").alias("hub"), F.col("p.n").alias("hub_n"), F.col("p.pos").alias("hub_pos")))
     live = materialise(postings.join(pivots, "value"))
     stars = live.where((F.col("nid") != F.col("hub")) & possible(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), percent)).select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b")).distinct()
-    first = materialise(verified(stars, nodes, docs, size, percent))
+    stars = judged(stars, nodes, percent, frequent)
+    first = materialise(linked(stars, nodes, docs, size, percent))
 
+    # What is left: pairs that meet under one pivot and lie in different components, one of them outside the pivot's.
     roots = materialise(components(first))
     at = lambda name: roots.select(F.col("nid").alias(name), F.col("root").alias(f"{name}_root"))
-    placed = live.join(at("nid"), "nid", "left").join(at("hub"), "hub", "left").select("value", "nid", "n", "pos", "hub", F.coalesce("nid_root", "nid").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
+    met = live.where("nid <> hub").groupBy("hub", "nid").agg(F.first("n").alias("n"), F.min("pos").alias("pos"))
+    met = met.withColumns({"a": F.least("nid", "hub"), "b": F.greatest("nid", "hub")}).join(stars.drop("verdict"), ["a", "b"], "left")
+    met = met.select("hub", "nid", "n", "pos", F.coalesce("common", F.lit(K)).alias("common"), F.coalesce(F.when(F.col("nid") == F.col("a"), F.col("tail_a")).otherwise(F.col("tail_b")), F.lit(K)).alias("tail"))
+    placed = met.join(at("nid"), "nid", "left").join(at("hub"), "hub", "left").withColumns({"root": F.coalesce("nid_root", "nid"), "hub_root": F.coalesce("hub_root", "hub")}).drop("nid_root")
+    placed = materialise(placed)
     outside = materialise(placed.where("root <> hub_root"))
-    split = materialise(outside.select("value").distinct())
-    rest = materialise(placed.where("nid <> hub").join(split, "value", "left_semi"))
+    rest = materialise(placed.join(outside.select("hub").distinct(), "hub", "left_semi"))
     x, y = outside.alias("x"), rest.alias("y")
+    room = F.least("x.common", "y.common") + F.least("x.tail", "y.tail")
     cross = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.hub_root")) | (F.col("x.nid") < F.col("y.nid"))) & possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
-    pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & cross).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
-    edges = first.union(verified(materialise(pairs), nodes, docs, size, percent))
+    cross = cross & (room >= needed(F.col("x.n"), F.col("y.n"), percent))
+    pairs = x.join(y, (F.col("x.hub") == F.col("y.hub")) & cross).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+    edges = first.union(linked(judged(pairs, nodes, percent, frequent), nodes, docs, size, percent))
 
     found = components(edges).join(nodes.select("nid", "doc_id"), "nid")
     least = materialise(found.groupBy("root").agg(F.min("doc_id").alias("component_id")))
