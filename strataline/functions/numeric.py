@@ -47,9 +47,15 @@ def percent(score: Column) -> Column:
     return F.round(clamp(F.coalesce(score, F.lit(0.0))) * 100, 2)
 
 
-def weighted(parts: list[tuple[float, Column]]) -> tuple[Column, Column]:
-    """Weighted mean of the parts that are known, and the weight that they cover."""
-    coverage = sum((F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for w, c in parts), F.lit(0.0))
-    total = sum((F.when(c.isNotNull(), c * w).otherwise(0.0) for w, c in parts), F.lit(0.0))
-    whole = F.abs(coverage - 1.0) <= 1e-9
-    return F.when(coverage > 0, clamp(F.when(whole, total).otherwise(F.try_divide(total, coverage)))), coverage
+def coverage_of(parts: list[tuple[float, Column]]) -> Column:
+    """The weight of the parts that are known."""
+    return sum((F.when(c.isNotNull(), F.lit(w)).otherwise(0.0) for w, c in parts), F.lit(0.0))
+
+
+def total_of(parts: list[tuple[float, Column]]) -> Column:
+    return sum((F.when(c.isNotNull(), c * w).otherwise(0.0) for w, c in parts), F.lit(0.0))
+
+
+def mean_of(total: Column, coverage: Column) -> Column:
+    """Weighted mean of the known parts, null where none is known."""
+    return F.when(coverage > 0, clamp(F.when(F.abs(coverage - 1.0) <= 1e-9, total).otherwise(F.try_divide(total, coverage))))

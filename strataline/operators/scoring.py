@@ -12,11 +12,12 @@ from math import isfinite
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clamp, density, number, offset, positive, saturate, weighted
+from ..functions.numeric import clamp, coverage_of, density, mean_of, number, offset, positive, saturate, total_of
+from ..sources.storage import cut
 
 #: Weights of the metrics of each component (fixed values).
 WEIGHTS: dict[str, dict[str, float]] = {
-    "complexity": {"max_cyclomatic": 0.18, "max_cognitive": 0.18, "avg_cyclomatic": 0.07, "avg_cognitive": 0.07, "size": 0.18, "long_conditions": 0.07, "if_else": 0.06, "parameters": 0.06, "fixme": 0.06, "empty_except": 0.04, "coverage_gap": 0.02},
+    "complexity": {"max_cyclomatic": 0.18, "max_cognitive": 0.18, "avg_cyclomatic": 0.07, "avg_cognitive": 0.07, "size": 0.18, "long_conditions": 0.07, "if_else": 0.06, "parameters": 0.07, "fixme": 0.06, "empty_except": 0.04, "coverage_gap": 0.02},
     "history": {"churn_to_size": 0.25, "recent": 0.18, "bug_fix_ratio": 0.18, "complexity_growth": 0.12, "bug_fixes": 0.10, "co_change": 0.10, "contributors": 0.04, "recent_ratio": 0.03},
     "duplication": {"lines": 0.24, "blocks": 0.22, "semantic_blocks": 0.22, "group": 0.12, "candidates": 0.10, "similarity": 0.10},
     "architecture": {"runtime_cycle": 0.18, "cycle": 0.05, "betweenness": 0.15, "dependents": 0.14, "fan_out": 0.30, "fan_in": 0.12, "instability": 0.06},
@@ -84,24 +85,32 @@ def score_files(metrics: DataFrame, weights: Mapping[str, Mapping[str, float]] =
     """
     known = set(metrics.columns)
     unknown = F.lit(None).cast("double")
-    scored, errors, coverages = {}, [], {}
-    for name, columns in parts(lambda c: number(F.col(c)) if c in known else unknown).items():
+    inputs: dict[str, Column] = {}
+
+    def metric(name: str) -> Column:
+        inputs[f"_m_{name}"] = number(F.col(name)) if name in known else unknown
+        return F.col(f"_m_{name}")
+
+    # Each step names its columns, so that no expression is written out more than once.
+    scores, errors, weighed, sums, scored = {}, [], {}, {}, {}
+    for name, columns in parts(metric).items():
         try:
             by = checked(weights[name], columns)
         except ValueError as e:
-            scored[name], coverages[name] = unknown, F.lit(0.0)
+            sums |= {f"{name}_coverage": F.lit(0.0), f"_t_{name}": unknown}
             errors.append(f"{name}_score failed: {e}")
-            continue
-        mean, covered = weighted([(by[k], c) for k, c in columns.items()])
-        scored[name] = F.when(covered >= LEAST_COVERAGE - 1e-12, F.round(mean, 6))
-        coverages[name] = covered
-    out = metrics.withColumns({f"{k}_score": c for k, c in scored.items()} | {f"{k}_coverage": c for k, c in coverages.items()})
+        else:
+            scores |= {f"_p_{name}_{k}": c for k, c in columns.items()}
+            weighed[name] = [(by[k], F.col(f"_p_{name}_{k}")) for k in columns]
+            sums |= {f"{name}_coverage": coverage_of(weighed[name]), f"_t_{name}": total_of(weighed[name])}
+        scored[f"{name}_score"] = F.when(F.col(f"{name}_coverage") >= LEAST_COVERAGE - 1e-12, F.round(mean_of(F.col(f"_t_{name}"), F.col(f"{name}_coverage")), 6))
+    out = metrics.withColumns(inputs).withColumns(scores or {"_none": unknown}).withColumns(sums).withColumns(scored)
     component = {k: F.col(f"{k}_score") for k in COMPONENTS}
     if errors:  # one component that cannot be computed leaves no score
         out = out.withColumns({"base_score": unknown, "bonus": F.lit(0.0), "refactor_score": unknown, "dominant": F.lit(None).cast("string")})
     else:
-        base, _ = weighted([(COMPONENTS[k], c) for k, c in component.items()])
-        out = out.withColumn("base_score", base)
+        by = [(COMPONENTS[k], c) for k, c in component.items()]
+        out = out.withColumns({"_base_total": total_of(by), "_base_cover": coverage_of(by)}).withColumn("base_score", mean_of(F.col("_base_total"), F.col("_base_cover")))
         excess = [F.struct(F.coalesce(DOMINANCE[k] * positive(c - F.col("base_score")), F.lit(0.0)).alias("excess"), F.lit(-n).alias("order"), F.lit(k).alias("name")) for n, (k, c) in enumerate(component.items())]
         out = out.withColumn("top_excess", F.greatest(*excess)).withColumn("bonus", BONUS * F.col("top_excess.excess"))
         out = out.withColumn("dominant", F.when(F.col("bonus") > 0, F.col("top_excess.name"))).withColumn("refactor_score", F.round(clamp(F.col("base_score") + F.col("bonus")), 6)).drop("top_excess")
@@ -112,11 +121,13 @@ def score_files(metrics: DataFrame, weights: Mapping[str, Mapping[str, float]] =
     scale = F.when(raw > 1, F.try_divide(F.lit(1.0), raw)).otherwise(1.0)
     shares = F.array(*(F.struct(F.round(scale * (F.try_divide(COMPONENTS[k] * c, available) + F.when(F.col("dominant") == k, F.col("bonus")).otherwise(0.0)), 6).alias("share"), F.lit(-n).alias("order"), F.lit(k).alias("component")) for n, (k, c) in enumerate(component.items())))
     kept = F.transform(F.sort_array(F.filter(shares, lambda s: s["share"] > 0), asc=False), lambda s: F.struct(s["component"].alias("component"), s["share"].alias("share")))
+    out = out.drop(*(c for c in out.columns if c.startswith(("_m_", "_p_", "_t_", "_base", "_none"))))
     return out.withColumn("contributions", kept).withColumn("decision_errors", F.array(*map(F.lit, errors)).cast("array<string>"))
 
 
 def summarise(scored: DataFrame, path: str = "file_path") -> DataFrame:
     """One row: files evaluated, scored and not, mean and highest score, files in each band, the ten with the highest score."""
+    scored = cut(scored.select(path, "refactor_score", "priority_band"))
     top = scored.where("refactor_score is not null").orderBy(F.desc("refactor_score"), F.asc(path)).limit(TOP)
     listed = top.agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("refactor_score")).alias("order"), F.col(path).alias("file_path")))), lambda s: s["file_path"]).alias("top_candidates"))
     return scored.agg(
