@@ -37,7 +37,7 @@ def between(c: Column, start, before) -> Column:
 def page(df: DataFrame, number: int, limit: int, *order: Column) -> DataFrame:
     """One page in a total order, with the count of all rows."""
     total = df.agg(F.count("*").alias("total_count"))
-    return df.orderBy(*order).offset((number - 1) * limit).limit(limit).crossJoin(total)  # total is one row
+    return df.orderBy(*order).offset((number - 1) * limit).limit(limit).crossJoin(total).orderBy(*order)  # total is one row; the page is sorted anew
 
 
 def by_created(descending: bool, key: str = "scan_id") -> list[Column]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import subprocess
 
 import pandas as pd
@@ -18,9 +19,9 @@ COMMITS = "repo string, hash string, email string, ts timestamp, subject string,
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
     """path (relative to root), source and error of the *.py files below root; files that are no UTF-8 have an error and no source."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.py").load(root)
-    top = F.lit(root.rstrip("/").split(":", 1)[-1].replace("//", "/") + "/")
-    full = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    relative = F.substring_index(full, top, -1)
+    scheme_less = re.sub("^[a-z0-9]+:/*", "/", root.rstrip("/")) + "/"
+    full = F.regexp_replace("path", "^[a-z0-9]+:/*", "/")
+    relative = F.when(full.startswith(scheme_less), F.substring(full, len(scheme_less) + 1, 1 << 30)).otherwise(full)
     text = F.try_validate_utf8(F.col("content").cast("string"))
     out = files.select(canonical(F.regexp_replace(relative, "^/", "")).alias("path"), text.alias("source"))
     return out.where(is_source(F.col("path"))).withColumn("error", F.when(F.col("source").isNull(), "Failed to read file: not UTF-8"))
