@@ -187,7 +187,7 @@ def with_quality(docs: DataFrame, labels: DataFrame, name: str = "score", max_la
 
     rows = labelled(known, labels, "quality", max_labelled).select("text", "label").mapInArrow(features, "label int, x binary").collect()
     rows = sorted(rows, key=lambda r: (r["label"], bytes(r["x"])))  # the same model whatever order rows come in
-    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), 2 * DIM + 1)
     model = context.broadcast(train(x, np.array([r["label"] for r in rows], np.float64)))
     return mapped_texts(docs, name, DoubleType(), lambda texts: probability(pooled(texts, vectors.value), model.value), text_col)
 
