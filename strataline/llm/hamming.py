@@ -67,7 +67,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         for i, (a, w) in enumerate(zip(starts, cuts, strict=True)):
             d = F.bit_count(segment(gap, a, w))
             first = first & F.when(F.col("j") > i, d > r).when(F.col("j") < i, d >= r).otherwise(True)
-        found = probes.join(buckets, "key").where(first).select("query", "vec_id", F.bit_count(gap).alias("distance"))
+        found = probes.join(buckets.hint("merge"), "key")  # never broadcast: how many probes there are, no estimate knows
+        found = found.where(first).select("query", "vec_id", F.bit_count(gap).alias("distance"))
         both = found if best is None else found.unionByName(best)
         ranked = materialise(both.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= want).drop("n"))
         near = materialise(ranked.groupBy("query").agg(F.max("distance").alias("last"), F.count("*").alias("n")).where(F.col("n") >= min(want, held)).select("query", "last"))
