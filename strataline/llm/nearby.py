@@ -32,8 +32,8 @@ from .common import documents, keyed, materialise, pieces
 from .exact import LOWER
 
 K, SIGMAS = 256, 6
-#: Bound of the table of frequent values.
-FREQUENT = 100_000
+#: Bound of the table of frequent values, and bits of the filters that thin rows out before a shuffle.
+FREQUENT, FILTER_BITS = 100_000, 1 << 24
 
 
 def finish(x: np.ndarray) -> np.ndarray:
@@ -172,8 +172,18 @@ def exactly(percent: int):
     return run
 
 
+def thinned(df: DataFrame, column: str, wanted: DataFrame, name: str) -> DataFrame:
+    """Rows of df whose column may be among the values of wanted: all that are, few others. The filter has FILTER_BITS / 64 rows at most, so it can be broadcast."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), (place(c) % 64).cast("int"))
+    bits = materialise(wanted.groupBy(F.floor(place(F.col(name)) / 64).alias("_word")).agg(F.bit_or(bit(F.col(name))).alias("_bits")))
+    near = df.withColumn("_word", F.floor(place(F.col(column)) / 64)).join(F.broadcast(bits), "_word")
+    return near.where(F.col("_bits").bitwiseAND(bit(F.col(column))) != 0).drop("_word", "_bits")
+
+
 def with_both(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
     """a, b, their sizes and their values of the column."""
+    held = thinned(held, "nid", pairs.select(F.explode(F.array("a", "b")).alias("nid")), "nid")
     left = held.select(F.col("nid").alias("b"), F.col("n").alias("n2"), F.col(column).alias("y"))
     right = held.select(F.col("nid").alias("a"), F.col("n").alias("n1"), F.col(column).alias("x"))
     return pairs.join(left, "b").join(right, "a").select("a", "b", "n1", "n2", "x", "y")
@@ -202,7 +212,8 @@ def linked(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, perce
             ok = [digest(s) == d for s, d in zip(sets, b.column(1).to_pylist(), strict=True)]
             yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["nid", "n", "full"]).filter(pa.array(ok))
 
-    texts = docs.where(F.length("text") > K).withColumnRenamed("doc_id", "text_id")
+    wanted = materialise(wanted)
+    texts = thinned(docs.where(F.length("text") > K).withColumnRenamed("doc_id", "text_id"), "text_id", wanted, "doc_id")
     sets = texts.join(wanted, F.col("text_id").eqNullSafe(F.col("doc_id"))).select("nid", "node", "doc_id", "text").mapInArrow(whole, "nid long, n long, full binary").dropDuplicates(["nid"])
     return sure.union(with_both(open_, materialise(sets), "full").mapInArrow(exactly(percent), "a long, b long"))
 
@@ -246,9 +257,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     postings = materialise(nodes.select("nid", "n", "sketch").mapInArrow(listed(frequent, percent), "value long, nid long, n long, pos long"))
     pivot = F.min(F.struct((F.col("pos") / F.col("n")).alias("depth"), "nid", "n", "pos"))  # a member with few rare values
     pivots = materialise(postings.groupBy("value").agg(pivot.alias("p"), F.count("*").alias("members")).where("members > 1").select("value", F.col("p.nid").alias("hub"), F.col("p.n").alias("hub_n"), F.col("p.pos").alias("hub_pos")))
-    live = materialise(postings.join(pivots, "value"))
+    live = materialise(thinned(postings, "value", pivots, "value").join(pivots, "value"))
     stars = live.where((F.col("nid") != F.col("hub")) & possible(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), percent)).select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b")).distinct()
-    stars = judged(stars, nodes, percent, frequent)
+    stars = judged(materialise(stars), nodes, percent, frequent)
     first = materialise(linked(stars, nodes, docs, size, percent))
 
     # What is left: pairs that meet under one pivot and lie in different components, one of them outside the pivot's.
@@ -265,7 +276,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     room = F.least("x.common", "y.common") + F.least("x.tail", "y.tail")
     cross = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.hub_root")) | (F.col("x.nid") < F.col("y.nid"))) & possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
     cross = cross & (room >= needed(F.col("x.n"), F.col("y.n"), percent))
-    pairs = x.join(y, (F.col("x.hub") == F.col("y.hub")) & cross).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+    pairs = materialise(x.join(y, (F.col("x.hub") == F.col("y.hub")) & cross).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct())
     edges = first.union(linked(judged(pairs, nodes, percent, frequent), nodes, docs, size, percent))
 
     found = components(edges).join(nodes.select("nid", "doc_id"), "nid")
