@@ -13,6 +13,14 @@ from pyspark.sql.types import StringType
 from strataline.llm import exact, nearby, packing, quality, secrets
 from strataline.llm.common import documents, mapped_texts, materialise
 
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """The name, made longer until no column of docs has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 #: Rows that score below it for quality go.
 QUALITY_AT_LEAST = 0.3
 ORACLE_SQL = None
@@ -21,23 +29,27 @@ ORACLE_SQL = None
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of sufficient quality, learned from all labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.with_quality(docs, labels, "quality_score").where(F.col("quality_score") >= QUALITY_AT_LEAST).select(*docs.columns)
+    score = fresh(docs, "quality_score")
+    return quality.with_quality(docs, labels, score).where(F.col(score) >= QUALITY_AT_LEAST).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, letters A-Z in either case, the row with the largest doc_id."""
+    row_id, sha, own_sha, kept = (fresh(docs, n) for n in ("flag_id", "flag_sha", "body_sha", "flag_kept"))
     flags = exact.deduplicate(docs).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
-    named = materialise(flags.where("not kept or rows > 1").select(F.col("doc_id").alias("flag_id"), F.col("text_sha256").alias("flag_sha"), "kept"))
+    named = materialise(flags.where("not kept or rows > 1").select(F.col("doc_id").alias(row_id), F.col("text_sha256").alias(sha), F.col("kept").alias(kept)))
     body = F.translate(F.coalesce("text", F.lit("")), exact.UPPER_LETTERS, exact.LOWER_LETTERS)
-    joined = docs.withColumn("body_sha", F.sha2(body.cast("binary"), 256)).join(named, F.col("doc_id").eqNullSafe(F.col("flag_id")) & (F.col("body_sha") == F.col("flag_sha")), "left")
-    alone = joined.where("kept is null").select(*docs.columns)
-    return alone.unionByName(joined.where("kept").dropDuplicates(["flag_id", "flag_sha"]).select(*docs.columns))
+    joined = docs.withColumn(own_sha, F.sha2(body.cast("binary"), 256)).join(named, F.col("doc_id").eqNullSafe(F.col(row_id)) & (F.col(own_sha) == F.col(sha)), "left")
+    alone = joined.where(F.col(kept).isNull()).select(*docs.columns)
+    return alone.unionByName(joined.where(F.col(kept)).dropDuplicates([row_id, sha]).select(*docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: five-word shingles, similarity 0.8 or more."""
-    flags = nearby.near_duplicates(docs, size=5, percent=80).groupBy(F.col("doc_id").alias("flag_id")).agg(F.max("kept").alias("kept"))
-    return docs.join(materialise(flags.where("not kept")), F.col("doc_id").eqNullSafe(F.col("flag_id")), "left_anti").select(*docs.columns)
+    flags = nearby.near_duplicates(docs, size=5, percent=80).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    row_id = fresh(docs, "flag_id")
+    gone = materialise(flags.where("not kept").select(F.col("doc_id").alias(row_id)))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(row_id)), "left_anti").select(*docs.columns)
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
