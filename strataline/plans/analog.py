@@ -38,10 +38,13 @@ items AS (
 
 
 class Tables:
-    """The same tables as lazily made DataFrames."""
+    """The same tables as lazily made DataFrames; whole: where the SQL reads a part of the rows, all of them."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
+        self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
+
+    def some(self, rows: DataFrame, part: str) -> DataFrame:
+        return rows if self.whole else rows.where(part)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -100,7 +103,7 @@ class Tables:
 
     @property
     def items(self) -> DataFrame:
-        return self.read("orders").where("o_orderkey % 10 = 0").selectExpr("o_orderkey item_id", "o_custkey % 20 project_id", "case o_orderstatus when 'F' then 'done' when 'O' then 'in_progress' else 'todo' end status", "cast(o_orderkey % 13 as int) position")
+        return self.some(self.read("orders"), "o_orderkey % 10 = 0").selectExpr("o_orderkey item_id", "o_custkey % 20 project_id", "case o_orderstatus when 'F' then 'done' when 'O' then 'in_progress' else 'todo' end status", "cast(o_orderkey % 13 as int) position")
 
     @property
     def events(self) -> DataFrame:

@@ -99,3 +99,38 @@ def test_streaming_windows(spark, tmp_path):
     q.stop()
     assert [(r["event_type"], r["n"], r["total"]) for r in spark.sql("select * from windows").collect()] == [("a", 2, 3.0)]
     assert windowed_counts(rows).agg(F.sum("n")).first()[0] == 3
+
+
+def test_whole_tables(spark, tmp_path):
+    """Queries named _whole against brute force, on keys that the parts of the SQL leave out."""
+    from strataline.plans import queries
+
+    lines = [(o, p, s, n, "NAR"[(o + p) % 3], (o + p) % 10 / 100, datetime(2020, 1, 1 + n)) for o in (1, 7, 51, 100) for n, (p, s) in enumerate([(3 * o, 2), (o + 5, 9), (o + 10, 13), (2, o + 10), (3 * o, 4), (62, 12)], 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_discount double, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = [(o, 3 + 20 * (o % 3), "FOP"[o % 3]) for o in range(1, 34)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(k,) for k in range(1, 40)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    got = lambda name: sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+
+    path = lambda p: ("" if p % 11 == 0 else f"src/m{p % 7}/") + f"f{p}" + (".JS" if p % 5 == 0 else ".py")
+    files = {(o, o * 1000000 + p): path(p) for o, p, *_ in lines}
+    pairs = sorted((o, a, b, files[o, a], files[o, b]) for o, a in files for q, b in files if o == q and a != b and a % 3 == 0 and b % 4 == 1)
+    assert pairs and got("dependency_graph_whole") == pairs
+    groups: dict = {}
+    for (o, f), name in files.items():
+        groups.setdefault((o, f % 3), []).append(name)
+    assert got("circular_dependencies_whole") == sorted((*k, len(v), "|".join(sorted(v))) for k, v in groups.items())
+    one = min(f for _, f in files if f % 12 == 9)
+    touching = {(b if a == one else a, "outgoing" if a == one else "incoming") for _, a, b, *_ in pairs if one in (a, b)}
+    assert touching and {r[:2] for r in got("file_dependencies_whole")} == touching and {r[0] for r in got("co_changed_files_whole")} == {f for f, _ in touching}
+    layers: dict = {}
+    for o, p, _, _, flag, *_ in lines:
+        layers.setdefault((o, p % 50), set()).add(flag)
+    assert got("file_payloads_whole") == sorted((*k, "|".join(sorted(v)), len(v)) for k, v in layers.items())
+    named = {(o, p % 50) for o, p, *_ in lines}
+    assert got("stored_dependency_edges_whole") == sorted({(o, o * 100 + p % 50, o * 100 + s % 50) for o, p, s, *_ in lines if (o, s % 50) in named and p % 50 != s % 50})
+    assert got("import_prefixes_whole") == sorted({(s, f"a.b{p % 30}.c", f"a.b{p % 30}" if p % 30 < 20 else "a") for _, p, s, *_ in lines})
+    state = {"F": "done", "O": "in_progress", "P": "todo"}
+    items = [(o, c % 20, state[x], o % 13) for o, c, x in orders]
+    want = [(o, p, st, sum((q, x, b, a) < (p, st, pos, o) and (q, x) == (p, st) for a, q, x, b in items)) for o, p, st, pos in items]
+    assert got("refactor_queue_positions_whole") == sorted(want) and got("refactor_queue_next_whole") == [(max(i[3] for i in items if i[2] == "todo") + 1,)]
