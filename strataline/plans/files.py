@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.numeric import percent
 from ..functions.paths import directory, language
@@ -113,9 +114,10 @@ def directory_insight(files: DataFrame, scan_id=None, limit: int = 5, reasons: s
     """Evidence on the folders with most critical and high files: counts, mean score, three best-placed files and, of a column of reason arrays, the three most frequent."""
     band = F.lower(F.coalesce("priority_band", F.lit("unknown")))
     rows = matching(files, scan_id=scan_id).withColumn("path", directory(F.col("file_path"))).withColumn("score", percent(F.col("refactor_score"))).withColumn("band", band)
-    order = F.struct((-F.col("score")).alias("o"), F.col("file_path"))
-    best = F.transform(F.slice(F.sort_array(F.collect_list(order)), 1, 3), lambda s: s["file_path"])
-    out = rows.groupBy("path").agg(F.count_if(F.col("band") == "critical").alias("critical_files"), F.count_if(F.col("band") == "high").alias("high_files"), F.round(F.avg("score"), 2).alias("average_score"), best.alias("top_files"))
+    placed = rows.select("path", "file_path", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), F.asc("file_path"))).alias("n")).where("n <= 3")  # a group limit before the shuffle
+    best = placed.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "file_path"))), lambda s: s["file_path"]).alias("top_files"))
+    counts = rows.groupBy("path").agg(F.count_if(F.col("band") == "critical").alias("critical_files"), F.count_if(F.col("band") == "high").alias("high_files"), F.round(F.avg("score"), 2).alias("average_score"))
+    out = counts.join(best, "path")
     if reasons:
         said = rows.select("path", "file_path", F.posexplode(reasons).alias("n", "reason")).groupBy("path", "reason").agg(F.count("*").alias("c"), F.min(F.struct("file_path", "n")).alias("first"))
         ranked = said.groupBy("path").agg(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("o"), "first", "reason"))).alias("r"))

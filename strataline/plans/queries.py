@@ -198,9 +198,9 @@ def risk_by_directory(t: Tables) -> DataFrame:
 
 @query(f"""WITH rows AS (SELECT {DIRECTORY} AS path, file_path, priority_band, {PERCENT.format("refactor_score")} AS score FROM files WHERE scan_id % 50 = 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, file_path) AS n FROM rows)
 SELECT path, count(*) FILTER (priority_band = 'critical') AS critical_files, count(*) FILTER (priority_band = 'high') AS high_files, round(avg(score), 2) AS average_score, string_agg(file_path, '|' ORDER BY n) FILTER (n <= 3) AS top_files
-FROM ranked GROUP BY path ORDER BY critical_files + high_files DESC, average_score DESC, path LIMIT 5""")
+FROM ranked GROUP BY path ORDER BY critical_files + high_files DESC, average_score DESC, path LIMIT 5""", part=True)
 def directory_insight(t: Tables) -> DataFrame:
-    return fl.directory_insight(t.files.where("scan_id % 50 = 0"))
+    return fl.directory_insight(t.some(t.files, "scan_id % 50 = 0"))
 
 
 @query("""WITH stats AS (SELECT project_id, count(*) AS n, avg(CASE WHEN finished_at >= started_at THEN (epoch_us(finished_at) - epoch_us(started_at)) / 1e6 END) AS seconds FROM scans GROUP BY project_id),

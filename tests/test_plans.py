@@ -1,3 +1,4 @@
+import math
 from datetime import date, datetime
 
 import pytest
@@ -134,3 +135,26 @@ def test_whole_tables(spark, tmp_path):
     items = [(o, c % 20, state[x], o % 13) for o, c, x in orders]
     want = [(o, p, st, sum((q, x, b, a) < (p, st, pos, o) and (q, x) == (p, st) for a, q, x, b in items)) for o, p, st, pos in items]
     assert got("refactor_queue_positions_whole") == sorted(want) and got("refactor_queue_next_whole") == [(max(i[3] for i in items if i[2] == "todo") + 1,)]
+
+
+def test_directory_insight(spark, tmp_path):
+    from strataline.plans import files as fl
+    from strataline.plans import queries
+
+    lines = [(o, p, "NAR"[(o + p) % 3], (o * p) % 11 / 100, datetime(2020, 1, 1)) for o in (1, 7, 51, 100) for p in range(1, 60)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string, l_discount double, l_shipdate timestamp").write.parquet(str(tmp_path / "lineitem.parquet"))
+    groups: dict = {}
+    for o, p, flag, discount, _ in lines:
+        known = flag != "N"
+        score = round(discount * 10, 5) if known else 0.0
+        where = "(root)" if p % 11 == 0 else f"src/m{p % 7}"
+        name = ("" if p % 11 == 0 else f"{where}/") + f"f{p}" + (".JS" if p % 5 == 0 else ".py")
+        groups.setdefault(where, []).append((-round(score * 100, 2), name, known and score >= 0.7, known and 0.55 <= score < 0.7))
+    want = []
+    for where, g in groups.items():
+        want.append((where, sum(x[2] for x in g), sum(x[3] for x in g), math.floor(-sum(x[0] for x in g) / len(g) * 100 + 0.5) / 100, "|".join(x[1] for x in sorted(g)[:3])))
+    want.sort(key=lambda r: (-r[1] - r[2], -r[3], r[0]))
+    assert [tuple(r) for r in queries.QUERIES["directory_insight_whole"](spark, str(tmp_path)).collect()] == want[:5]
+    some = spark.range(9).selectExpr("id file_id", "concat('a/f', id) file_path", "0.1D refactor_score", "'low' priority_band")
+    plan = fl.directory_insight(some)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
