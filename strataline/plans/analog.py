@@ -79,7 +79,8 @@ class Tables:
 
     @property
     def links(self) -> DataFrame:
-        return self.read("lineitem").where("l_orderkey % 500 = 0").selectExpr("l_partkey % 97 src", "l_suppkey % 97 dst", "l_linenumber % 3 <> 0 is_runtime").distinct()
+        src, dst = ("l_partkey src", "l_suppkey dst") if self.whole else ("l_partkey % 97 src", "l_suppkey % 97 dst")
+        return self.some(self.read("lineitem"), "l_orderkey % 500 = 0").selectExpr(src, dst, "l_linenumber % 3 <> 0 is_runtime").distinct()
 
     @property
     def nodes(self) -> DataFrame:

@@ -291,33 +291,33 @@ REACH = "reach AS (WITH RECURSIVE r(src, dst) AS (SELECT src, dst FROM live UNIO
 
 
 @query("""SELECT n.node, coalesce(i, 0) AS fan_in, coalesce(o, 0) AS fan_out, coalesce(round(coalesce(o, 0)::DOUBLE / nullif(coalesce(i, 0) + coalesce(o, 0), 0), 3), 0.0) AS instability_index
-FROM nodes n LEFT JOIN (SELECT dst AS node, count(*) AS i FROM live GROUP BY 1) USING (node) LEFT JOIN (SELECT src AS node, count(*) AS o FROM live GROUP BY 1) USING (node)""")
+FROM nodes n LEFT JOIN (SELECT dst AS node, count(*) AS i FROM live GROUP BY 1) USING (node) LEFT JOIN (SELECT src AS node, count(*) AS o FROM live GROUP BY 1) USING (node)""", part=True)
 def graph_degrees(t: Tables) -> DataFrame:
     return graph.degrees(t.nodes, graph.runtime(t.links))
 
 
-@query("SELECT src, dst FROM every_edge EXCEPT SELECT src, dst FROM live")
+@query("SELECT src, dst FROM every_edge EXCEPT SELECT src, dst FROM live", part=True)
 def graph_type_only_edges(t: Tables) -> DataFrame:
     return graph.type_only(t.links)
 
 
-@query(f"WITH {REACH} SELECT src, dst FROM reach")
+@query(f"WITH {REACH} SELECT src, dst FROM reach", part=True)
 def graph_closure(t: Tables) -> DataFrame:
     return graph.closure(graph.runtime(t.links))
 
 
-@query(f"WITH {REACH} SELECT node, count(src) AS transitive_dependents_count FROM nodes LEFT JOIN reach ON dst = node AND src <> dst GROUP BY node")
+@query(f"WITH {REACH} SELECT node, count(src) AS transitive_dependents_count FROM nodes LEFT JOIN reach ON dst = node AND src <> dst GROUP BY node", part=True)
 def graph_dependents(t: Tables) -> DataFrame:
     return graph.dependents(t.nodes, graph.closure(graph.runtime(t.links)))
 
 
 @query(f"""WITH {REACH}, mutual AS (SELECT a.src AS node, least(min(a.dst), a.src) AS cycle_id, count(*) + 1 AS n FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src)
-SELECT node, cycle_id, coalesce(n, 0) AS circular_dependency_size FROM nodes LEFT JOIN mutual USING (node)""")
+SELECT node, cycle_id, coalesce(n, 0) AS circular_dependency_size FROM nodes LEFT JOIN mutual USING (node)""", part=True)
 def graph_cycles(t: Tables) -> DataFrame:
     return graph.cycles(t.nodes, graph.closure(graph.runtime(t.links)))
 
 
-@query()
+@query(part=True)
 def graph_betweenness(t: Tables) -> DataFrame:
     return graph.betweenness(t.nodes, graph.runtime(t.links))
 

@@ -158,3 +158,49 @@ def test_directory_insight(spark, tmp_path):
     some = spark.range(9).selectExpr("id file_id", "concat('a/f', id) file_path", "0.1D refactor_score", "'low' priority_band")
     plan = fl.directory_insight(some)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_whole_graphs(spark, tmp_path):
+    """On every line, parts and suppliers unmerged: keys and numbers beyond those that the SQL's part keeps apart."""
+    import random
+    from collections import deque
+
+    from strataline.operators import graph
+    from strataline.plans import queries
+
+    rng = random.Random(4)
+    lines = sorted({(rng.randint(1, 40), rng.randint(90, 112), rng.randint(90, 112), rng.randint(1, 6)) for _ in range(60)})
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = lambda name: sorted(tuple(r) for r in queries.QUERIES[name](spark, str(tmp_path)).collect())
+    nodes = sorted({x for _, p, s, _ in lines for x in (p, s)})
+    live, every = {(p, s) for _, p, s, n in lines if n % 3 and p != s}, {(p, s) for _, p, s, _ in lines if p != s}
+    after = {v: sorted(b for a, b in live if a == v) for v in nodes}
+    reach, total = set(), dict.fromkeys(nodes, 0.0)
+    for s in nodes:  # by Brandes
+        depth, count, order, queue = {s: 0}, {s: 1.0}, [], deque([s])
+        while queue:
+            order.append(v := queue.popleft())
+            for w in after[v]:
+                reach.add((s, w))
+                if w not in depth:
+                    depth[w], count[w] = depth[v] + 1, 0.0
+                    queue.append(w)
+                count[w] += count[v] * (depth[w] == depth[v] + 1)
+        share = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in (v for v in order if w in after[v] and depth[w] == depth[v] + 1):
+                share[v] += count[v] / count[w] * (1 + share[w])
+            total[w] += share[w] * (w != s)
+    assert got("graph_type_only_edges_whole") == sorted(every - live) and got("graph_closure_whole") == sorted(reach)
+    assert [r[:3] for r in got("graph_degrees_whole")] == [(v, sum(b == v for _, b in live), len(after[v])) for v in nodes]
+    assert got("graph_dependents_whole") == [(v, sum(b == v != a for a, b in reach)) for v in nodes]
+    mutual = {v: [w for w in nodes if w != v and (v, w) in reach and (w, v) in reach] for v in nodes}
+    assert any(mutual.values()) and got("graph_cycles_whole") == [(v, min(m + [v]) if m else None, len(m) + 1 if m else 0) for v, m in mutual.items()]
+    want, scale = {str(v): total[v] for v in nodes}, (len(nodes) - 1) * (len(nodes) - 2)
+    near = lambda rows: {r["node"] for r in rows} == set(want) and all(abs(r["betweenness_centrality"] - want[r["node"]] / scale) < 2e-6 for r in rows)
+    assert max(want.values()) > 0 and near(queries.QUERIES["graph_betweenness_whole"](spark, str(tmp_path)).collect())
+    one, links = spark.createDataFrame([(v,) for v in nodes], "node long"), spark.createDataFrame(sorted(live), "src long, dst long")
+    both = [d.selectExpr("*", "explode(array('a', 'b')) g") for d in (one, links)]
+    rows = graph.betweenness(*both, graph="g", block=20).collect()  # in three blocks
+    assert near([r for r in rows if r["g"] == "a"]) and near([r for r in rows if r["g"] == "b"]) and len(rows) == 2 * len(nodes)
+    assert {r["betweenness_centrality"] for r in graph.betweenness(one, links.limit(0)).collect()} == {0.0}
