@@ -36,21 +36,34 @@ CACHE_UNITS = 300_000
 SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
 TOKEN = re.compile(r"\S+")
 MARKS = re.compile(r"[\W\d_]+")
+COUNTS = re.compile(r"[\d_]")
 SYMBOLS = 32
 #: Letters to symbols: a-z 1-26, 27 and 28 the start and the end of a unit, accented and other letters by their code.
-SINGLES = re.compile(r"(?:(?<=\s)|^)\W*[^\W\d_]\W*(?:\s+\W*[^\W\d_]\W*){2,}(?=\s|$)")
 
 
 def symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 29 + ord(c) % 3
 
 
+def gapped(words: list[str], bare: list[str]) -> list[str]:
+    """Runs of three or more words of one letter, joined; words of marks alone lie inside a run, digits end it."""
+    out, run, last = [], [], -2
+    for k in [k for k, w in enumerate(bare) if len(w) < 2 and not COUNTS.search(words[k])]:
+        if k != last + 1:
+            if len(run) > 2:
+                out.append("".join(run))
+            run = []
+        last = k
+        if bare[k]:
+            run.append(bare[k])
+    return [*out, "".join(run)] if len(run) > 2 else out
+
+
 def units(text: str) -> list[str]:
     """Words without marks, and rows of single letters joined; cut to windows of LONGEST letters where longer."""
-    text = text.lower()
-    out = [MARKS.sub("", w) if not w.isalpha() else w for w in text.split()]
-    if len(text) < 1 << 20 or "  " in text:
-        out += [MARKS.sub("", m[0]) for m in SINGLES.finditer(text)]
+    words = text.lower().split()
+    out = [MARKS.sub("", w) if not w.isalpha() else w for w in words]
+    out += gapped(words, out)
     return [p for w in out if w for p in ([w] if len(w) <= LONGEST else [w[k : k + LONGEST] for k in range(0, len(w) - LONGEST // 2, LONGEST // 2)])]
 
 

@@ -123,3 +123,18 @@ def test_pipeline_stages(spark, docs, texts, labels, tmp_path):
     empty = held.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_gapped_insults_in_long_texts():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+    long = " ".join(rng.choice(words) for _ in range((1 << 20) // 4))
+    assert len(long) > 1 << 20
+    for text in (f"{long} c l o w n {long}", f"{long} c l o w n  {long}", f"{long}\nc\nl - o\nw\nn!"):
+        assert "clown" in toxicity.units(text)
+    assert "clown" not in toxicity.units(long)
+    single = re.compile(r"(?:(?<=\s)|^)\W*[^\W\d_]\W*(?:\s+\W*[^\W\d_]\W*){2,}(?=\s|$)")
+    for _ in range(3000):
+        text = "".join(rng.choice(("a", "b ", " c ", "é", ".", " - ", " ", "\n", "7", "_", "xy ")) for _ in range(rng.randint(0, 25)))
+        split = text.split()
+        assert toxicity.gapped(split, [toxicity.MARKS.sub("", w) for w in split]) == [toxicity.MARKS.sub("", m[0]) for m in single.finditer(text)], text
