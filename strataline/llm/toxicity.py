@@ -30,8 +30,8 @@ from .quality import labelled
 
 LAMBDA, SPAN, LONGEST = 0.7, 6, 24
 LANDMARKS, ROUNDS, MAX_LABELLED = 128, 3, 3_000
-#: Clean units that the machine learns from at most: half the most frequent, half drawn at random.
-CLEAN_UNITS = 30_000
+#: Units whose features are widened to doubles at once.
+BLOCK_UNITS = 16_384
 CACHE_UNITS = 300_000
 SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
 TOKEN = re.compile(r"\S+")
@@ -128,15 +128,22 @@ def dense(words: list[str]) -> np.ndarray:
     return out
 
 
-def fit_svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 60) -> np.ndarray:
-    """Weights and bias of the squared-hinge machine by Newton steps on the rows inside the margin."""
-    z = np.hstack([z, np.ones((len(z), 1), z.dtype)]).astype(np.float64)
-    u, ridge = np.zeros(z.shape[1]), np.eye(z.shape[1])
+def fit_svm(z: np.ndarray, rows: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, steps: int = 60) -> np.ndarray:
+    """Weights and bias of the squared-hinge machine on rows of z, by Newton steps on those inside the margin, summed over blocks."""
+    u, ridge = np.zeros(z.shape[1] + 1), np.eye(z.shape[1] + 1)
     ridge[-1, -1] = 1e-6
     for _ in range(steps):
-        inside = y * (z @ u) < 1
-        a = z[inside] * (c * weight[inside])[:, None]
-        new = np.linalg.solve(ridge + a.T @ z[inside], a.T @ y[inside])
+        left, right = ridge.copy(), np.zeros(len(u))
+        for at in range(0, len(rows), BLOCK_UNITS):
+            part = slice(at, at + BLOCK_UNITS)
+            x = np.ones((len(rows[part]), len(u)))
+            x[:, :-1] = z[rows[part]]
+            inside = y[part] * (x @ u) < 1
+            x = x[inside]
+            a = x * (c * weight[part][inside])[:, None]
+            left += a.T @ x
+            right += a.T @ y[part][inside]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, u, atol=1e-6):
             break
         u = 0.5 * u + 0.5 * new if _ > 20 else new
@@ -163,21 +170,17 @@ def train(rows: list[tuple[str, int]], seed: int = 5) -> dict:
     root = vec @ np.diag(np.where(lam > 1e-4, np.maximum(lam, 1e-4) ** -0.5, 0)) @ vec.T
 
     twins = {u: disguised(u) for u in marked[: LANDMARKS * 3 // 4]}
-    if len(clean) > CLEAN_UNITS:
-        usual = sorted(clean, key=lambda u: (-seen[0][u], u))
-        clean = sorted([*usual[: CLEAN_UNITS // 2], *(usual[k] for k in CLEAN_UNITS // 2 + rng.permutation(len(usual) - CLEAN_UNITS // 2)[: CLEAN_UNITS // 2])])
     every = sorted({u for sentences, y in docs if y == 1 for s in sentences for u in s} | set(clean) | {v for vs in twins.values() for v in vs})
     place = {u: k for k, u in enumerate(every)}
     z = np.zeros((len(every), len(landmarks)), np.float32)
-    table = np.ascontiguousarray(phi.T)
+    table, narrow = np.ascontiguousarray(phi.T), root.astype(np.float32)
     for part in grouped(every):
         for at in range(0, len(part), 512):
             c, w = codes(part[at : at + 512])
             k = np.zeros((len(c), len(landmarks)), np.float32)
             for t in range(c.shape[1]):
                 k += table[c[:, t]] * w[:, t, None]
-            z[[place[u] for u in part[at : at + 512]]] = k / np.maximum(norms(c, w), 1e-9)[:, None]
-    z = z @ root.astype(np.float32)
+            z[[place[u] for u in part[at : at + 512]]] = (k / np.maximum(norms(c, w), 1e-9)[:, None]).astype(np.float32) @ narrow
     negatives = np.array([place[u] for u in clean])
     score = np.array([odds.get(u, 0.0) - 0.2 * seen[0][u] for u in every])
     sure = np.array([u in odds and seen[1][u] >= 5 and not seen[0][u] and odds[u] >= 0.5 * max(odds.values()) for u in every])
@@ -197,10 +200,10 @@ def train(rows: list[tuple[str, int]], seed: int = 5) -> dict:
         if not len(positives):
             return {"share": float(labels.mean())}
         chosen = np.setdiff1d(negatives, positives)
-        x, y = z[np.r_[positives, chosen]], np.r_[np.ones(len(positives)), -np.ones(len(chosen))]
+        y = np.r_[np.ones(len(positives)), -np.ones(len(chosen))]
         by = np.r_[[times[int(p)] for p in positives], np.array([seen[0][every[k]] for k in chosen]) ** 0.5]
-        u = fit_svm(x, y, by / by.sum() * len(by))
-        score = z @ u[:-1] + u[-1]
+        u = fit_svm(z, np.r_[positives, chosen], y, by / by.sum() * len(by))
+        score = np.concatenate([z[at : at + BLOCK_UNITS] @ u[:-1] for at in range(0, len(z), BLOCK_UNITS)]) + u[-1]
     weights = (phi.T @ (root @ u[:-1])).astype(np.float32)
     by_unit: dict[str, float] = {}
     for part in grouped({x for sentences, _ in docs for s in sentences for x in s}):

@@ -138,3 +138,22 @@ def test_gapped_insults_in_long_texts():
         text = "".join(rng.choice(("a", "b ", " c ", "é", ".", " - ", " ", "\n", "7", "_", "xy ")) for _ in range(rng.randint(0, 25)))
         split = text.split()
         assert toxicity.gapped(split, [toxicity.MARKS.sub("", w) for w in split]) == [toxicity.MARKS.sub("", m[0]) for m in single.finditer(text)], text
+
+
+def test_every_clean_unit_teaches(monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aeinorst") for _ in range(rng.randint(5, 9)))
+    clean = [" ".join(word() for _ in range(400)) for _ in range(100)]
+    rows = [(t, 0) for t in clean] + [(f"{word()} {rng.choice(('stupid', 'clown', 'moron'))} {word()}", 1) for _ in range(60)]
+    assert len({u for t in clean for u in toxicity.units(t)}) > 35_000
+    seen = []
+    fit = toxicity.fit_svm
+    monkeypatch.setattr(toxicity, "fit_svm", lambda z, *a, **b: seen.append(int((a[-2] < 0).sum())) or fit(z, *a, **b))
+    model = toxicity.train(rows)
+    assert min(seen) > 35_000
+    assert toxicity.score_texts(["so clown it"], model)[0] > 0.7 and (toxicity.score_texts(clean, model) < 0.7).mean() > 0.95
+    z = np.random.default_rng(0).normal(size=(300, 6)).astype(np.float32)
+    y, w = np.where(z[:, 0] + 0.3 * z[:, 1] > 0, 1.0, -1.0), np.ones(300)
+    whole = fit(z, np.arange(300), y, w)
+    monkeypatch.setattr(toxicity, "BLOCK_UNITS", 17)
+    assert np.allclose(fit(z, np.arange(300), y, w), whole, atol=1e-4)
