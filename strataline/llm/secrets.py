@@ -4,7 +4,8 @@ Three patterns of known forms (assign, access, hex) and, beside them, an entropy
 maximal runs of token characters; each character class keeps counts over a sliding window, updated by one
 character in and one out, and the windows whose entropy passes the class's threshold are joined to spans of
 kind ``entropy``. Candidates on an allow list (words, hyphenated or dotted words, paths, addresses of web
-pages, rulers of few characters, base spans) are suppressed.
+pages, rulers of few characters, base spans) are suppressed. Without a digit, letters of one case count as words,
+and letters of both where the pieces of their camel case are WORDY letters long in the mean; others are tested.
 
 Null texts are empty; null doc_ids, repeated rows and an empty table go through as they are. Offsets are code
 points with exclusive ends.
@@ -36,8 +37,10 @@ CLASSES = (
     ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), 3.9),
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
-#: Allow list: words, dotted, slashed or hyphenated words, numbers and dates, runs of one character.
-ALLOWED = re.compile(r"[A-Za-z]+|[a-z]+(?:[-_/=+][a-z]+)*|[A-Z][a-z]+(?:[-_/]?[A-Z]?[a-z]+)*|[0-9_+/=-]+|(.)\1+", re.DOTALL)
+#: Allow list: dotted, slashed or hyphenated words of small letters, numbers and dates, runs of one character; and see wordlike.
+ALLOWED = re.compile(r"[a-z]+(?:[-_/=+][a-z]+)*|[0-9_+/=-]+|(.)\1+", re.DOTALL)
+#: Pieces of camel case, and the letters that one has in the mean at least in words (in random letters 2.7).
+PIECE, WORDY = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])"), 3.5
 
 
 @lru_cache(maxsize=1)
@@ -45,12 +48,18 @@ def plogp(window: int = WINDOW) -> tuple[float, ...]:
     return tuple(c / window * log2(c / window) if c else 0.0 for c in range(window + 1))
 
 
+def wordlike(run: str) -> bool:
+    """Whether a run without digits reads as words or none at all: letters of one case, or long pieces of camel case."""
+    pieces = PIECE.findall(run)
+    return run.islower() or run.isupper() or sum(map(len, pieces)) >= WORDY * len(pieces)
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     """Joined windows of high entropy inside candidates that the allow list does not suppress."""
     spans, table = [], plogp()
     for m in CANDIDATE.finditer(text):
         run, at = m[0], m.start()
-        if ALLOWED.fullmatch(run) or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
+        if ALLOWED.fullmatch(run) or not any(c.isalpha() for c in run) or (not any(c.isdigit() for c in run) and wordlike(run)):
             continue
         hits = []
         for _, members, bits in CLASSES:

@@ -157,3 +157,14 @@ def test_every_clean_unit_teaches(monkeypatch):
     whole = fit(z, np.arange(300), y, w)
     monkeypatch.setattr(toxicity, "BLOCK_UNITS", 17)
     assert np.allclose(fit(z, np.arange(300), y, w), whole, atol=1e-4)
+
+
+def test_keys_of_letters():
+    rng = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(300)]
+    found = [secrets.scan(f"key {k} here") for k in keys]
+    assert sum(any(kind == "entropy" for kind, _, _ in f) for f in found) > 270
+    assert secrets.redact("key ZxQpLkVbNmTrWqYsJhGfDc here").startswith("key [SECRET]")
+    for words in ("getHttpResponseCodeFromServer", "AbstractSingletonProxyFactoryBean", "com/example/MyApp/ViewController", "Library/Developer/iOSSupport/README", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT", "well-known_words/and-Other-Names", "thequickbrownfoxjumpsoverthelazydog", "=-=-=-=-=-=-=-=-=-=-=-=-"):
+        assert not secrets.scan(words), words
