@@ -28,12 +28,12 @@ def query(sql: str | None = None, part: bool = False):
     """Register a query of tables, and its SQL, which may use the analog tables.
 
     part: the SQL reads only a part of the rows, which Tables.some picks; the query is registered once more as
-    NAME_whole, on all rows and without SQL.
+    NAME_whole, on all rows and without SQL. A query that has no SQL reads all rows.
     """
 
     def add(fn):
         name = fn.__name__
-        QUERIES[name] = lambda spark, sf_dir: plain(fn(Tables(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: plain(fn(Tables(spark, sf_dir, whole=not sql)))
         QUERIES[name].__doc__ = fn.__doc__
         if part:
             QUERIES[f"{name}_whole"] = lambda spark, sf_dir: plain(fn(Tables(spark, sf_dir, whole=True)))
@@ -317,7 +317,7 @@ def graph_cycles(t: Tables) -> DataFrame:
     return graph.cycles(t.nodes, graph.closure(graph.runtime(t.links)))
 
 
-@query(part=True)
+@query()
 def graph_betweenness(t: Tables) -> DataFrame:
     return graph.betweenness(t.nodes, graph.runtime(t.links))
 

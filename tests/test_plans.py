@@ -198,7 +198,7 @@ def test_whole_graphs(spark, tmp_path):
     assert any(mutual.values()) and got("graph_cycles_whole") == [(v, min(m + [v]) if m else None, len(m) + 1 if m else 0) for v, m in mutual.items()]
     want, scale = {str(v): total[v] for v in nodes}, (len(nodes) - 1) * (len(nodes) - 2)
     near = lambda rows: {r["node"] for r in rows} == set(want) and all(abs(r["betweenness_centrality"] - want[r["node"]] / scale) < 2e-6 for r in rows)
-    assert max(want.values()) > 0 and near(queries.QUERIES["graph_betweenness_whole"](spark, str(tmp_path)).collect())
+    assert max(want.values()) > 0 and near(queries.QUERIES["graph_betweenness"](spark, str(tmp_path)).collect())
     one, links = spark.createDataFrame([(v,) for v in nodes], "node long"), spark.createDataFrame(sorted(live), "src long, dst long")
     both = [d.selectExpr("*", "explode(array('a', 'b')) g") for d in (one, links)]
     rows = graph.betweenness(*both, graph="g", block=20).collect()  # in three blocks
