@@ -3,8 +3,9 @@
 Each task reads its rows once, normalises and hashes the texts, and sends every owner of a fingerprint range
 its sorted distinct fingerprints, Golomb coded. Owners merge what they get and answer with one bitmap for
 each message: the fingerprints seen elsewhere, or twice in the task itself. Rows whose bit is set are
-suspects; only their texts are shuffled and compared byte for byte by grouping on the text itself, which
-collapses copies before the exchange. All other rows are unique.
+suspects. Their ids go to all tasks as a bitmap of bounded size, so that a second reading of the rows shuffles
+only texts of suspects (and of a few ids that share a bit), which are compared byte for byte by grouping on the
+text itself; copies collapse before that exchange. All other rows are unique.
 
 Defined cases: texts are equal when their bytes are after lower-casing A-Z; null counts as empty; of equal
 texts the row with the largest doc_id stays, a null doc_id counting as the smallest; of rows that share
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keyed, materialise, pieces, shuffle_width
+from .common import Tables, documents, keyed, marked_by, pieces, shuffle_width
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 UPPER_LETTERS, LOWER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,16 +61,15 @@ def send(owners: int):
 
     def run(batches):
         block = TaskContext.get().partitionId()
-        ids, shas, prints = [], [], []
+        ids, held = [], bytearray()  # 32 bytes of digest for each row
         for b in pieces(batches):
-            ids += b.column(0).to_pylist()
+            ids.append(b.column(0))
             for text in b.column(1).cast(pa.binary()):
-                digest = sha256(text.as_py().translate(LOWER))
-                shas.append(digest.hexdigest())
-                prints.append(int.from_bytes(digest.digest()[: FINGERPRINT_BITS // 8], "big"))
-        if not ids:
+                held += sha256(text.as_py().translate(LOWER)).digest()
+        if not held:
             return
-        prints = np.array(prints, np.int64)
+        ids = pa.chunked_array(ids)
+        prints = (np.frombuffer(held, ">u8").reshape(-1, 4)[:, 0] >> np.uint64(64 - FINGERPRINT_BITS)).astype(np.int64)
         distinct, back, counts = np.unique(prints, return_inverse=True, return_counts=True)
         owner = distinct // span
         first = np.searchsorted(owner, np.arange(owners + 1))
@@ -77,9 +77,12 @@ def send(owners: int):
         names, types = [x.split()[0] for x in SENT.split(", ")], [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for at in range(0, len(ids), 10_000):
             k = slice(at, at + 10_000)
-            n = len(ids[k])
-            cols = [(block << 33) + np.arange(at, at + n), ids[k], shas[k], np.full(n, block), owner[back[k]], pos[back[k]], [None] * n]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+            own = ids[k].combine_chunks()
+            n = len(own)
+            shas = [held[32 * j : 32 * j + 32].hex() for j in range(at, at + n)]
+            cols = [(block << 33) + np.arange(at, at + n), shas, np.full(n, block), owner[back[k]], pos[back[k]], [None] * n]
+            made = [pa.array(c, t) for c, t in zip(cols, types[:1] + types[2:], strict=True)]
+            yield pa.record_batch([made[0], own, *made[1:]], names)
         for o in np.unique(owner):
             part = slice(first[o], first[o + 1])
             twice = np.packbits(counts[part] > 1).tobytes()  # seen twice in the task itself
@@ -113,19 +116,21 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
     source = keyed(docs, id_col, text_col)
     spark = docs.sparkSession
-    sent = materialise(source.mapInArrow(send(owners or shuffle_width(spark)), SENT))
+    t = Tables(spark)
+    sent = t.write(source.mapInArrow(send(owners or shuffle_width(spark)), SENT))
     rows = sent.where("message is null").drop("message")
     bitmaps = sent.where("message is not null").select("block", "owner", "message").groupBy("owner").applyInArrow(answer, "block int, owner int, bitmap binary")
     byte = F.conv(F.hex(F.expr("substring(bitmap, pos div 8 + 1, 1)")), 16, 10).cast("int")
-    marked = materialise(rows.join(bitmaps, ["block", "owner"]).select("rid", "doc_id", "sha", (byte.bitwiseAND(F.expr("shiftright(128, cast(pos % 8 as int))")) != 0).alias("suspect")))
-    suspects = marked.where("suspect").select("rid", "doc_id", "sha")
+    marked = t.write(rows.join(bitmaps, ["block", "owner"]).select("rid", "doc_id", "sha", (byte.bitwiseAND(F.expr("shiftright(128, cast(pos % 8 as int))")) != 0).alias("suspect")))
+    t.drop(sent)
+    suspects = t.write(marked.where("suspect").select("rid", "doc_id", "sha"))
     held = suspects.select(F.col("doc_id").alias("held_id"), F.col("sha").alias("held_sha")).distinct()
-    texts = source.select("doc_id", F.translate("text", UPPER_LETTERS, LOWER_LETTERS).alias("body"))
+    texts = marked_by(source, "doc_id", suspects, "doc_id", "some").where("some").select("doc_id", F.translate("text", UPPER_LETTERS, LOWER_LETTERS).alias("body"))
     texts = texts.withColumn("sha", F.sha2(F.col("body").cast("binary"), 256)).join(held, F.col("doc_id").eqNullSafe(F.col("held_id")) & (F.col("sha") == F.col("held_sha")), "left_semi")
     bodies = texts.groupBy("body").agg(F.first("sha").alias("sha"), F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).groupBy("sha").agg(F.count("*").alias("n_bodies"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
     one = F.when(F.col("n_bodies") == 1, F.col("group_size")).otherwise(F.raise_error("two texts share a SHA-256").cast("long"))
     stay = suspects.groupBy("sha").agg(F.max(F.struct(F.col("doc_id"), (-F.col("rid")).alias("order"))).alias("stay"))
-    classes = materialise(bodies.select("sha", one.alias("group_size"), "keep_id").join(stay, "sha"))  # so that the next join's sides are plain exchanges, which Spark splits where skewed
+    classes = t.write(bodies.select("sha", one.alias("group_size"), "keep_id").join(stay, "sha"))  # so that the next join's sides are plain exchanges, which Spark splits where skewed
     found = suspects.join(classes, "sha").select("doc_id", "keep_id", "group_size", (-F.col("rid") == F.col("stay.order")).alias("kept"), F.col("sha").alias("text_sha256"))
     alone = marked.where("not suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     return alone.unionByName(found)

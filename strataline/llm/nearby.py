@@ -4,15 +4,22 @@ A document's set holds the 64-bit hashes of its distinct word shingles; its sket
 of at most K are kept whole. Rows with equal sets form one node. Retained values are ordered by how often they
 occur, rare ones first (a bounded table of the most frequent values decides; any order is lossless), and a node
 is listed under the values of its prefix: two sets similar enough share one, for whole sets by counting, for
-sampled ones within SIGMAS standard deviations of the overlap. Each list first links its members to one pivot;
-then lists that still span several components give the remaining pairs that cross them, members outside the
-pivot's component against all. So a group of many copies costs a few links per member and no link between
-components is lost. Candidates pass a length and a position filter, then the estimate from the union sketch,
-and last the exact comparison of the whole sets, which for sets above K are built again from the texts.
+sampled ones within SIGMAS standard deviations of the overlap.
+
+Each list gets a hub, the node that most of its members have lists with, and members are compared with hubs:
+first an estimate from the union of two brief sketches, then the exact comparison of the whole sets, which for
+sets above K are built again from the texts. That links most copies at a cost of a few pairs for each node. What
+is left are pairs of one list in different components. Two members near one hub can be similar only if their
+overlaps with the hub alone would do (a condition on four numbers, joined once for each kind of member), or if
+they share values that the hub lacks, as many as make up for it; prefixes of these values, rare ones first within
+the group, make the lists of the next level, until no list spans two components. Each level takes the hub and its values out of a group, so work follows
+the differences between copies and not the pairs of a group. Members that are not near the hub of their list
+meet the others of the list, under a length and a position filter.
 
 Defined cases: words are runs of anything but ASCII white space, A-Z lower-cased; texts with fewer words than
-a shingle are one shingle; null or empty texts have no set, link with nothing and stay. component_id is the
-least doc_id reachable, null doc_ids aside; rows that share a doc_id are rows of their own.
+a shingle are one shingle; null or empty texts have no set, link with nothing and stay; texts of any length are
+read whole; an empty table gives an empty result. component_id is the least doc_id reachable, null doc_ids
+aside; rows that share a doc_id are rows of their own. Columns other than the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +32,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import documents, keyed, materialise, pieces
+from .common import Tables, documents, keyed, marked_by, pieces
 from .exact import LOWER
 
 K, SIGMAS = 256, 6
+#: Values of a brief sketch, and the share of them that a node has in common with a hub that stands for its group.
+BRIEF, NEAR = 32, 0.3
 #: Bound of the table of frequent values.
 FREQUENT = 100_000
 
@@ -61,8 +71,8 @@ def sketched(size: int):
         for b in pieces(batches):
             sets = [shingles(t.as_py(), size) for t in b.column(1).cast(pa.binary())]
             yield pa.record_batch(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([s[:K].tobytes() for s in sets], pa.binary())],
-                ["doc_id", "n", "node", "sketch"],
+                [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([s[:K].tobytes() for s in sets], pa.binary())],
+                ["doc_id", "tag", "n", "node", "sketch"],
             )
 
     return run
@@ -126,122 +136,259 @@ def possible(n1, p1, n2, p2, percent: int):
     return (100 * least >= percent * most) & ((most > K) | ((100 + percent) * room >= percent * (n1 + n2)))
 
 
-def estimate(percent: int):
-    """Both sketches of a pair -> 1 linked, 0 not, 2 to be compared in full."""
-    low = percent / 100 - SIGMAS * sqrt(percent / 100 * (1 - percent / 100) / K)
+def least_share(percent: int, k: int) -> float:
+    """The share of a union sketch of k values that two similar sets have in common at least."""
+    q = percent / 100
+    return q - SIGMAS * sqrt(q * (1 - q) / k)
+
+
+def estimate(least: float):
+    """The pairs (a, b) whose brief sketches agree in that share of their union sketch, or more."""
 
     def run(batches):
         for b in pieces(batches):
-            found = []
-            for n1, n2, s1, s2 in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
-                x, y = np.frombuffer(s1.as_buffer(), np.uint64), np.frombuffer(s2.as_buffer(), np.uint64)
-                both = np.intersect1d(x, y, assume_unique=True)
-                if n1 <= K and n2 <= K:
-                    found.append(int(100 * len(both) >= percent * (n1 + n2 - len(both))))
-                else:
-                    union = np.union1d(x, y)[:K]
-                    found.append(2 if np.count_nonzero(both <= union[-1]) >= low * len(union) else 0)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.int32())], ["a", "b", "verdict"])
+            keep = []
+            for x, y in zip(b.column(4), b.column(5), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                union = np.union1d(x, y)[:BRIEF]
+                keep.append(np.count_nonzero(np.intersect1d(x, y, assume_unique=True) <= union[-1]) >= least * len(union))
+            yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def exactly(percent: int):
-    def run(batches):
-        for b in pieces(batches, 32):
-            both = np.array([len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)) for x, y in zip(b.column(4), b.column(5), strict=True)], np.int64)
-            n = b.column(2).to_numpy() + b.column(3).to_numpy()
-            yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(100 * both >= percent * (n - both)))
-
-    return run
+def compared(batches):
+    """a, b, their sizes, how much the whole sets share, and the values of a that b lacks."""
+    for b in pieces(batches, 32):
+        both, own = [], []
+        for x, y in zip(b.column(4), b.column(5), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            there = y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+            both.append(np.count_nonzero(there))
+            own.append(x[~there].tobytes())
+        yield pa.record_batch([*(b.column(k) for k in range(4)), pa.array(both, pa.int64()), pa.array(own, pa.binary())], ["a", "b", "n1", "n2", "both", "own"])
 
 
 def with_both(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
     """a, b, their sizes and their values of the column."""
-    left = held.select(F.col("nid").alias("b"), F.col("n").alias("n2"), F.col(column).alias("y"))
-    right = held.select(F.col("nid").alias("a"), F.col("n").alias("n1"), F.col(column).alias("x"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "n1", "n2", "x", "y")
+    right = held.select(F.col("nid").alias("b"), F.col("n").alias("n2"), F.col(column).alias("y"))
+    left = held.select(F.col("nid").alias("a"), F.col("n").alias("n1"), F.col(column).alias("x"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n1", "n2", "x", "y")
+
+
+def alike(percent: int, both="both", n1="n1", n2="n2"):
+    return 100 * F.col(both) >= percent * (F.col(n1) + F.col(n2) - F.col(both))
+
+
+class Verifier:
+    """Pairs of nodes, by their brief sketches and then by their whole sets, which for sets above K come from the texts."""
 
+    def __init__(self, t: Tables, docs: DataFrame, nodes: DataFrame, size: int):
+        self.t, self.docs, self.nodes, self.size = t, docs, nodes, size
+        self.brief = t.write(nodes.select("nid", "n", F.substring("sketch", 1, 8 * BRIEF).alias("sketch")))
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar: by their sketches where those are whole sets, else by their texts."""
-    judged = materialise(with_both(pairs, nodes, "sketch").mapInArrow(estimate(percent), "a long, b long, verdict int").where("verdict > 0"))
-    open_ = judged.where("verdict = 2").select("a", "b")
-    needed = open_.select(F.explode(F.array("a", "b")).alias("nid")).distinct().join(nodes.select("nid", "node", "doc_id"), "nid")
+    def near(self, pairs: DataFrame, least: float) -> DataFrame:
+        return self.t.write(with_both(pairs, self.brief, "sketch").mapInArrow(estimate(least), "a long, b long"))
 
-    def whole(batches):
-        for b in pieces(batches, 64):
-            sets = [shingles(t.as_py(), size) for t in b.column(3).cast(pa.binary())]
-            ok = [digest(s) == d for s, d in zip(sets, b.column(1).to_pylist(), strict=True)]
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["nid", "n", "full"]).filter(pa.array(ok))
+    def whole(self, pairs: DataFrame) -> DataFrame:
+        """nid, n and the whole set of each node on a pair."""
+        size, t = self.size, self.t
+        ids = t.write(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct())
+        some = marked_by(self.nodes, "nid", ids, "nid", "some").where("some").drop("some").join(ids, "nid", "left_semi")
+        needed = t.write(some.select("nid", "n", "node", "rep_id", "rep_tag", F.when(F.col("n") <= K, F.col("sketch")).alias("sketch")))
+        large = needed.where("sketch is null").select("nid", "node", "rep_id", "rep_tag")
 
-    texts = docs.where(F.length("text") > K).withColumnRenamed("doc_id", "text_id")
-    sets = texts.join(needed, F.col("text_id").eqNullSafe(F.col("doc_id"))).select("nid", "node", "doc_id", "text").mapInArrow(whole, "nid long, n long, full binary").dropDuplicates(["nid"])
-    if open_.isEmpty():
-        return judged.select("a", "b")
-    return judged.where("verdict = 1").select("a", "b").union(with_both(open_, materialise(sets), "full").mapInArrow(exactly(percent), "a long, b long"))
+        def built(batches):
+            for b in pieces(batches, 64):
+                sets = [shingles(x.as_py(), size) for x in b.column(2).cast(pa.binary())]
+                ok = [digest(s) == d for s, d in zip(sets, b.column(1).to_pylist(), strict=True)]
+                yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["nid", "n", "whole"]).filter(pa.array(ok))
 
+        texts = marked_by(self.docs, "tag", large, "rep_tag", "some").where("some").drop("some")
+        held = texts.join(large, (F.col("tag") == F.col("rep_tag")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("nid", "node", "text")
+        made = held.groupBy("nid", "node").agg(F.first("text").alias("text")).mapInArrow(built, "nid long, n long, whole binary")
+        out = t.write(needed.where("sketch is not null").select("nid", "n", F.col("sketch").alias("whole")).union(made))
+        t.drop(ids, needed)
+        return out
 
-def components(edges: DataFrame) -> DataFrame:
-    """nid and root (the least nid reachable) of every node on an edge, by alternating large and small stars."""
+    def compare(self, pairs: DataFrame, own: bool = False) -> DataFrame:
+        """a, b, n1, n2, both and, if asked for, own."""
+        sets = self.whole(pairs)
+        done = with_both(pairs, sets, "whole").mapInArrow(compared, "a long, b long, n1 long, n2 long, both long, own binary")
+        out = self.t.write(done if own else done.drop("own"))
+        self.t.drop(sets)
+        return out
+
+
+def ordered(x: str, y: str, names: str = "ab") -> list:
+    return [F.least(x, y).alias(names[0]), F.greatest(x, y).alias(names[1])]
+
+
+def components(t: Tables, edges: DataFrame) -> DataFrame:
+    """nid and root (the least nid reachable) of every node on an edge (a, b), by alternating large and small stars."""
 
     def stars(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
         near = both.union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = materialise(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         out = near.join(least, "u")
         if large:
             out = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = out.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
-        return out.where("a <> b").distinct()
-
-    def mark(pairs: DataFrame):
-        return pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    now, before = materialise(edges.where("a <> b").distinct()), None
-    while (seen := mark(now)) != before:
-        before = seen
-        now = materialise(stars(stars(now, True), False))
-    return now.select(F.col("a").alias("nid"), F.col("b").alias("root")).union(now.select(F.col("b").alias("nid"), F.col("b").alias("root")).distinct())
+        return t.write(out.where("a <> b").distinct())
+
+    def settled(pairs: DataFrame) -> bool:
+        """Whether each node points to one root and no root to another node."""
+        n, d = pairs.agg(F.count("*"), F.count_distinct("a")).first()
+        return n == d and pairs.join(pairs.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+
+    now = t.write(edges.where("a <> b").select(*ordered("b", "a", "ba")).distinct())
+    while not settled(now):
+        half = stars(now, True)
+        new = stars(half, False)
+        t.drop(now, half)
+        now = new
+    out = t.write(now.select(F.col("a").alias("nid"), F.col("b").alias("root")).union(now.select(F.col("b").alias("nid"), F.col("b").alias("root")).distinct()))
+    t.drop(now)
+    return out
+
+
+def hubs_of(t: Tables, lists: DataFrame) -> DataFrame:
+    """lists (group, value, nid, n, pos) of two members or more, with a hub for each list.
+
+    A list first points to a member with few rare values; a node's home is the one that most of its lists point
+    to; the list's hub is the home of most of its members, which is a member of the group, though not of each list.
+    """
+    key = ["group", "value"]
+    deep = F.struct((F.col("pos") / F.col("n")).alias("depth"), "nid")
+    first = lists.groupBy(*key).agg(F.min(deep).alias("p"), F.count("*").alias("members")).where("members > 1").select(*key, F.col("p.nid").alias("hub"))
+    live = t.write(lists.join(first, key))
+    homes = live.groupBy("group", "nid", "hub").agg(F.count("*").alias("c")).groupBy("group", "nid").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("home"))
+    at_home = t.write(live.drop("hub").join(homes, ["group", "nid"]))
+    hubs = at_home.groupBy(*key, "home").agg(F.count("*").alias("c")).groupBy(*key).agg(F.max_by("home", F.struct("c", -F.col("home"))).alias("hub"))
+    out = t.write(at_home.drop("home").join(hubs, key))
+    t.drop(live, at_home)
+    return out
+
+
+def spread(batches):
+    """group, nid, n and own, first -> a row for each value."""
+    for b in pieces(batches):
+        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column(4)]
+        times = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+        columns = [b.column(k).take(times) for k in range(4)]
+        yield pa.record_batch([*columns, pa.array(np.concatenate(sets) if sets else [], pa.int64())], ["outer", "group", "nid", "n", "value"])
+
+
+def rooted(df: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        df = df.join(roots.select(F.col("nid").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(f"{c}_root", F.coalesce(f"{c}_root", c))
+    return df
+
+
+def linked(t: Tables, lists: DataFrame, verifier: Verifier, percent: int) -> DataFrame:
+    """nid and root of all nodes on a link between nodes that share a list (group, value, nid, n, pos). See the module's text."""
+    roots = t.write(verifier.brief.where("false").select("nid", F.col("nid").alias("root")))
+    before = None  # the values, group by group, that no hub above holds
+
+    def added(found: DataFrame) -> DataFrame:
+        new = found.where(alike(percent)).select("a", "b")
+        if new.isEmpty():
+            return roots
+        both = components(t, new.union(roots.select(F.col("nid").alias("a"), F.col("root").alias("b"))))
+        t.drop(roots)
+        return both
+
+    while not lists.isEmpty():
+        live = hubs_of(t, lists)
+        t.drop(lists)
+        # Hubs and the members that may be near them.
+        at_hub = live.where("nid = hub").select("group", "value", F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
+        ahead = live.where("nid <> hub").join(at_hub, ["group", "value"], "left")
+        meets = F.coalesce(possible(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), percent), F.lit(False))
+        asked = ahead.groupBy(F.col("nid").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("c"), F.max(meets).alias("meets")).where("meets or c > 1").select("a", "b")
+        close = verifier.near(asked, min(NEAR, least_share(percent, BRIEF)))
+        near = verifier.compare(close, own=True)
+        roots = added(near)
+
+        # Members that are not near the hub of a list meet all others of the list.
+        beside = near.select(F.col("a").alias("nid"), F.col("b").alias("hub"), F.lit(True).alias("close"))
+        others = t.write(rooted(live.where("nid <> hub").join(beside, ["nid", "hub"], "left"), roots, "nid"))
+        x, y = others.where("close is null").alias("x"), others.alias("y")
+        apart = (F.col("x.nid_root") != F.col("y.nid_root")) & (F.col("y.close") | (F.col("x.nid") < F.col("y.nid")))
+        fits = possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
+        same_list = (F.col("x.group") == F.col("y.group")) & (F.col("x.value") == F.col("y.value"))
+        strangers = x.join(y, same_list & F.coalesce(apart, F.lit(False)) & fits).select(*ordered("x.nid", "y.nid"))
+
+        # Members near one hub: those that may be similar without a common value beyond the hubs meet now, others in lists of such values.
+        asides = near.select(F.col("a").alias("nid"), F.col("b").alias("hub"), "n1", "own")
+        around = rooted(live.select("group", "hub", "nid").distinct().join(asides, ["hub", "nid"]), roots, "hub", "nid")
+        around = around.select(F.col("group").alias("outer"), F.xxhash64("group", "hub").alias("group"), "nid", F.col("n1").alias("n"), "own", F.col("nid_root").alias("root"), (F.col("nid_root") == F.col("hub_root")).alias("main"))
+        mixed = around.groupBy("group").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("group")
+        around = t.write(around.join(mixed, "group", "left_semi"))
+        values = around.select("outer", "group", "nid", "n", "own").mapInArrow(spread, "outer long, group long, nid long, n long, value long")
+        if before is not None:
+            values = values.join(before.select(F.col("group").alias("outer"), "nid", "value"), ["outer", "nid", "value"], "left_semi")
+        values = t.write(values.select("group", "value", "nid", "n"))
+        beyond = values.groupBy("group", "nid").agg(F.count("*").alias("beyond"))
+        members = t.write(around.join(beyond, ["group", "nid"], "left").select("group", "nid", "n", "root", "main", (F.col("n") - F.coalesce("beyond", F.lit(0))).alias("inside")))
+        kinds = t.write(members.groupBy("group", "n", "inside", "main").agg(F.count("*").alias("c")))
+        u, v = kinds.where("not main").alias("u"), kinds.alias("v")
+        enough = (100 + percent) * F.least("u.inside", "v.inside") >= percent * (F.col("u.n") + F.col("v.n"))
+        some = u.join(v, (F.col("u.group") == F.col("v.group")) & enough).select("u.group", *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "uv" for c in ("n", "inside", "main")))
+        of = lambda s: members.select("group", *(F.col(c).alias(f"{s}_{c}") for c in ("nid", "root", "n", "inside", "main")))
+        for s in "uv":
+            some = some.join(of(s), ["group", f"{s}_n", f"{s}_inside", f"{s}_main"])
+        nested = some.where("u_root <> v_root").select(*ordered("u_nid", "v_nid"))
+
+        pairs = t.write(strangers.union(nested).distinct())
+        if not pairs.isEmpty():
+            likely = verifier.near(pairs, least_share(percent, BRIEF))
+            more = verifier.compare(likely)
+            roots = added(more)
+            t.drop(likely, more)
+        # The next lists: of each member's values that the hubs lack, rare ones first, as many as must hold one that a similar member shares.
+        smallest = members.groupBy("group").agg(F.min("n").alias("least"))
+        wanted = members.join(smallest, "group").withColumn("least", F.greatest("least", F.ceil(percent * F.col("n") / 100)))
+        need = F.ceil(percent * (F.col("n") + F.col("least")) / (100 + percent)) - F.col("inside")
+        wanted = wanted.select("group", "nid", (F.col("n") - F.col("inside") - F.greatest(need, F.lit(1)) + 1).alias("keep"))
+        often_in = values.groupBy("group", "value").agg(F.count("*").alias("times"))
+        rank = F.row_number().over(Window.partitionBy("group", "nid").orderBy("times", "value"))
+        heads = values.join(often_in, ["group", "value"]).withColumn("pos", rank).join(wanted, ["group", "nid"]).where("pos <= keep and times > 1")
+        heads = t.write(heads.select("group", "value", "nid", "n", (F.col("pos") - 1).cast("long").alias("pos")))
+        open_ = rooted(heads, roots, "nid").groupBy("group", "value").agg(F.min("nid_root").alias("r"), F.max("nid_root").alias("s")).where("r <> s").select("group", "value")
+        lists = t.write(heads.join(open_, ["group", "value"], "left_semi"))
+        t.drop(live, close, near, others, around, members, kinds, pairs, heads, *([before] if before else []))
+        before = values
+    t.drop(lists, *([before] if before else []))
+    return roots
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    docs = keyed(docs, id_col, text_col)
-    context = docs.sparkSession.sparkContext
-    rows = materialise(docs.mapInArrow(sketched(size), "doc_id long, n long, node binary, sketch binary"))
-    nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"))
-    nodes = materialise(nodes.withColumn("nid", F.monotonically_increasing_id()))
+    docs = keyed(docs, id_col, text_col).withColumn("tag", F.xxhash64("text"))
+    context, t = docs.sparkSession.sparkContext, Tables(docs.sparkSession)
+    rows = t.write(docs.mapInArrow(sketched(size), "doc_id long, tag long, n long, node binary, sketch binary"))
+    nodes = rows.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("doc_id").alias("doc_id"), F.min(F.struct("tag", "doc_id")).alias("rep"))
+    nodes = t.write(nodes.select(F.monotonically_increasing_id().alias("nid"), "n", "node", "sketch", "doc_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.tag").alias("rep_tag")))
+    light = t.write(rows.select("doc_id", "n", "node"))
+    t.drop(rows)
     top = nodes.select("sketch").mapInArrow(often, "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).where("n >= 8").orderBy(F.desc("n"), "value").limit(FREQUENT).collect()
     values = np.array([r["value"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(values)
     frequent = context.broadcast((values[order], np.array([r["n"] for r in top], np.int64)[order]))
-
-    postings = materialise(nodes.select("nid", "n", "sketch").mapInArrow(listed(frequent, percent), "value long, nid long, n long, pos long"))
-    pivot = F.min(F.struct((F.col("pos") / F.col("n")).alias("depth"), "nid", "n", "pos"))  # a member with few rare values
-    pivots = materialise(postings.groupBy("value").agg(pivot.alias("p"), F.count("*").alias("members")).where("members > 1").select("value", F.col("p.nid").alias("hub"), F.col("p.n").alias("hub_n"), F.col("p.pos").alias("hub_pos")))
-    live = materialise(postings.join(pivots, "value"))
-    stars = live.where((F.col("nid") != F.col("hub")) & possible(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), percent)).select(F.least("nid", "hub").alias("a"), F.greatest("nid", "hub").alias("b")).distinct()
-    first = materialise(verified(stars, nodes, docs, size, percent))
-
-    roots = materialise(components(first))
-    at = lambda name: roots.select(F.col("nid").alias(name), F.col("root").alias(f"{name}_root"))
-    placed = live.join(at("nid"), "nid", "left").join(at("hub"), "hub", "left").select("value", "nid", "n", "pos", "hub", F.coalesce("nid_root", "nid").alias("root"), F.coalesce("hub_root", "hub").alias("hub_root"))
-    outside = materialise(placed.where("root <> hub_root"))
-    split = materialise(outside.select("value").distinct())
-    rest = materialise(placed.where("nid <> hub").join(split, "value", "left_semi"))
-    x, y = outside.alias("x"), rest.alias("y")
-    cross = (F.col("x.root") != F.col("y.root")) & ((F.col("y.root") == F.col("y.hub_root")) | (F.col("x.nid") < F.col("y.nid"))) & possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
-    pairs = x.join(y, (F.col("x.value") == F.col("y.value")) & cross).select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
-    edges = first.union(verified(materialise(pairs), nodes, docs, size, percent))
-
-    found = components(edges).join(nodes.select("nid", "doc_id"), "nid")
-    least = materialise(found.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    reached = materialise(found.join(least, "root").select("nid", "component_id"))
-    classes = materialise(nodes.select("node", "nid", "doc_id").join(reached, "nid", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")))
-    whole = rows.where("n > 0").select("doc_id", "n", "node").join(classes, "node").select("doc_id", "n", "component_id")
-    out = whole.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    postings = nodes.select("nid", "n", "sketch").mapInArrow(listed(frequent, percent), "value long, nid long, n long, pos long")
+    lists = t.write(postings.select(F.lit(0).cast("long").alias("group"), "value", "nid", "n", "pos"))
+    verifier = Verifier(t, docs, nodes, size)
+    roots = linked(t, lists, verifier, percent)
+    found = roots.join(nodes.select("nid", "doc_id"), "nid")
+    least = t.write(found.groupBy("root").agg(F.min("doc_id").alias("component_id")))
+    reached = t.write(found.join(least, "root").select("nid", "component_id"))
+    classes = t.write(nodes.select("node", "nid", "doc_id").join(reached, "nid", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")))
+    t.drop(nodes, verifier.brief, roots, least, reached)
+    whole = light.where("n > 0").join(classes, "node").select("doc_id", "n", "component_id")
+    out = whole.union(light.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -5,6 +5,7 @@ from hashlib import sha256
 import numpy as np
 
 from strataline.llm import exact, nearby, repeats
+from strataline.llm.common import Tables
 from strataline.llm.exact import LOWER
 
 
@@ -84,7 +85,7 @@ def test_near_groups_of_many_variants(spark, words):
 
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 12)] + [(100, 101), (103, 101), (5, 50)]
-    got = {r["nid"]: r["root"] for r in nearby.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["nid"]: r["root"] for r in nearby.components(Tables(spark), spark.createDataFrame(edges, "a long, b long")).collect()}
     assert set(got) == {*range(13), 50, 100, 101, 103} and {got[k] for k in (*range(13), 50)} == {0} and {got[k] for k in (100, 101, 103)} == {100}
 
 
