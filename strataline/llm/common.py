@@ -61,7 +61,8 @@ def marked_by(df: DataFrame, column: str, keys: DataFrame, key: str, name: str,
     bits = min(most_bits, max(1 << 20, 1 << (16 * keys.count()).bit_length()))
     own = "".join(["_", *df.columns])  # no column's name
     page = 1 << 15  # bits of a bitmap that Spark builds
-    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    kind = keys.schema[key].dataType
+    hashed = lambda c: F.pmod(F.xxhash64(c.cast(kind)), F.lit(bits))
     maps = keys.select(hashed(keys[key]).alias("h")).groupBy(F.floor(F.col("h") / page).alias(f"{own}page")).agg(F.bitmap_construct_agg(F.col("h") % page).alias(f"{own}map"))
     placed = df.select("*", hashed(df[column]).alias(f"{own}h"))
     place = (F.col(f"{own}h") % page).cast("int")

@@ -10,8 +10,13 @@ output and compares bytes only beyond it. The common prefixes of the merged orde
 before the anchors, then tell for which d an equal string starts elsewhere. Comparisons are of bytes, so
 hashes decide nothing but where to look.
 
+Equal texts meet first, by SHA-256, copies collapsing before the exchange: all of a text of LENGTH bytes that has
+a copy goes, and one of the copies stands for all in the sort, so repeated rows cost what they read.
+
 Defined cases: texts are UTF-8 bytes, null or empty ones have none; rows are documents of their own, so two
-rows with one doc_id and one text repeat each other; an empty table gives an empty result.
+rows with one doc_id and one text repeat each other; texts above CHUNK bytes are read in parts that overlap, with
+the same result; columns other than the id and the text are ignored, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, keyed, materialise, pieces, shuffle_width
+from .common import Tables, documents, keyed, marked_by, pieces, shuffle_width
 from .nearby import finish
 
 LENGTH, K = 200, 40
@@ -109,8 +114,8 @@ def common(a: bytes, b: bytes, at: int = 0) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def front_coded(items: list[tuple], docs: list[tuple[int | None, int]]) -> bytes:
-    """A sorted run (key, left, doc, place, d1, d2) as shared prefix lengths, tails and fields."""
+def front_coded(items: list[tuple], texts: list[int]) -> bytes:
+    """A sorted run (key, left, index of the text, place, d1, d2) as shared prefix lengths, tails and fields."""
     before, shared, tails = b"", [], []
     for key, *_ in items:
         n = common(before, key)
@@ -118,18 +123,18 @@ def front_coded(items: list[tuple], docs: list[tuple[int | None, int]]) -> bytes
         tails.append(key[n:])
         before = key
     parts = [
-        np.array([len(items), len(docs)], "<u4"), np.array(shared, "<u2"), np.array([len(t) for t in tails], "<u2"), np.array([len(x[1]) for x in items], "<u2"),
-        np.array([x[2] for x in items], "<u4"), np.array([x[3] for x in items], "<u8"), np.array([x[4:6] for x in items], "<u2"), np.array([d or 0 for d, _ in docs], "<i8"), np.array([d is not None for d, _ in docs], "u1"), np.array([t for _, t in docs], "<i8"),
+        np.array([len(items), len(texts)], "<u4"), np.array(shared, "<u2"), np.array([len(t) for t in tails], "<u2"), np.array([len(x[1]) for x in items], "<u2"),
+        np.array([x[2] for x in items], "<u4"), np.array([x[3] for x in items], "<u8"), np.array([x[4:6] for x in items], "<u2"), np.array(texts, "<i8"),
     ]
     raw = b"".join([*(p.tobytes() for p in parts), *tails, *(x[1] for x in items)])
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
 
 def decoded(run: bytes):
-    """Keys with their prefix shared with the one before, and (left, doc_id, tag, place, d1, d2)."""
+    """Keys with their prefix shared with the one before, and (left, text, place, d1, d2)."""
     raw = zstandard.ZstdDecompressor().decompress(run)
     at = 8
-    n, docs = map(int, np.frombuffer(raw, "<u4", 2))
+    n, texts = map(int, np.frombuffer(raw, "<u4", 2))
 
     def take(kind: str, count: int):
         nonlocal at
@@ -137,15 +142,14 @@ def decoded(run: bytes):
         at += x.nbytes
         return x
 
-    shared, tails, lefts, doc, place, d, ids, known, tags = take("<u2", n), take("<u2", n), take("<u2", n), take("<u4", n), take("<u8", n), take("<u2", 2 * n).reshape(n, 2), take("<i8", docs), take("u1", docs), take("<i8", docs)
-    ids = [i if k else None for i, k in zip(ids.tolist(), known.tolist(), strict=True)]
-    tags, doc, place, d = tags.tolist(), doc.tolist(), place.tolist(), d.tolist()
+    shared, tails, lefts, which, place, d, ids = take("<u2", n), take("<u2", n), take("<u2", n), take("<u4", n), take("<u8", n), take("<u2", 2 * n).reshape(n, 2), take("<i8", texts)
+    which, place, d = ids[which].tolist(), place.tolist(), d.tolist()
     left_at, key, keys, fields = at + int(tails.sum()), b"", [], []
-    for s, t, left, k, p, (d1, d2) in zip(shared.tolist(), tails.tolist(), lefts.tolist(), doc, place, d, strict=True):
+    for s, t, left, k, p, (d1, d2) in zip(shared.tolist(), tails.tolist(), lefts.tolist(), which, place, d, strict=True):
         key = key[:s] + raw[at : at + t]
         at += t
         keys.append(key)
-        fields.append((raw[left_at : left_at + left], ids[k], tags[k], p, d1, d2))
+        fields.append((raw[left_at : left_at + left], k, p, d1, d2))
         left_at += left
     return keys, shared.tolist(), fields
 
@@ -225,7 +229,7 @@ def by_classes(keys: list[bytes], shared: list[int], fields: list[tuple]) -> lis
     """The same for large groups: equal contexts are collapsed, then for each d strings with one class of bytes after and one of bytes before are equal."""
     same: dict[tuple, list[int]] = {}
     for i, (key, f) in enumerate(zip(keys, fields, strict=True)):
-        same.setdefault((key, f[0], f[4], f[5]), []).append(i)
+        same.setdefault((key, f[0], f[3], f[4]), []).append(i)
     groups = list(same.values())
     first = [g[0] for g in groups]  # in order of keys
     m = len(first)
@@ -235,7 +239,7 @@ def by_classes(keys: list[bytes], shared: list[int], fields: list[tuple]) -> lis
     lefts = [fields[i][0] for i in first]
     order = sorted(range(m), key=lefts.__getitem__)
     left_low = np.array([0] + [common(lefts[a], lefts[b]) for a, b in zip(order, order[1:], strict=False)], np.int64)
-    d1, d2 = np.array([fields[i][4] for i in first]), np.array([fields[i][5] for i in first])
+    d1, d2 = np.array([fields[i][3] for i in first]), np.array([fields[i][4] for i in first])
     hits = np.zeros((m, LENGTH - K + 2), bool)
     for d in range(int(d1.min()), int(d2.max()) + 1):
         inside = np.flatnonzero((d1 <= d) & (d <= d2))
@@ -258,18 +262,18 @@ def by_classes(keys: list[bytes], shared: list[int], fields: list[tuple]) -> lis
     return found
 
 
-FOUND = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+FOUND = pa.schema([("tid", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
 
 
 def owner_side(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    out = ([], [], [], [])
+    out = ([], [], [])
     keys, shared, fields = [], [], []
 
     def close():
         if len(keys) > 1:
-            for (_, doc_id, tag, place, *_), spans in zip(fields, repeated(keys, shared, fields), strict=True):
+            for (_, tid, place, *_), spans in zip(fields, repeated(keys, shared, fields), strict=True):
                 for low, high in spans:
-                    for to, x in zip(out, (doc_id, tag, place - high, place - low + LENGTH), strict=True):
+                    for to, x in zip(out, (tid, place - high, place - low + LENGTH), strict=True):
                         to.append(x)
 
     for text, n, f in merged([decoded(r.as_py()) for r in table.column("run")]):
@@ -286,19 +290,20 @@ def owner_side(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the kept bytes' kept_sha256 of every row."""
     docs = keyed(docs, id_col, text_col)
-    owners = shuffle_width(docs.sparkSession)
-    tagged = docs.select("doc_id", F.xxhash64("text").alias("tag"), F.col("text").cast("binary").alias("body"))
+    t, owners = Tables(docs.sparkSession), shuffle_width(docs.sparkSession)
+    tagged = docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.col("text").cast("binary").alias("body"))
+    alike = tagged.where(F.length("body") >= LENGTH).groupBy("sha").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
+    texts = t.write(alike.select(F.monotonically_increasing_id().alias("tid"), "sha", "body", "copies"))
 
     def mark(batches):
         for b in pieces(batches):
-            k, h, place, d1, d2 = anchors(b.column(2).to_pylist())
-            yield pa.record_batch([b.column(0).take(pa.array(k)), b.column(1).take(pa.array(k)), pa.array(h, pa.int64()), pa.array(place, pa.int64()), pa.array(d1, pa.int16()), pa.array(d2, pa.int16())], ["doc_id", "tag", "hash", "place", "d1", "d2"])
+            k, h, place, d1, d2 = anchors(b.column(1).to_pylist())
+            yield pa.record_batch([b.column(0).take(pa.array(k)), pa.array(h, pa.int64()), pa.array(place, pa.int64()), pa.array(d1, pa.int16()), pa.array(d2, pa.int16())], ["tid", "hash", "place", "d1", "d2"])
 
-    marks = materialise(tagged.where(F.length("body") >= LENGTH).mapInArrow(mark, "doc_id long, tag long, hash long, place long, d1 short, d2 short"))
-    twice = materialise(marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
-    live = marks.join(twice, "hash").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("hash", "place", "d1", "d2")).alias("marks"))
-    live = materialise(live.withColumnsRenamed({"doc_id": "live_id", "tag": "live_tag"}))
-    same = F.col("doc_id").eqNullSafe(F.col("live_id")) & (F.col("tag") == F.col("live_tag"))
+    marks = t.write(texts.select("tid", "body").mapInArrow(mark, "tid long, hash long, place long, d1 short, d2 short"))
+    twice = t.write(marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    live = t.write(marks.join(twice, "hash").groupBy("tid").agg(F.collect_list(F.struct("hash", "place", "d1", "d2")).alias("marks")))
+    t.drop(marks, twice)
 
     def runs(batches):
         items, ids, size = [], [], 0
@@ -316,21 +321,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 at = to
 
         for b in pieces(batches):
-            for doc_id, tag, body, found in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for tid, body, found in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 for m in found:
                     p, d1, d2, h = m["place"], m["d1"], m["d2"], m["hash"] & 0xFFFFFFFFFFFFFFFF
                     key = h.to_bytes(8, "big") + body[p : p + LENGTH - d1]
                     items.append((h % owners, (key, body[p - d2 : p][::-1], len(ids), p, d1, d2)))
                     size += LENGTH + d2 - d1
-                ids.append((doc_id, tag))
+                ids.append(tid)
                 if size > RUN_BYTES:
                     yield from sent()
                     items, ids, size = [], [], 0
         yield from sent()
 
-    sent = tagged.join(live, same).select("doc_id", "tag", "body", "marks").mapInArrow(runs, "owner int, run binary")
-    spans = sent.groupBy("owner").applyInArrow(owner_side, "doc_id long, tag long, start long, end long")
-    gone = spans.groupBy(F.col("doc_id").alias("live_id"), F.col("tag").alias("live_tag")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    sent = texts.select("tid", "body").join(live, "tid").mapInArrow(runs, "owner int, run binary")
+    spans = t.write(sent.groupBy("owner").applyInArrow(owner_side, "tid long, start long, end long"))
+    gone = spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("body").cast("long").alias("end")))
+    found = texts.select("tid", "sha", "copies", F.when(F.col("copies") > 1, whole).alias("whole")).join(gone, "tid", "left")
+    cut = t.write(found.select(F.col("sha").alias("own_sha"), F.coalesce("whole", "spans").alias("spans")).where("spans is not null"))
+    t.drop(texts, live, spans)
 
     def kept(batches):
         for b in pieces(batches):
@@ -348,7 +357,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols = list(zip(*rows, strict=True))
             yield pa.record_batch([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3])], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return tagged.join(gone, same, "left").select("doc_id", "body", "spans").mapInArrow(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    marked = marked_by(tagged, "sha", cut, "own_sha", "some")
+    asked = marked.where("some").join(cut, F.col("sha") == F.col("own_sha"), "left").select("doc_id", "body", "spans")
+    rest = marked.where("not some").select("doc_id", "body", F.lit(None).cast("array<struct<start: long, end: long>>").alias("spans"))
+    return asked.unionByName(rest).mapInArrow(kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,19 +113,34 @@ def test_repeats(spark, docs, texts, none, words):
     parts = ["".join(rng.choice("abcd é") for _ in range(rng.choice((150, 190, 199, 205, 260, 420)))) for _ in range(9)]
     many = [(k, "".join(rng.choice(("", "x", "yz", "".join(rng.choice("pqrs") for _ in range(rng.randint(1, 120))))) + rng.choice(parts) for _ in range(rng.randint(1, 5)))) for k in range(60)]
     many.append((99, "ab" * 400))
+    many += [(7, many[3][1]), (7, many[3][1]), (None, many[3][1]), *[(200, parts[5] + "tail" * 60)] * 30]
     assert got(spark.createDataFrame(many, "doc_id long, text string")) == removed(many)
 
 
+def test_repeats_in_texts_above_a_chunk(spark, words):
+    rng = random.Random(16)
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared, far = say(60), say(50)
+    texts = [(1, say(180_000) + shared + say(90_000) + far + say(10)), (2, far + say(40)), (3, say(30) + shared)]
+    assert len(texts[0][1]) > repeats.CHUNK and len(shared) > repeats.LENGTH < len(far)
+    got = {r["doc_id"]: r for r in repeats.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    for i, body, gone in ((1, texts[0][1], (shared, far)), (2, texts[1][1], (far,)), (3, texts[2][1], (shared,))):
+        left = body
+        for g in gone:
+            left = left.replace(g, "")
+        assert got[i]["n_spans"] == len(gone) and abs(len(left) - (got[i]["n_bytes"] - got[i]["n_removed"])) <= 4 * len(gone)
+
+
 def test_merge_and_front_coding():
     rng = random.Random(3)
     runs, every = [], []
     for _ in range(5):
         items = sorted((bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 12))), b"", 0, k, 0, 0) for k in range(rng.randint(0, 30)))
         every += [x[0] for x in items]
-        runs.append(repeats.decoded(repeats.front_coded(items, [(None, 7)])))
+        runs.append(repeats.decoded(repeats.front_coded(items, [7])))
     out, before = [], b""
     for key, known, fields in repeats.merged(runs):
-        assert known == repeats.common(before, key) and fields[1:3] == (None, 7)
+        assert known == repeats.common(before, key) and fields[1] == 7
         out.append(key)
         before = key
     assert out == sorted(every)
@@ -139,7 +154,7 @@ def test_large_groups_agree_with_pairs():
         right, left = core + bytes(rng.choice(b"de") for _ in range(80)), bytes(rng.choice(b"fg") for _ in range(40)) if k % 3 else b"f" * 40
         if k % 4 == 0:
             right = core + b"d" * 80
-        items.append((b"\0" * 8 + right[: repeats.LENGTH], (left, 1, 1, 50, 0, 40)))
+        items.append((b"\0" * 8 + right[: repeats.LENGTH], (left, 1, 50, 0, 40)))
     items.sort()
     keys, fields = [x[0] for x in items], [x[1] for x in items]
     shared = [0] + [repeats.common(a, b) for a, b in zip(keys, keys[1:], strict=False)]
