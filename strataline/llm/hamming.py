@@ -3,34 +3,38 @@
 Codes are cut into m segments of about log2(rows) bits, and every segment value is indexed. Searches go in
 rounds: round r probes the segment values at distance exactly r, a candidate counts where it is found first
 (so none comes twice), its full distance is held against the query's last wanted distance so far, and a query ends once its last wanted distance is at
-most m * (r + 1) - 1, for a code that near differs in some segment by at most r bits. All of it is DataFrame
-code. Of rows with one code only the k + 1 least ids are indexed, and queries of one code are searched once,
+most m * (r + 1) - 1, for a code that near differs in some segment by at most r bits. Where a round would probe more
+values for a query than there are rows, the queries left read all rows instead, in blocks, which is as exact and
+costs less. All of it is DataFrame code: probes are made by tasks that share out queries and segments. Of rows with one code only the k + 1 least ids are indexed, and queries of one code are searched once,
 so a vector that many rows share costs no more than others.
 
-Defined cases: bit i of a code is set where component i of the vector is above zero (null and NaN are not;
-components from 64 on fold onto the first by exclusive or); rows with a null id or vector take no part; a row
-is not its own neighbour; ties go to the smaller id; fewer than k other rows give them all.
+Defined cases: bit i of a code is set where component i of the vector is above zero (null and NaN are not; a
+vector of more than 64 components is an error); rows with a null id or vector take no part; rows that share an id
+and a code count once, and those that share an id alone are told apart by their codes, none the neighbour of
+another; ties go to the smaller id; fewer than k other rows give them all; other columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import log2
+from functools import reduce
+from math import comb, log2
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
-from .common import materialise
+from .common import Tables, materialise, shuffle_width
 
 BITS = 64
 
 
 def sign_code(vector) -> F.Column:
-    """The signs of a vector as a 64-bit integer."""
-    bits = F.transform(vector, lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), (i % BITS).cast("int"))).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseXOR(b))
+    """The signs of a vector of up to 64 components as a 64-bit integer."""
+    bits = F.transform(vector, lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i.cast("int"))).otherwise(F.lit(0).cast("long")))
+    code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return F.when(F.size(vector) <= BITS, code).otherwise(F.raise_error("a vector has more than 64 components").cast("long"))
 
 
 def widths(rows: int) -> list[int]:
@@ -43,25 +47,49 @@ def segment(code, at: int, width: int):
     return F.shiftrightunsigned(code, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
+def probes_at(asked: DataFrame, r: int, tasks: int) -> DataFrame:
+    """query, bound, j and key of all segment values at distance r; asked: query, bound, j, width, value."""
+    rows = asked.where(F.col("width") >= r).repartition(tasks, "query", "j").withColumns({"mask": F.lit(0).cast("long"), "top": F.lit(-1)})
+    for k in range(r):  # one more bit, above those that are set
+        rows = rows.withColumn("top", F.explode(F.sequence(F.col("top") + 1, F.col("width") - (r - k))))
+        rows = rows.withColumn("mask", F.col("mask").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("top"))))
+    return rows.select("query", "bound", "j", F.call_function("shiftleft", F.col("j").cast("long"), F.lit(40)).bitwiseOR(F.col("value").bitwiseXOR(F.col("mask"))).alias("key"))
+
+
+def scanned(index: DataFrame, active: DataFrame, block: int = 4096) -> DataFrame:
+    """query, vec_id and distance of all rows within the bounds of the active queries, a block of queries at a time."""
+    blocks = max(1, -(-active.count() // block))
+    out = None
+    for k in range(blocks):
+        part = active.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k).agg(F.collect_list(F.struct("query", "bound")).alias("asked"))
+        gap = F.bit_count(F.col("q.query").bitwiseXOR(F.col("code")))
+        met = index.crossJoin(F.broadcast(part)).select("vec_id", "code", F.explode("asked").alias("q")).where(gap <= F.col("q.bound"))  # one row of about `block` queries
+        met = met.select(F.col("q.query").alias("query"), "vec_id", gap.alias("distance"))
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """rows and queries: vec_id, code. Gives query_id, neighbor_id, distance and rank of the k nearest rows of each query."""
     spark = ship(rows.sparkSession)
     want = k + 1  # one may be the query itself
     least = Window.partitionBy("code").orderBy("vec_id")
-    index = materialise(rows.distinct().withColumn("n", F.row_number().over(least)).where(F.col("n") <= want).select("code", "vec_id"))
+    t, tasks = Tables(spark), shuffle_width(spark)
+    index = t.write(rows.distinct().withColumn("n", F.row_number().over(least)).where(F.col("n") <= want).select("code", "vec_id"))
     held = index.count()
     cuts = widths(held)
     starts = [sum(cuts[:j]) for j in range(len(cuts))]
     parts = F.array(*(F.lit(j << 40).cast("long").bitwiseOR(segment(F.col("code"), a, w)) for j, (a, w) in enumerate(zip(starts, cuts, strict=True))))
-    buckets = materialise(index.select("code", "vec_id", F.explode(parts).alias("key")))
-    active = materialise(queries.select(F.col("code").alias("query")).distinct().withColumn("bound", F.lit(BITS)))
+    buckets = t.write(index.select("code", "vec_id", F.explode(parts).alias("key")))
+    active = t.write(queries.select(F.col("code").alias("query")).distinct().withColumn("bound", F.lit(BITS)))
     asked = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(w).alias("width"), segment(F.col("query"), a, w).alias("value")) for j, (a, w) in enumerate(zip(starts, cuts, strict=True))))
-    best, done = None, None
     rank = Window.partitionBy("query").orderBy("distance", "vec_id")
+    best, done = None, []
     for r in range(max(cuts) + 1):
-        masks = [sum(1 << b for b in flips) for flips in combinations(range(max(cuts)), r)]
-        probes = active.select("query", "bound", F.explode(asked).alias("s")).select("query", "bound", "s.*", F.explode(F.lit(masks).cast("array<bigint>")).alias("mask"))
-        probes = probes.where(F.col("mask") < F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width"))).select("query", "bound", "j", F.call_function("shiftleft", F.col("j").cast("long"), F.lit(40)).bitwiseOR(F.col("value").bitwiseXOR(F.col("mask"))).alias("key"))
+        if sum(comb(w, r) for w in cuts) > held:
+            done.append(t.write(scanned(index, active).withColumn("n", F.row_number().over(rank)).where(F.col("n") <= want).drop("n")))
+            break
+        probes = probes_at(active.select("query", "bound", F.explode(asked).alias("s")).select("query", "bound", "s.*"), r, tasks)
         gap = F.col("query").bitwiseXOR(F.col("code"))
         first = F.bit_count(gap) <= F.col("bound")  # and no earlier segment is as near, no later one nearer
         for i, (a, w) in enumerate(zip(starts, cuts, strict=True)):
@@ -70,15 +98,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         found = probes.join(buckets.hint("merge"), "key")  # never broadcast: how many probes there are, no estimate knows
         found = found.where(first).select("query", "vec_id", F.bit_count(gap).alias("distance"))
         both = found if best is None else found.unionByName(best)
-        ranked = materialise(both.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= want).drop("n"))
-        near = materialise(ranked.groupBy("query").agg(F.max("distance").alias("last"), F.count("*").alias("n")).where(F.col("n") >= min(want, held)).select("query", "last"))
+        ranked = t.write(both.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= want).drop("n"))
+        near = t.write(ranked.groupBy("query").agg(F.max("distance").alias("last"), F.count("*").alias("n")).where(F.col("n") >= min(want, held)).select("query", "last"))
         over = near.where(F.col("last") <= len(cuts) * (r + 1) - 1).select("query")
-        ended = ranked.join(over, "query", "left_semi")
-        done = ended if done is None else done.unionByName(ended)
-        active = materialise(active.join(over, "query", "left_anti").join(near, "query", "left").select("query", F.least("bound", "last").alias("bound")))
+        done.append(t.write(ranked.join(over, "query", "left_semi")))
+        left = t.write(active.join(over, "query", "left_anti").join(near, "query", "left").select("query", F.least("bound", "last").alias("bound")))
+        t.drop(active, near, *([best] if best else []))
+        active, best = left, t.write(ranked.join(left.select("query"), "query", "left_semi"))
+        t.drop(ranked)
         if active.isEmpty():
             break
-        best = ranked.join(active.select("query"), "query", "left_semi")
+    t.drop(index, buckets)
+    done = reduce(DataFrame.unionByName, done)
     per = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
     out = queries.select(F.col("vec_id").alias("query_id"), F.col("code").alias("query")).join(done, "query").where("query_id <> vec_id")
     out = out.select("query_id", F.col("vec_id").alias("neighbor_id"), F.col("distance").cast("int").alias("distance"))
