@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 EXCLUDED_DIRS = (".git", "__pycache__", ".venv", "venv", "node_modules", ".mypy_cache", ".pytest_cache")
 #: Language by suffix (fixed values).
 LANGUAGES = {
-    ".py": "Python", ".js": "JavaScript", ".jsx": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".java": "Java", ".kt": "Kotlin", ".go": "Go", ".rs": "Rust", ".rb": "Ruby", ".php": "PHP",
-    ".c": "C", ".h": "C", ".cpp": "C++", ".hpp": "C++", ".cs": "C#", ".swift": "Swift", ".scala": "Scala", ".sql": "SQL", ".html": "HTML", ".css": "CSS", ".sh": "Shell",
+    ".py": "Python", ".js": "JavaScript", ".jsx": "JavaScript React", ".ts": "TypeScript", ".tsx": "TypeScript React", ".java": "Java", ".cs": "C#", ".cpp": "C++", ".cc": "C++", ".c": "C", ".go": "Go",
+    ".rs": "Rust", ".rb": "Ruby", ".php": "PHP", ".kt": "Kotlin", ".swift": "Swift", ".vue": "Vue", ".html": "HTML", ".css": "CSS", ".scss": "SCSS", ".sql": "SQL", ".md": "Markdown",
 }
 
 

@@ -22,7 +22,7 @@ scored AS (
 files AS (
   SELECT scan_id * 1000000 + l_partkey AS file_id, scan_id, CASE WHEN l_partkey % 11 = 0 THEN '' ELSE 'src/m' || CAST(l_partkey % 7 AS VARCHAR) || '/' END || 'f' || CAST(l_partkey AS VARCHAR) || CASE WHEN l_partkey % 5 = 0 THEN '.JS' ELSE '.py' END AS file_path,
          refactor_score, {band} AS priority_band, created_at FROM scored),
-links AS (SELECT DISTINCT l_partkey % 97 AS src, l_suppkey % 97 AS dst, l_linenumber % 3 <> 0 AS is_runtime FROM lineitem WHERE l_orderkey % 500 = 0),
+links AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst, l_linenumber % 3 <> 0 AS is_runtime FROM lineitem),
 nodes AS (SELECT src AS node FROM links UNION SELECT dst FROM links),
 live AS (SELECT DISTINCT src, dst FROM links WHERE is_runtime AND src <> dst),
 every_edge AS (SELECT DISTINCT src, dst FROM links WHERE src <> dst),
@@ -33,18 +33,15 @@ commit_files AS (
 records AS (
   SELECT conv_id AS scan_id, CASE role WHEN 'user' THEN 'static' WHEN 'assistant' THEN 'decision' ELSE role END AS layer, CASE WHEN turn > 0 THEN 'f' || CAST(turn % 3 AS VARCHAR) END AS file_path, TIMESTAMP '2024-01-01' + to_seconds(CAST(turn * 60 + conv_id * 7 AS DOUBLE)) AS created_at, turn FROM conversations),
 items AS (
-  SELECT o_orderkey AS item_id, o_custkey % 20 AS project_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'in_progress' ELSE 'todo' END AS status, CAST(o_orderkey % 13 AS INTEGER) AS position FROM orders WHERE o_orderkey % 10 = 0)
+  SELECT o_orderkey AS item_id, o_custkey % 20 AS project_id, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'in_progress' ELSE 'todo' END AS status, CAST(o_orderkey % 13 AS INTEGER) AS position FROM orders)
 """.format(band=BAND.format("refactor_score"))
 
 
 class Tables:
-    """The same tables as lazily made DataFrames; whole: where the SQL reads a part of the rows, all of them."""
+    """The same tables as lazily made DataFrames."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str, whole: bool = False):
-        self.spark, self.sf_dir, self.whole = spark, sf_dir, whole
-
-    def some(self, rows: DataFrame, part: str) -> DataFrame:
-        return rows if self.whole else rows.where(part)
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -79,8 +76,8 @@ class Tables:
 
     @property
     def links(self) -> DataFrame:
-        src, dst = ("l_partkey src", "l_suppkey dst") if self.whole else ("l_partkey % 97 src", "l_suppkey % 97 dst")
-        return self.some(self.read("lineitem"), "l_orderkey % 500 = 0").selectExpr(src, dst, "l_linenumber % 3 <> 0 is_runtime").distinct()
+        """A part and a supplier of one number are one node."""
+        return self.read("lineitem").selectExpr("l_partkey src", "l_suppkey dst", "l_linenumber % 3 <> 0 is_runtime").distinct()
 
     @property
     def nodes(self) -> DataFrame:
@@ -104,7 +101,7 @@ class Tables:
 
     @property
     def items(self) -> DataFrame:
-        return self.some(self.read("orders"), "o_orderkey % 10 = 0").selectExpr("o_orderkey item_id", "o_custkey % 20 project_id", "case o_orderstatus when 'F' then 'done' when 'O' then 'in_progress' else 'todo' end status", "cast(o_orderkey % 13 as int) position")
+        return self.read("orders").selectExpr("o_orderkey item_id", "o_custkey % 20 project_id", "case o_orderstatus when 'F' then 'done' when 'O' then 'in_progress' else 'todo' end status", "cast(o_orderkey % 13 as int) position")
 
     @property
     def events(self) -> DataFrame:

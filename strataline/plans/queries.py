@@ -24,20 +24,15 @@ AS_OF = date(1998, 6, 15)
 TS = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
 
 
-def query(sql: str | None = None, part: bool = False):
-    """Register a query of tables, and its SQL, which may use the analog tables.
-
-    part: the SQL reads only a part of the rows, which Tables.some picks; the query is registered once more as
-    NAME_whole, on all rows and without SQL. A query that has no SQL reads all rows.
-    """
+def query(sql: str | None = None, again: bool = False):
+    """Register a query of tables, and its SQL, which may use the analog tables; again: as NAME_whole too, an older name."""
 
     def add(fn):
         name = fn.__name__
-        QUERIES[name] = lambda spark, sf_dir: plain(fn(Tables(spark, sf_dir, whole=not sql)))
+        QUERIES[name] = lambda spark, sf_dir: plain(fn(Tables(spark, sf_dir)))
         QUERIES[name].__doc__ = fn.__doc__
-        if part:
-            QUERIES[f"{name}_whole"] = lambda spark, sf_dir: plain(fn(Tables(spark, sf_dir, whole=True)))
-            QUERIES[f"{name}_whole"].__doc__ = fn.__doc__
+        if again:
+            QUERIES[f"{name}_whole"] = QUERIES[name]
         if sql:
             text = sql.strip()
             ORACLE[name] = f"{SQL.rstrip()},\n{text[5:]}" if text.startswith("WITH ") else SQL + text
@@ -120,45 +115,45 @@ def list_scan_files(t: Tables) -> DataFrame:
     return fl.list_scan_files(t.scans, t.projects, t.files, SCAN, None)
 
 
-FILE_EDGES = "pairs AS (SELECT a.scan_id, a.file_id AS source_file_id, b.file_id AS target_file_id FROM files a JOIN files b USING (scan_id) WHERE a.file_id % 3 = 0 AND b.file_id % 4 = 1 AND a.scan_id % 50 = 0 AND a.file_id <> b.file_id)"
+FILE_EDGES = "pairs AS (SELECT a.scan_id, a.file_id AS source_file_id, b.file_id AS target_file_id FROM files a JOIN files b USING (scan_id) WHERE a.file_id % 3 = 0 AND b.file_id % 4 = 1 AND a.file_id <> b.file_id)"
 
 
 def file_edges(t: Tables) -> DataFrame:
-    some = t.some(t.files, "scan_id % 50 = 0")
+    some = t.files
     a, b = some.where("file_id % 3 = 0").select("scan_id", F.col("file_id").alias("source_file_id")), some.where("file_id % 4 = 1").select("scan_id", F.col("file_id").alias("target_file_id"))
     return a.join(b, "scan_id").where("source_file_id <> target_file_id")
 
 
-@query(f"WITH {FILE_EDGES} SELECT p.scan_id, source_file_id, target_file_id, s.file_path AS source_path, t.file_path AS target_path FROM pairs p JOIN files s ON s.file_id = source_file_id JOIN files t ON t.file_id = target_file_id", part=True)
+@query(f"WITH {FILE_EDGES} SELECT p.scan_id, source_file_id, target_file_id, s.file_path AS source_path, t.file_path AS target_path FROM pairs p JOIN files s ON s.file_id = source_file_id JOIN files t ON t.file_id = target_file_id", again=True)
 def dependency_graph(t: Tables) -> DataFrame:
     """Edges joined to both files."""
     return fl.dependency_edges(file_edges(t), t.files)
 
 
-@query("""WITH members AS (SELECT scan_id, file_id % 3 AS group_id, file_id FROM files WHERE scan_id % 50 = 0)
-SELECT m.scan_id, m.group_id, count(*) AS size, string_agg(file_path, '|' ORDER BY file_path, f.file_id) AS paths FROM members m JOIN files f USING (file_id) GROUP BY m.scan_id, m.group_id""", part=True)
+@query("""WITH members AS (SELECT scan_id, file_id % 3 AS group_id, file_id FROM files)
+SELECT m.scan_id, m.group_id, count(*) AS size, string_agg(file_path, '|' ORDER BY file_path, f.file_id) AS paths FROM members m JOIN files f USING (file_id) GROUP BY m.scan_id, m.group_id""", again=True)
 def circular_dependencies(t: Tables) -> DataFrame:
-    members = t.some(t.files, "scan_id % 50 = 0").selectExpr("scan_id", "file_id % 3 group_id", "file_id")
+    members = t.files.selectExpr("scan_id", "file_id % 3 group_id", "file_id")
     return fl.circular_dependencies(members, t.files).select("scan_id", "group_id", "size", F.transform("members", lambda m: m["file_path"]).alias("paths"))
 
 
-FILE = "(SELECT min(file_id) FROM files WHERE scan_id % 50 = 0 AND file_id % 12 = 9)"
+FILE = "(SELECT min(file_id) FROM files WHERE file_id % 12 = 9)"
 
 
 @query(f"""WITH {FILE_EDGES}, edges AS (SELECT CASE WHEN source_file_id = {FILE} THEN target_file_id ELSE source_file_id END AS file_id, CASE WHEN source_file_id = {FILE} THEN 'outgoing' ELSE 'incoming' END AS direction
 FROM pairs WHERE source_file_id = {FILE} OR target_file_id = {FILE})
-SELECT file_id, direction, file_path, priority_band FROM edges JOIN files USING (file_id)""", part=True)
+SELECT file_id, direction, file_path, priority_band FROM edges JOIN files USING (file_id)""", again=True)
 def file_dependencies(t: Tables) -> DataFrame:
-    one = t.some(t.files, "scan_id % 50 = 0").where("file_id % 12 = 9").agg(F.min("file_id")).first()[0]
+    one = t.files.where("file_id % 12 = 9").agg(F.min("file_id")).first()[0]
     return fl.neighbours(file_edges(t), t.files, one)
 
 
 CO = "co AS (SELECT scan_id, least(source_file_id, target_file_id) AS a, greatest(source_file_id, target_file_id) AS b FROM pairs GROUP BY ALL)"
 
 
-@query(f"WITH {FILE_EDGES}, {CO} SELECT f.file_id, file_path, priority_band FROM co JOIN files f ON f.file_id = CASE WHEN a = {FILE} THEN b ELSE a END WHERE a = {FILE} OR b = {FILE}", part=True)
+@query(f"WITH {FILE_EDGES}, {CO} SELECT f.file_id, file_path, priority_band FROM co JOIN files f ON f.file_id = CASE WHEN a = {FILE} THEN b ELSE a END WHERE a = {FILE} OR b = {FILE}", again=True)
 def co_changed_files(t: Tables) -> DataFrame:
-    one = t.some(t.files, "scan_id % 50 = 0").where("file_id % 12 = 9").agg(F.min("file_id")).first()[0]
+    one = t.files.where("file_id % 12 = 9").agg(F.min("file_id")).first()[0]
     edges = file_edges(t).select("scan_id", F.least("source_file_id", "target_file_id").alias("file_id_a"), F.greatest("source_file_id", "target_file_id").alias("file_id_b")).distinct()
     return fl.co_changed(edges, t.files, one)
 
@@ -196,11 +191,11 @@ def risk_by_directory(t: Tables) -> DataFrame:
     return fl.risk_by_directory(t.files)
 
 
-@query(f"""WITH rows AS (SELECT {DIRECTORY} AS path, file_path, priority_band, {PERCENT.format("refactor_score")} AS score FROM files WHERE scan_id % 50 = 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, file_path) AS n FROM rows)
+@query(f"""WITH rows AS (SELECT {DIRECTORY} AS path, file_path, priority_band, {PERCENT.format("refactor_score")} AS score FROM files), ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, file_path) AS n FROM rows)
 SELECT path, count(*) FILTER (priority_band = 'critical') AS critical_files, count(*) FILTER (priority_band = 'high') AS high_files, round(avg(score), 2) AS average_score, string_agg(file_path, '|' ORDER BY n) FILTER (n <= 3) AS top_files
-FROM ranked GROUP BY path ORDER BY critical_files + high_files DESC, average_score DESC, path LIMIT 5""", part=True)
+FROM ranked GROUP BY path ORDER BY critical_files + high_files DESC, average_score DESC, path LIMIT 5""", again=True)
 def directory_insight(t: Tables) -> DataFrame:
-    return fl.directory_insight(t.some(t.files, "scan_id % 50 = 0"))
+    return fl.directory_insight(t.files)
 
 
 @query("""WITH stats AS (SELECT project_id, count(*) AS n, avg(CASE WHEN finished_at >= started_at THEN (epoch_us(finished_at) - epoch_us(started_at)) / 1e6 END) AS seconds FROM scans GROUP BY project_id),
@@ -268,12 +263,12 @@ def snapshot(t: Tables) -> DataFrame:
     return rows.select("scan_id", "file_path", F.transform("layers", lambda x: F.concat_ws(":", x["layer"], x["metrics"].cast("string"))).alias("layers"))
 
 
-@query("SELECT item_id, project_id, status, CAST(row_number() OVER (PARTITION BY project_id, status ORDER BY position, item_id) - 1 AS INTEGER) AS position FROM items", part=True)
+@query("SELECT item_id, project_id, status, CAST(row_number() OVER (PARTITION BY project_id, status ORDER BY position, item_id) - 1 AS INTEGER) AS position FROM items", again=True)
 def refactor_queue_positions(t: Tables) -> DataFrame:
     return sn.queue_positions(t.items)
 
 
-@query("SELECT CAST(coalesce(max(position), -1) + 1 AS INTEGER) AS position FROM items WHERE project_id = 3 AND status = 'todo'", part=True)
+@query("SELECT CAST(coalesce(max(position), -1) + 1 AS INTEGER) AS position FROM items WHERE project_id = 3 AND status = 'todo'", again=True)
 def refactor_queue_next(t: Tables) -> DataFrame:
     return sn.next_position(t.items, 3, "todo")
 
@@ -291,28 +286,28 @@ REACH = "reach AS (WITH RECURSIVE r(src, dst) AS (SELECT src, dst FROM live UNIO
 
 
 @query("""SELECT n.node, coalesce(i, 0) AS fan_in, coalesce(o, 0) AS fan_out, coalesce(round(coalesce(o, 0)::DOUBLE / nullif(coalesce(i, 0) + coalesce(o, 0), 0), 3), 0.0) AS instability_index
-FROM nodes n LEFT JOIN (SELECT dst AS node, count(*) AS i FROM live GROUP BY 1) USING (node) LEFT JOIN (SELECT src AS node, count(*) AS o FROM live GROUP BY 1) USING (node)""", part=True)
+FROM nodes n LEFT JOIN (SELECT dst AS node, count(*) AS i FROM live GROUP BY 1) USING (node) LEFT JOIN (SELECT src AS node, count(*) AS o FROM live GROUP BY 1) USING (node)""", again=True)
 def graph_degrees(t: Tables) -> DataFrame:
     return graph.degrees(t.nodes, graph.runtime(t.links))
 
 
-@query("SELECT src, dst FROM every_edge EXCEPT SELECT src, dst FROM live", part=True)
+@query("SELECT src, dst FROM every_edge EXCEPT SELECT src, dst FROM live", again=True)
 def graph_type_only_edges(t: Tables) -> DataFrame:
     return graph.type_only(t.links)
 
 
-@query(f"WITH {REACH} SELECT src, dst FROM reach", part=True)
+@query(f"WITH {REACH} SELECT src, dst FROM reach", again=True)
 def graph_closure(t: Tables) -> DataFrame:
     return graph.closure(graph.runtime(t.links))
 
 
-@query(f"WITH {REACH} SELECT node, count(src) AS transitive_dependents_count FROM nodes LEFT JOIN reach ON dst = node AND src <> dst GROUP BY node", part=True)
+@query(f"WITH {REACH} SELECT node, count(src) AS transitive_dependents_count FROM nodes LEFT JOIN reach ON dst = node AND src <> dst GROUP BY node", again=True)
 def graph_dependents(t: Tables) -> DataFrame:
     return graph.dependents(t.nodes, graph.closure(graph.runtime(t.links)))
 
 
 @query(f"""WITH {REACH}, mutual AS (SELECT a.src AS node, least(min(a.dst), a.src) AS cycle_id, count(*) + 1 AS n FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src)
-SELECT node, cycle_id, coalesce(n, 0) AS circular_dependency_size FROM nodes LEFT JOIN mutual USING (node)""", part=True)
+SELECT node, cycle_id, coalesce(n, 0) AS circular_dependency_size FROM nodes LEFT JOIN mutual USING (node)""", again=True)
 def graph_cycles(t: Tables) -> DataFrame:
     return graph.cycles(t.nodes, graph.closure(graph.runtime(t.links)))
 
@@ -330,13 +325,13 @@ def module_names(t: Tables) -> DataFrame:
 
 
 @query("""WITH named AS (SELECT DISTINCT 'a.b' || CAST(p_partkey % 30 AS VARCHAR) AS module FROM part WHERE p_partkey % 30 < 20 UNION SELECT 'a' AS module),
-used AS (SELECT DISTINCT l_suppkey AS path, 'a.b' || CAST(l_partkey % 30 AS VARCHAR) || '.c' AS candidate FROM lineitem WHERE l_orderkey % 100 = 0)
-SELECT path, candidate, arg_max(module, length(module)) AS module FROM used JOIN named ON starts_with(candidate || '.', module || '.') GROUP BY path, candidate""", part=True)
+used AS (SELECT DISTINCT l_suppkey AS path, 'a.b' || CAST(l_partkey % 30 AS VARCHAR) || '.c' AS candidate FROM lineitem)
+SELECT path, candidate, arg_max(module, length(module)) AS module FROM used JOIN named ON starts_with(candidate || '.', module || '.') GROUP BY path, candidate""", again=True)
 def import_prefixes(t: Tables) -> DataFrame:
     """Longest known prefix of dotted names."""
     some = t.read("part").where("p_partkey % 30 < 20").selectExpr("concat('a.b', p_partkey % 30) module").distinct()
     named = some.union(t.spark.createDataFrame([("a",)], "module string")).withColumn("path", F.col("module"))
-    used = t.some(t.read("lineitem"), "l_orderkey % 100 = 0").selectExpr("cast(l_suppkey as string) path", "concat('a.b', l_partkey % 30, '.c') candidate").distinct()
+    used = t.read("lineitem").selectExpr("cast(l_suppkey as string) path", "concat('a.b', l_partkey % 30, '.c') candidate").distinct()
     rows = used.selectExpr("path", "cast(hash(candidate) as int) statement", "0 ordinal", "candidate", "true is_runtime")
     return graph.resolve_imports(rows.withColumn("path", F.concat_ws(" ", "path", "candidate")), named).select(F.split("src", " ")[0].cast("long").alias("path"), F.split("src", " ")[1].alias("candidate"), F.col("dst").alias("module"))
 
@@ -469,20 +464,20 @@ def score_summary(t: Tables) -> DataFrame:
 
 # Store
 
-@query("""WITH rows AS (SELECT DISTINCT l_orderkey AS scan_id, l_partkey % 50 AS path, l_returnflag AS layer FROM lineitem WHERE l_orderkey % 20 = 0)
-SELECT scan_id, path, string_agg(layer, '|' ORDER BY layer) AS layers, count(*) AS n FROM rows GROUP BY scan_id, path""", part=True)
+@query("""WITH rows AS (SELECT DISTINCT l_orderkey AS scan_id, l_partkey % 50 AS path, l_returnflag AS layer FROM lineitem)
+SELECT scan_id, path, string_agg(layer, '|' ORDER BY layer) AS layers, count(*) AS n FROM rows GROUP BY scan_id, path""", again=True)
 def file_payloads(t: Tables) -> DataFrame:
-    rows = t.some(t.read("lineitem"), "l_orderkey % 20 = 0").selectExpr("l_orderkey scan_id", "l_partkey % 50 path", "l_returnflag layer").distinct()
+    rows = t.read("lineitem").selectExpr("l_orderkey scan_id", "l_partkey % 50 path", "l_returnflag layer").distinct()
     vectors = rows.select("*", F.create_map(F.lit("x"), F.lit(1.0), F.lit("y"), F.lit(float("nan"))).alias("metrics"), F.array().cast("array<string>").alias("errors"))
     out = store.file_payloads(rows, vectors)
     return out.select("scan_id", "path", F.sort_array(F.map_keys("metrics")).alias("layers"), F.size("metrics").cast("long").alias("n"))
 
 
-@query("""WITH named AS (SELECT DISTINCT l_orderkey AS scan_id, 'p' || CAST(l_partkey % 50 AS VARCHAR) AS path, l_orderkey * 100 + l_partkey % 50 AS file_id FROM lineitem WHERE l_orderkey % 20 = 0),
-raw AS (SELECT l_orderkey AS scan_id, 'p' || CAST(l_partkey % 50 AS VARCHAR) AS s, 'p' || CAST(l_suppkey % 50 AS VARCHAR) AS t FROM lineitem WHERE l_orderkey % 20 = 0)
-SELECT DISTINCT r.scan_id, a.file_id AS source_file_id, b.file_id AS target_file_id FROM raw r JOIN named a ON a.scan_id = r.scan_id AND a.path = s JOIN named b ON b.scan_id = r.scan_id AND b.path = t WHERE s <> t""", part=True)
+@query("""WITH named AS (SELECT DISTINCT l_orderkey AS scan_id, 'p' || CAST(l_partkey % 50 AS VARCHAR) AS path, l_orderkey * 100 + l_partkey % 50 AS file_id FROM lineitem),
+raw AS (SELECT l_orderkey AS scan_id, 'p' || CAST(l_partkey % 50 AS VARCHAR) AS s, 'p' || CAST(l_suppkey % 50 AS VARCHAR) AS t FROM lineitem)
+SELECT DISTINCT r.scan_id, a.file_id AS source_file_id, b.file_id AS target_file_id FROM raw r JOIN named a ON a.scan_id = r.scan_id AND a.path = s JOIN named b ON b.scan_id = r.scan_id AND b.path = t WHERE s <> t""", again=True)
 def stored_dependency_edges(t: Tables) -> DataFrame:
-    some = t.some(t.read("lineitem"), "l_orderkey % 20 = 0")
+    some = t.read("lineitem")
     named = some.selectExpr("l_orderkey scan_id", "concat('p', l_partkey % 50) path", "l_orderkey * 100 + l_partkey % 50 file_id").distinct()
     return store.dependency_edges(named, some.selectExpr("l_orderkey scan_id", "array(concat('p', l_partkey % 50), concat('p', l_suppkey % 50)) pair"))
 
