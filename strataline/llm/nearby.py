@@ -12,7 +12,8 @@ sets above K are built again from the texts. That links most copies at a cost of
 is left are pairs of one list in different components. Two members near one hub can be similar only if their
 overlaps with the hub alone would do (a condition on four numbers, joined once for each kind of member), or if
 they share values that the hub lacks, as many as make up for it; prefixes of these values, rare ones first within
-the group, make the lists of the next level, until no list spans two components. Each level takes the hub and its values out of a group, so work follows
+the group, make the lists of the next level, until no list spans two components, or until the lists left have few
+pairs for each node, which are then verified. Each level takes the hub and its values out of a group, so work follows
 the differences between copies and not the pairs of a group. Members that are not near the hub of their list
 meet the others of the list, under a length and a position filter.
 
@@ -40,6 +41,8 @@ from .exact import LOWER
 K, SIGMAS = 256, 6
 #: Values of a brief sketch, and the share of them that a node has in common with a hub that stands for its group.
 BRIEF, NEAR = 32, 0.3
+#: Lists that have no more pairs than so many for each node give them all.
+PAIRS_A_NODE = 2
 #: Bound of the table of frequent values.
 FREQUENT = 100_000
 
@@ -240,8 +243,8 @@ def components(t: Tables, edges: DataFrame) -> DataFrame:
 
     def settled(pairs: DataFrame) -> bool:
         """Whether each node points to one root and no root to another node."""
-        n, d = pairs.agg(F.count("*"), F.count_distinct("a")).first()
-        return n == d and pairs.join(pairs.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+        ends = pairs.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(pairs.select("b", F.lit(0), F.lit(1)))
+        return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
 
     now = t.write(edges.where("a <> b").select(*ordered("b", "a", "ba")).distinct())
     while not settled(now):
@@ -254,16 +257,21 @@ def components(t: Tables, edges: DataFrame) -> DataFrame:
     return out
 
 
-def hubs_of(t: Tables, lists: DataFrame) -> DataFrame:
-    """lists (group, value, nid, n, pos) of two members or more, with a hub for each list.
+def shared_lists(lists: DataFrame) -> DataFrame:
+    """Lists of two members or more: group, value, their number, and as a first hub a member with few rare values."""
+    deep = F.struct((F.col("pos") / F.col("n")).alias("depth"), "nid")
+    first = lists.groupBy("group", "value").agg(F.min(deep).alias("p"), F.count("*").alias("members")).where("members > 1")
+    return first.select("group", "value", F.col("p.nid").alias("hub"), "members")
+
 
-    A list first points to a member with few rare values; a node's home is the one that most of its lists point
+def hubs_of(t: Tables, lists: DataFrame, first: DataFrame) -> DataFrame:
+    """The lists of two members or more (group, value, nid, n, pos), with a hub for each.
+
+    A list points to its first hub; a node's home is the one that most of its lists point
     to; the list's hub is the home of most of its members, which is a member of the group, though not of each list.
     """
     key = ["group", "value"]
-    deep = F.struct((F.col("pos") / F.col("n")).alias("depth"), "nid")
-    first = lists.groupBy(*key).agg(F.min(deep).alias("p"), F.count("*").alias("members")).where("members > 1").select(*key, F.col("p.nid").alias("hub"))
-    live = t.write(lists.join(first, key))
+    live = t.write(lists.join(first.drop("members"), key))
     homes = live.groupBy("group", "nid", "hub").agg(F.count("*").alias("c")).groupBy("group", "nid").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("home"))
     at_home = t.write(live.drop("hub").join(homes, ["group", "nid"]))
     hubs = at_home.groupBy(*key, "home").agg(F.count("*").alias("c")).groupBy(*key).agg(F.max_by("home", F.struct("c", -F.col("home"))).alias("hub"))
@@ -300,9 +308,32 @@ def linked(t: Tables, lists: DataFrame, verifier: Verifier, percent: int) -> Dat
         t.drop(roots)
         return both
 
-    while not lists.isEmpty():
-        live = hubs_of(t, lists)
-        t.drop(lists)
+    def met(pairs: DataFrame) -> DataFrame:
+        """The roots after all of these pairs are verified."""
+        pairs = t.write(pairs.distinct())
+        likely = verifier.near(pairs, least_share(percent, BRIEF))
+        if likely.isEmpty():
+            t.drop(pairs, likely)
+            return roots
+        more = verifier.compare(likely)
+        out = added(more)
+        t.drop(pairs, likely, more)
+        return out
+
+    nodes = verifier.brief.count()
+    while True:
+        first = t.write(shared_lists(lists))
+        crossing = first.agg(F.coalesce(F.sum(F.expr("members * (members - 1) div 2")), F.lit(0))).first()[0]
+        if crossing <= PAIRS_A_NODE * nodes:  # then all pairs of the lists cost less than hubs
+            at = rooted(lists.join(first.select("group", "value"), ["group", "value"], "left_semi"), roots, "nid")
+            x, y = at.alias("x"), at.alias("y")
+            same = (F.col("x.group") == F.col("y.group")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.nid") < F.col("y.nid")) & (F.col("x.nid_root") != F.col("y.nid_root"))
+            if crossing:
+                roots = met(x.join(y, same & possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)).select(*ordered("x.nid", "y.nid")))
+            t.drop(lists, first, *([before] if before else []))
+            return roots
+        live = hubs_of(t, lists, first)
+        t.drop(lists, first)
         # Hubs and the members that may be near them.
         at_hub = live.where("nid = hub").select("group", "value", F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
         ahead = live.where("nid <> hub").join(at_hub, ["group", "value"], "left")
@@ -333,7 +364,7 @@ def linked(t: Tables, lists: DataFrame, verifier: Verifier, percent: int) -> Dat
         values = t.write(values.select("group", "value", "nid", "n"))
         beyond = values.groupBy("group", "nid").agg(F.count("*").alias("beyond"))
         members = t.write(around.join(beyond, ["group", "nid"], "left").select("group", "nid", "n", "root", "main", (F.col("n") - F.coalesce("beyond", F.lit(0))).alias("inside")))
-        kinds = t.write(members.groupBy("group", "n", "inside", "main").agg(F.count("*").alias("c")))
+        kinds = members.groupBy("group", "n", "inside", "main").agg(F.count("*").alias("c"))
         u, v = kinds.where("not main").alias("u"), kinds.alias("v")
         enough = (100 + percent) * F.least("u.inside", "v.inside") >= percent * (F.col("u.n") + F.col("v.n"))
         some = u.join(v, (F.col("u.group") == F.col("v.group")) & enough).select("u.group", *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "uv" for c in ("n", "inside", "main")))
@@ -342,12 +373,7 @@ def linked(t: Tables, lists: DataFrame, verifier: Verifier, percent: int) -> Dat
             some = some.join(of(s), ["group", f"{s}_n", f"{s}_inside", f"{s}_main"])
         nested = some.where("u_root <> v_root").select(*ordered("u_nid", "v_nid"))
 
-        pairs = t.write(strangers.union(nested).distinct())
-        if not pairs.isEmpty():
-            likely = verifier.near(pairs, least_share(percent, BRIEF))
-            more = verifier.compare(likely)
-            roots = added(more)
-            t.drop(likely, more)
+        roots = met(strangers.union(nested))
         # The next lists: of each member's values that the hubs lack, rare ones first, as many as must hold one that a similar member shares.
         smallest = members.groupBy("group").agg(F.min("n").alias("least"))
         wanted = members.join(smallest, "group").withColumn("least", F.greatest("least", F.ceil(percent * F.col("n") / 100)))
@@ -359,10 +385,8 @@ def linked(t: Tables, lists: DataFrame, verifier: Verifier, percent: int) -> Dat
         heads = t.write(heads.select("group", "value", "nid", "n", (F.col("pos") - 1).cast("long").alias("pos")))
         open_ = rooted(heads, roots, "nid").groupBy("group", "value").agg(F.min("nid_root").alias("r"), F.max("nid_root").alias("s")).where("r <> s").select("group", "value")
         lists = t.write(heads.join(open_, ["group", "value"], "left_semi"))
-        t.drop(live, close, near, others, around, members, kinds, pairs, heads, *([before] if before else []))
+        t.drop(live, close, near, others, around, members, heads, *([before] if before else []))
         before = values
-    t.drop(lists, *([before] if before else []))
-    return roots
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from hashlib import sha256
 
 import numpy as np
+import pytest
 
 from strataline.llm import exact, nearby, repeats
 from strataline.llm.common import Tables
@@ -69,7 +70,9 @@ def test_near(docs, texts, none):
     assert nearby.near_duplicates(none).count() == 0
 
 
-def test_near_groups_of_many_variants(spark, words):
+@pytest.mark.parametrize("pairs_a_node", [0, 2])
+def test_near_groups_of_many_variants(spark, words, monkeypatch, pairs_a_node):
+    monkeypatch.setattr(nearby, "PAIRS_A_NODE", pairs_a_node)  # 0: hubs until no list spans two components
     rng = random.Random(9)
     long, short = [rng.choice(words) for _ in range(420)], [rng.choice(words) for _ in range(90)]
     passage, out = [rng.choice(words) for _ in range(40)], []
