@@ -4,16 +4,19 @@ Three patterns of known forms (assign, access, hex) and, beside them, an entropy
 maximal runs of token characters; each character class keeps counts over a sliding window, updated by one
 character in and one out, and the windows whose entropy passes the class's threshold are joined to spans of
 kind ``entropy``. Candidates on an allow list (words, hyphenated or dotted words, paths, addresses of web
-pages, rulers of few characters, base spans) are suppressed. Without a digit, letters of one case count as words,
+pages up to their query part, numbers, runs of one character, base spans) are suppressed. Without a digit, letters of one case count as words,
 and letters of both where the pieces of their camel case are WORDY letters long in the mean; others are tested.
 
-Null texts are empty; null doc_ids, repeated rows and an empty table go through as they are. Offsets are code
-points with exclusive ends.
+Null texts are empty; null doc_ids, repeated rows and an empty table go through as they are; texts of any length
+are read whole, and only joined spans of one are held; columns other than the id and the text are ignored,
+whatever their names. Offsets are code points with exclusive ends.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter, deque
 from functools import lru_cache
 from hashlib import sha256
 from math import log2
@@ -30,13 +33,15 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORD = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 KINDS = ("assign", "access", "hex", "entropy")
 MIN_ASSIGNED = 6
-#: Entropy scan: window, and for each class its characters and the bits that a window must reach.
+#: Entropy scan: window, and for each class its characters, those that may lie between them, and the bits that a window must reach.
 WINDOW = 20
 CLASSES = (
-    ("hexadecimal", frozenset("0123456789abcdefABCDEF"), 3.0),
-    ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), 3.9),
+    ("hexadecimal", frozenset("0123456789abcdefABCDEF"), "-", 3.0),
+    ("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"), "", 3.9),
 )
 CANDIDATE = re.compile(r"[A-Za-z0-9+/=_-]{20,}")
+#: Addresses up to their query part, in which candidates are suppressed.
+ADDRESS = re.compile(r"""(?:[A-Za-z][A-Za-z0-9+.-]*://|www\.)[^\s"'<>?#]+""")
 #: Allow list: dotted, slashed or hyphenated words of small letters, numbers and dates, runs of one character; and see wordlike.
 ALLOWED = re.compile(r"[a-z]+(?:[-_/=+][a-z]+)*|[0-9_+/=-]+|(.)\1+", re.DOTALL)
 #: Pieces of camel case, and the letters that one has in the mean at least in words (in random letters 2.7).
@@ -54,33 +59,52 @@ def wordlike(run: str) -> bool:
     return run.islower() or run.isupper() or sum(map(len, pieces)) >= WORDY * len(pieces)
 
 
+def windows(run: str, members: frozenset[str], skipped: str, bits: float):
+    """From and to of the windows of WINDOW characters of the class that reach the bits; skipped characters lie inside, others end a window."""
+    table, counts, held, total = plogp(), Counter(), deque(), 0.0  # total: minus the entropy of the window
+    for k, c in enumerate(run):
+        if c in skipped:
+            continue
+        if c not in members:
+            counts.clear()
+            held.clear()
+            total = 0.0
+            continue
+        if len(held) == WINDOW:
+            _, gone = held.popleft()
+            total += table[counts[gone] - 1] - table[counts[gone]]
+            counts[gone] -= 1
+        total += table[counts[c] + 1] - table[counts[c]]
+        counts[c] += 1
+        held.append((k, c))
+        if len(held) == WINDOW and -total >= bits - 1e-9:
+            yield held[0][0], k + 1
+
+
+def joined_spans(spans):
+    """Spans in order of their starts, those that meet as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def entropy_spans(text: str) -> list[tuple[int, int]]:
     """Joined windows of high entropy inside candidates that the allow list does not suppress."""
-    spans, table = [], plogp()
+    spans: list[tuple[int, int]] = []
+    addresses = joined_spans(m.span() for m in ADDRESS.finditer(text)) if "://" in text or "www." in text else []
     for m in CANDIDATE.finditer(text):
         run, at = m[0], m.start()
         if ALLOWED.fullmatch(run) or not any(c.isalpha() for c in run) or (not any(c.isdigit() for c in run) and wordlike(run)):
             continue
-        hits = []
-        for _, members, bits in CLASSES:
-            counts: dict[str, int] = {}
-            inside, total = 0, 0.0  # characters of the class in the window; minus its entropy
-            for k, c in enumerate(run):
-                if c in members:
-                    n = counts.get(c, 0)
-                    total += table[n + 1] - table[n]
-                    counts[c], inside = n + 1, inside + 1
-                if k >= WINDOW and (gone := run[k - WINDOW]) in members:
-                    n = counts[gone]
-                    total += table[n - 1] - table[n]
-                    counts[gone], inside = n - 1, inside - 1
-                if k >= WINDOW - 1 and inside == WINDOW and -total >= bits:
-                    hits.append((at + k - WINDOW + 1, at + k + 1))
-        for s, e in sorted(hits):
-            if spans and s <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
-            else:
-                spans.append((s, e))
+        k = bisect_right(addresses, (at, len(text))) - 1
+        if k >= 0 and at < addresses[k][1]:
+            continue
+        found = [x for _, members, skipped, bits in CLASSES for x in joined_spans(windows(run, members, skipped, bits))]
+        spans += [(at + s, at + e) for s, e in joined_spans(sorted(found))]
     return spans
 
 

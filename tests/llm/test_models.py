@@ -90,6 +90,36 @@ def test_secrets(docs, texts, none):
     assert Counter(r["doc_id"] for r in secrets.find_secrets(docs).collect()) == Counter(i for i, _ in texts)
 
 
+def test_entropy_spans_by_definition():
+    def bits(part):
+        return -sum(c / len(part) * np.log2(c / len(part)) for c in Counter(part).values())
+
+    def brute(run):
+        hit = [False] * len(run)
+        for _, members, skipped, least in secrets.CLASSES:
+            places = [k for k, c in enumerate(run) if c not in skipped]
+            for a in range(len(places) - secrets.WINDOW + 1):
+                window = places[a : a + secrets.WINDOW]
+                part = [run[k] for k in window]
+                if all(c in members for c in part) and bits(part) >= least - 1e-9:
+                    hit[window[0] : window[-1] + 1] = [True] * (window[-1] + 1 - window[0])
+        edges = np.flatnonzero(np.diff(np.r_[False, hit, False]))
+        return [(int(a), int(z)) for a, z in edges.reshape(-1, 2)]
+
+    rng = random.Random(14)
+    for _ in range(400):
+        run = "".join(rng.choice(rng.choice(("abcdef0123456789", "ABCXYZabcxyz0189+/=_-", "aaaa1", "0123456789abcdef-"))) for _ in range(rng.randint(20, 70)))
+        if secrets.ALLOWED.fullmatch(run) or not any(c.isalpha() for c in run) or (not any(c.isdigit() for c in run) and secrets.wordlike(run)):
+            assert secrets.entropy_spans(run) == []
+        else:
+            assert secrets.entropy_spans(f"é {run} x") == [(a + 2, z + 2) for a, z in brute(run)]
+    uuid, letters = "3f2b8c1d-9e47-4a60-b5d2-7c81e0f6a394", "qWzXvRtYbNmKpLjHgFdSaQweZx"
+    assert secrets.entropy_spans(f"id {uuid}.") == [(3, 39)] and secrets.entropy_spans(f"key {letters} end")
+    assert not secrets.entropy_spans("see https://example.com/item-1234567890abcdefXYZ/page, www.example.org/a/Zx8Qp2Lk9Vb4Nm7Tr1Wq6Ys3/b")
+    assert secrets.entropy_spans("see https://example.com/page?key=Zx8Qp2Lk9Vb4Nm7Tr1Wq6Ys3")
+    assert sum(e - s for s, e in secrets.entropy_spans("Zx8Qp2Lk9Vb4Nm7Tr1Wq6Ys3" * 20_000)) == 480_000
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     centres = rng.integers(0, 2, (6, 64))
@@ -123,6 +153,7 @@ def test_pipeline_stages(spark, docs, texts, labels, tmp_path):
     empty = held.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+    assert out["secret_redaction"](spark, held.drop("n_chars"), str(tmp_path)).columns == held.drop("n_chars").columns
 
 
 def test_gapped_insults_in_long_texts():
