@@ -13,6 +13,7 @@ table gives an empty result, and columns other than the id and the text are igno
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -49,35 +50,40 @@ def cut(capacity: int, end_id: int, vocab: str | None):
 
 
 class Sums:
-    """Index of the lengths still available: exact single, pair and triple complements of a gap."""
+    """Hash index of the sums of one, two and three of the lengths available, for exact complements of a gap.
 
-    def __init__(self, counts: dict[int, int], capacity: int):
-        self.left, self.capacity, self.bits, self.mirror = Counter(counts), capacity, 0, 0
-        for n, c in counts.items():
-            if c:
-                self._flip(n)
+    pairs: sum -> larger lengths a of the pairs (a, sum - a), triples: sum -> largest lengths c of the triples, both
+    in ascending order. Counts only fall, so entries found dead for lack of pieces leave the index for good.
+    """
 
-    def _flip(self, n: int) -> None:
-        self.bits ^= 1 << n
-        self.mirror ^= 1 << (self.capacity - n)
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.left = Counter(counts)
+        lengths = np.array(sorted(n for n, c in counts.items() if c), np.int64)
+        self.pairs: dict[int, list[int]] = {}
+        least = np.full(capacity + 1, capacity + 1)  # of each pair sum, the least larger length
+        for a in lengths.tolist():
+            for b in lengths[: np.searchsorted(lengths, min(a, capacity - a), "right")].tolist():
+                self.pairs.setdefault(a + b, []).append(a)
+        for total, larger in self.pairs.items():
+            least[total] = larger[0]
+        self.triples: dict[int, list[int]] = {}
+        for c in lengths.tolist():
+            for total in (np.flatnonzero(least[: capacity - c + 1] <= c) + c).tolist() if c <= capacity else ():
+                self.triples.setdefault(total, []).append(c)
 
     def take(self, n: int, times: int) -> None:
         self.left[n] -= times
-        if not self.left[n]:
-            self._flip(n)
 
     def pair(self, gap: int, at_most: int) -> tuple[int, int] | None:
-        """The pair a >= b with a + b = gap and the largest a, or None."""
-        d = self.capacity - gap
-        hits = self.bits & (self.mirror >> d if d >= 0 else self.mirror << -d) & ((1 << (min(at_most, gap - 1) + 1)) - 1)
-        while hits:
-            a = hits.bit_length() - 1
-            b = gap - a
-            if b > a:
-                return None
-            if a != b or self.left[a] > 1:
+        """The pair a >= b with a + b = gap, a <= at_most and the largest a, or None."""
+        larger = self.pairs.get(gap, [])
+        k = bisect_right(larger, at_most) - 1
+        while k >= 0:
+            a, b = larger[k], gap - larger[k]
+            if a != b and self.left[a] and self.left[b] or a == b and self.left[a] > 1:
                 return a, b
-            hits ^= 1 << a
+            del larger[k]
+            k -= 1
         return None
 
     def fill(self, gap: int) -> tuple[int, ...] | None:
@@ -88,20 +94,21 @@ class Sums:
             return (gap,)
         if found := self.pair(gap, gap - 1):
             return found
-        below = self.bits & ((1 << max(gap - 1, 0)) - 1)
-        while below:
-            c = below.bit_length() - 1
-            below ^= 1 << c
-            if 3 * c < gap:
-                return None
-            if (found := self.pair(gap - c, c)) and all(self.left[x] >= k for x, k in Counter((c, *found)).items()):
+        largest = self.triples.get(gap, [])
+        for k in range(len(largest) - 1, -1, -1):
+            c = largest[k]
+            if not self.left[c]:
+                del largest[k]
+                continue
+            found = self.pair(gap - c, c)
+            if found and all(self.left[x] >= n for x, n in Counter((c, *found)).items()):
                 return (c, *found)
         return None
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """Bins for a histogram of lengths: (how many alike, ((length, first rank), ...)) in order of offset."""
-    sums, used = Sums({n: c for n, c in counts.items() if c}, capacity), Counter()
+    sums, used = Sums(counts, capacity), Counter()
     bins: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     open_: dict[int, list[tuple[int, tuple[tuple[int, int], ...]]]] = defaultdict(list)
 
@@ -117,9 +124,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, tuple[tuple[i
         while (have := sums.left[n]) > 0:
             sums.take(n, 1)  # the bin's own piece is not its complement
             found = () if n == capacity else sums.fill(capacity - n)
-            sums.left[n] += 1
-            if sums.left[n] == 1:
-                sums._flip(n)
+            sums.take(n, -1)
             if found is None:
                 rest.append((n, have))
                 sums.take(n, have)

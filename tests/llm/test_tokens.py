@@ -1,6 +1,8 @@
 import random
+import zlib
 from collections import Counter
 from hashlib import sha256
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -73,6 +75,11 @@ def test_plan_against_bound():
         assert used == counts
         need = -(-sum(k * c for k, c in counts.items()) // capacity)
         assert sum(t for t, _ in bins) <= need + max(1, need // 20)
+    for gap in range(1, 41):  # the index against all choices
+        counts = Counter(rng.randint(1, 40) for _ in range(12))
+        found = packing.Sums(counts, 40).fill(gap)
+        every = [c for k in (1, 2, 3) for c in combinations(sorted(counts.elements()), k) if sum(c) == gap]
+        assert (found is None) == (not every) and (found is None or len(found) == len(every[0]) and tuple(sorted(found)) in every)
     assert packing.plan({}, 8) == [] and packing.plan({4: 3}, 8)
 
 
@@ -85,6 +92,13 @@ def test_pack(spark, docs, texts, none, library):
     got = packing.pack(docs, capacity=64).toPandas()
     size = sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in texts)
     assert got["length"].sum() == size
+    want = Counter()
+    for i, t in texts:
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 64):
+            want[i, k // 64, k, len(ids[k : k + 64]), zlib.crc32(np.array(ids[k : k + 64], "<u4").tobytes())] += 1
+    rows = got[["piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)
+    assert Counter((None if i != i else int(i), *map(int, r)) for i, r in zip(got["doc_id"], rows, strict=True)) == want
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 64
     assert got["sequence_id"].nunique() <= -(-size // 64) + 2
