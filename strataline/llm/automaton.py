@@ -172,7 +172,9 @@ def words_of(path: str | None = None) -> Words:
 def encode_documents(docs: DataFrame, vocab: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids (little-endian uint32 as bytes) and decoded text of every row.
 
-    Null texts are empty: no ids, decoded to the empty string. Null doc_ids and repeated rows stay as they are.
+    Null texts are empty: no ids, decoded to the empty string. Null doc_ids and repeated rows stay as they are; an empty
+    table gives an empty result; columns other than the id and the text are ignored, whatever their names; texts and
+    words of any length are read whole.
     """
 
     def run(batches):

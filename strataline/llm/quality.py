@@ -8,7 +8,9 @@ of the training makes the scores probabilities. The network is fitted on at most
 (those whose hashed ids are least); word vectors come from all documents.
 
 Null and empty texts pool to zero and get the score of the network there; rows with a null label or null
-doc_id teach nothing; without labels of both kinds every score is their share, or 0.5 without any.
+doc_id teach nothing; without labels of both kinds every score is their share, or 0.5 without any. Repeated rows
+are scored alike and teach once; an empty table gives an empty result; other columns pass through, whatever their
+names; long texts are read whole, in parts of CHUNK tokens.
 """
 
 from __future__ import annotations
@@ -71,7 +73,7 @@ def sequences(texts):
 
 def context_sums(batches):
     """Sums of near index vectors over the rows of a task, as rows of GROUP buckets."""
-    vectors, sums = index_vectors(), np.zeros((BUCKETS, DIM), np.float32)
+    vectors, sums = index_vectors(), np.zeros((BUCKETS, DIM), np.float64)  # whole numbers, the same in any order
     for b in pieces(batches):
         for held, _ in sequences(b.column(0).to_pylist()):
             ids, text = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
@@ -91,8 +93,8 @@ def context_sums(batches):
 def add_up(table: pa.Table) -> pa.Table:
     total = np.zeros(GROUP * DIM, np.float64)
     for x in table.column("sums"):
-        total += np.frombuffer(x.as_buffer(), np.float32)
-    return pa.table({"part": table.column("part").slice(0, 1), "salt": pa.array([0], pa.int32()), "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+        total += np.frombuffer(x.as_buffer(), np.float64)
+    return pa.table({"part": table.column("part").slice(0, 1), "salt": pa.array([0], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
@@ -103,7 +105,7 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
         sums = sums.groupBy(*keys).applyInArrow(add_up, schema)
     out = np.zeros((BUCKETS // GROUP, GROUP * DIM), np.float32)
     for r in sums.collect():
-        out[r["part"]] = np.frombuffer(r["sums"], np.float32)
+        out[r["part"]] = np.frombuffer(r["sums"], np.float64)
     out = out.reshape(BUCKETS, DIM)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norm, out=out, where=norm > 0)
@@ -168,10 +170,10 @@ def probability(x: np.ndarray, model) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, max_labelled: int) -> DataFrame:
-    """doc_id, text and label of at most max_labelled labelled rows; the bound makes the labels fit for broadcast."""
+    """doc_id, text and label of at most max_labelled rows; the bound makes the labels fit for broadcast. Of rows that share an id the least text counts."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[column].cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    return docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "label")
+    return docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, name: str = "score", max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
