@@ -137,15 +137,21 @@ def circular_dependencies(t: Tables) -> DataFrame:
     return fl.circular_dependencies(members, t.files).select("scan_id", "group_id", "size", F.transform("members", lambda m: m["file_path"]).alias("paths"))
 
 
-FILE = "(SELECT min(file_id) FROM files WHERE file_id % 12 = 9)"
+FILE = "(SELECT source_file_id FROM pairs GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
+
+def busiest(edges: DataFrame) -> int | None:
+    """The file with the most edges from it."""
+    found = edges.groupBy("source_file_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source_file_id").head()
+    return found[0] if found else None
 
 
 @query(f"""WITH {FILE_EDGES}, edges AS (SELECT CASE WHEN source_file_id = {FILE} THEN target_file_id ELSE source_file_id END AS file_id, CASE WHEN source_file_id = {FILE} THEN 'outgoing' ELSE 'incoming' END AS direction
 FROM pairs WHERE source_file_id = {FILE} OR target_file_id = {FILE})
 SELECT file_id, direction, file_path, priority_band FROM edges JOIN files USING (file_id)""", again=True)
 def file_dependencies(t: Tables) -> DataFrame:
-    one = t.files.where("file_id % 12 = 9").agg(F.min("file_id")).first()[0]
-    return fl.neighbours(file_edges(t), t.files, one)
+    edges = file_edges(t)
+    return fl.neighbours(edges, t.files, busiest(edges))
 
 
 CO = "co AS (SELECT scan_id, least(source_file_id, target_file_id) AS a, greatest(source_file_id, target_file_id) AS b FROM pairs GROUP BY ALL)"
@@ -153,7 +159,7 @@ CO = "co AS (SELECT scan_id, least(source_file_id, target_file_id) AS a, greates
 
 @query(f"WITH {FILE_EDGES}, {CO} SELECT f.file_id, file_path, priority_band FROM co JOIN files f ON f.file_id = CASE WHEN a = {FILE} THEN b ELSE a END WHERE a = {FILE} OR b = {FILE}", again=True)
 def co_changed_files(t: Tables) -> DataFrame:
-    one = t.files.where("file_id % 12 = 9").agg(F.min("file_id")).first()[0]
+    one = busiest(file_edges(t))
     edges = file_edges(t).select("scan_id", F.least("source_file_id", "target_file_id").alias("file_id_a"), F.greatest("source_file_id", "target_file_id").alias("file_id_b")).distinct()
     return fl.co_changed(edges, t.files, one)
 
