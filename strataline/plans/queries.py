@@ -115,6 +115,38 @@ def list_scan_files(t: Tables) -> DataFrame:
     return fl.list_scan_files(t.scans, t.projects, t.files, SCAN, None)
 
 
+OWN_SCAN = f"(SELECT max(scan_id) FROM scans JOIN projects USING (project_id) WHERE status = 'succeeded' AND user_id = {USER})"
+
+
+@query(f"SELECT file_id, file_path, priority_band FROM files JOIN scans USING (scan_id) JOIN projects USING (project_id) WHERE scan_id = {OWN_SCAN} AND user_id = {USER}")
+def owned_scan_files(t: Tables) -> DataFrame:
+    """Files of a user's newest scan; another user's request for it gives none."""
+    own = t.scans.where("status = 'succeeded'").join(t.projects.where(F.col("user_id") == USER).select("project_id"), "project_id", "left_semi")
+    scan = own.agg(F.max("scan_id")).first()[0]
+    found = fl.list_scan_files(t.scans, t.projects, t.files, scan, USER)
+    return found.unionByName(fl.list_scan_files(t.scans, t.projects, t.files, scan, USER + 1))
+
+
+@query("SELECT DISTINCT CASE priority_band WHEN 'critical' THEN 'Critical' WHEN 'high' THEN 'High' WHEN 'medium' THEN 'Medium' WHEN 'low' THEN 'Low' ELSE 'Unscored' END AS label, priority_band FROM files")
+def priority_labels(t: Tables) -> DataFrame:
+    return t.files.select(F.coalesce(F.initcap("priority_band"), F.lit("Unscored")).alias("label"), "priority_band").distinct()
+
+
+SUFFIXES = [*paths.LANGUAGES, ".xyz", ""]
+KNOWN = ", ".join(f"('{k}', '{v}')" for k, v in paths.LANGUAGES.items())
+PLACED = ", ".join(f"({k}, '{s}')" for k, s in enumerate(SUFFIXES))
+
+
+@query(f"""WITH suffixes(k, s) AS (VALUES {PLACED}),
+named AS (SELECT p_partkey, 'src/a.b/f' || CAST(p_partkey AS VARCHAR) || CASE WHEN p_partkey % 2 = 0 THEN upper(s) ELSE s END AS path, s FROM part JOIN suffixes ON p_partkey % {len(SUFFIXES)} = k)
+SELECT path, coalesce(language, 'Unknown') AS language FROM named LEFT JOIN (VALUES {KNOWN}) l(suffix, language) ON s = suffix""")
+def file_languages(t: Tables) -> DataFrame:
+    """The language of paths of all suffixes, in both cases."""
+    suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("p_partkey") % len(SUFFIXES) + 1).cast("int"))
+    path = F.concat(F.lit("src/a.b/f"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 2 == 0, F.upper(suffix)).otherwise(suffix))
+    return t.read("part").select(path.alias("path")).select("path", paths.language(F.col("path")).alias("language"))
+
+
 FILE_EDGES = "pairs AS (SELECT a.scan_id, a.file_id AS source_file_id, b.file_id AS target_file_id FROM files a JOIN files b USING (scan_id) WHERE a.file_id % 3 = 0 AND b.file_id % 4 = 1 AND a.file_id <> b.file_id)"
 
 

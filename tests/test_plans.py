@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 from datetime import date, datetime
 
 import pytest
@@ -68,7 +69,7 @@ def test_page_counts():
     assert scans.page_counts(21, 2, 10) == {"total_pages": 3, "has_next": True, "has_prev": True}
 
 
-@pytest.mark.parametrize("name", ["refactor_scores", "top_files", "graph_degrees", "history_metrics", "semantic_matches", "snapshot"])
+@pytest.mark.parametrize("name", ["refactor_scores", "top_files", "file_languages", "owned_scan_files", "priority_labels", "graph_degrees", "history_metrics", "semantic_matches", "snapshot"])
 def test_queries_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     import os
@@ -103,7 +104,7 @@ def test_streaming_windows(spark, tmp_path):
 
 
 def test_whole_tables(spark, tmp_path):
-    """Queries named _whole against brute force, on keys that the parts of the SQL leave out."""
+    """Queries of whole tables against brute force."""
     from strataline.plans import queries
 
     lines = [(o, p, s, n, "NAR"[(o + p) % 3], (o + p) % 10 / 100, datetime(2020, 1, 1 + n)) for o in (1, 7, 51, 100) for n, (p, s) in enumerate([(3 * o, 2), (o + 5, 9), (o + 10, 13), (2, o + 10), (3 * o, 4), (62, 12)], 1)]
@@ -121,7 +122,8 @@ def test_whole_tables(spark, tmp_path):
     for (o, f), name in files.items():
         groups.setdefault((o, f % 3), []).append(name)
     assert got("circular_dependencies_whole") == sorted((*k, len(v), "|".join(sorted(v))) for k, v in groups.items())
-    one = min(f for _, f in files if f % 12 == 9)
+    most = Counter(a for _, a, *_ in pairs)
+    one = min(a for a in most if most[a] == max(most.values()))
     touching = {(b if a == one else a, "outgoing" if a == one else "incoming") for _, a, b, *_ in pairs if one in (a, b)}
     assert touching and {r[:2] for r in got("file_dependencies_whole")} == touching and {r[0] for r in got("co_changed_files_whole")} == {f for f, _ in touching}
     layers: dict = {}
@@ -161,7 +163,7 @@ def test_directory_insight(spark, tmp_path):
 
 
 def test_whole_graphs(spark, tmp_path):
-    """On every line, parts and suppliers unmerged: keys and numbers beyond those that the SQL's part keeps apart."""
+    """Graphs of all lines against brute force."""
     import random
     from collections import deque
 
