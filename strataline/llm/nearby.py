@@ -38,8 +38,8 @@ from pyspark.sql.window import Window
 from .common import Tables, documents, keyed, marked_by, pieces
 from .exact import LOWER
 
-K, SIGMAS = 256, 6
-#: Values of a brief sketch, and the share of them that a node has in common with a hub that stands for its group.
+K, SIGMAS = 128, 6
+#: Values of a brief sketch (their upper halves), and the share of them that a node has in common with a hub that stands for its group.
 BRIEF, NEAR = 32, 0.3
 #: Lists that have no more pairs than so many for each node give them all.
 PAIRS_A_NODE = 2
@@ -152,7 +152,7 @@ def estimate(least: float):
         for b in pieces(batches):
             keep = []
             for x, y in zip(b.column(4), b.column(5), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
                 union = np.union1d(x, y)[:BRIEF]
                 keep.append(np.count_nonzero(np.intersect1d(x, y, assume_unique=True) <= union[-1]) >= least * len(union))
             yield pa.record_batch([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -160,6 +160,13 @@ def estimate(least: float):
     return run
 
 
+def shortened(batches):
+    """nid, n and the brief sketch; halves that meet by chance only make an estimate higher."""
+    for b in pieces(batches):
+        halves = [np.unique((np.frombuffer(s.as_buffer(), np.uint64)[:BRIEF] >> np.uint64(32)).astype(np.uint32)).tobytes() for s in b.column(2)]
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(halves, pa.binary())], ["nid", "n", "sketch"])
+
+
 def compared(batches):
     """a, b, their sizes, how much the whole sets share, and the values of a that b lacks."""
     for b in pieces(batches, 32):
@@ -188,7 +195,7 @@ class Verifier:
 
     def __init__(self, t: Tables, docs: DataFrame, nodes: DataFrame, size: int):
         self.t, self.docs, self.nodes, self.size = t, docs, nodes, size
-        self.brief = t.write(nodes.select("nid", "n", F.substring("sketch", 1, 8 * BRIEF).alias("sketch")))
+        self.brief = t.write(nodes.select("nid", "n", "sketch").mapInArrow(shortened, "nid long, n long, sketch binary"))
 
     def near(self, pairs: DataFrame, least: float) -> DataFrame:
         return self.t.write(with_both(pairs, self.brief, "sketch").mapInArrow(estimate(least), "a long, b long"))
@@ -239,7 +246,7 @@ def components(t: Tables, edges: DataFrame) -> DataFrame:
             out = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = out.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
-        return t.write(out.where("a <> b").distinct())
+        return out.where("a <> b").distinct()
 
     def settled(pairs: DataFrame) -> bool:
         """Whether each node points to one root and no root to another node."""
@@ -248,9 +255,8 @@ def components(t: Tables, edges: DataFrame) -> DataFrame:
 
     now = t.write(edges.where("a <> b").select(*ordered("b", "a", "ba")).distinct())
     while not settled(now):
-        half = stars(now, True)
-        new = stars(half, False)
-        t.drop(now, half)
+        new = t.write(stars(stars(now, True), False))
+        t.drop(now)
         now = new
     out = t.write(now.select(F.col("a").alias("nid"), F.col("b").alias("root")).union(now.select(F.col("b").alias("nid"), F.col("b").alias("root")).distinct()))
     t.drop(now)
@@ -271,7 +277,8 @@ def hubs_of(t: Tables, lists: DataFrame, first: DataFrame) -> DataFrame:
     to; the list's hub is the home of most of its members, which is a member of the group, though not of each list.
     """
     key = ["group", "value"]
-    live = t.write(lists.join(first.drop("members"), key))
+    some = marked_by(lists, "value", first, "value", "some").where("some").drop("some")  # most values are in no shared list
+    live = t.write(some.join(first.drop("members"), key))
     homes = live.groupBy("group", "nid", "hub").agg(F.count("*").alias("c")).groupBy("group", "nid").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("home"))
     at_home = t.write(live.drop("hub").join(homes, ["group", "nid"]))
     hubs = at_home.groupBy(*key, "home").agg(F.count("*").alias("c")).groupBy(*key).agg(F.max_by("home", F.struct("c", -F.col("home"))).alias("hub"))
