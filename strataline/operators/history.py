@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numeric import ratio
+from ..sources.storage import cut
 
 #: Words that mark a repair, anywhere in a lower-cased subject (fixed values).
 BUG_WORDS = ("fix", "bug", "issue", "patch", "hotfix", "repair", "correct", "defect")
@@ -30,9 +31,9 @@ def changes(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
     return rows.withColumn("age", F.row_number().over(w.orderBy("ts", "hash"))).withColumn("recency", F.row_number().over(w.orderBy(F.desc("ts"), F.desc("hash"))))
 
 
-def co_changes(commits: DataFrame, commit_files: DataFrame, newest: int = CO_CHANGE_COMMITS, bulk: int = BULK_FILES) -> DataFrame:
-    """path and peer of each pair changed together in the newest changes of path, its creation and bulk commits aside."""
-    looked = changes(commits, commit_files).where((F.col("age") > 1) & (F.col("recency") <= newest)).select("path", "hash")
+def co_changes(commits: DataFrame, commit_files: DataFrame, newest: int = CO_CHANGE_COMMITS, bulk: int = BULK_FILES, made: DataFrame | None = None) -> DataFrame:
+    """path and peer of each pair changed together in the newest changes of path, its creation and bulk commits aside; made: the changes, if there already."""
+    looked = (changes(commits, commit_files) if made is None else made).where((F.col("age") > 1) & (F.col("recency") <= newest)).select("path", "hash")
     touched = commit_files.select("hash", "path").distinct()
     sizes = touched.groupBy("hash").agg(F.count("*").alias("files")).where(F.col("files") <= bulk).select("hash")
     peers = touched.join(sizes, "hash").select("hash", F.col("path").alias("peer"))  # at most `bulk` rows a commit
@@ -41,7 +42,7 @@ def co_changes(commits: DataFrame, commit_files: DataFrame, newest: int = CO_CHA
 
 def history_metrics(commits: DataFrame, commit_files: DataFrame, as_of: datetime, sizes: DataFrame | None = None, newest: int = CO_CHANGE_COMMITS, bulk: int = BULK_FILES) -> DataFrame:
     """Metrics of each path; sizes(path, lines) gives the lines that churn is held against, unknown ones count as 1."""
-    rows = changes(commits, commit_files)
+    rows = cut(changes(commits, commit_files))
     bug = F.lower("subject").rlike("|".join(BUG_WORDS)) & (F.col("age") > 1)
     recent = F.col("ts") >= F.add_months(F.lit(as_of).cast("timestamp").cast("date"), -RECENT_MONTHS).cast("timestamp")
     out = rows.groupBy("path").agg(
@@ -50,7 +51,7 @@ def history_metrics(commits: DataFrame, commit_files: DataFrame, as_of: datetime
     )
     sized = rows.join(commit_files.select("hash", F.col("path").alias("any")).distinct().groupBy("hash").agg(F.count("*").alias("files")), "hash").where((F.col("age") > 1) & (F.col("recency") <= newest))
     looked = sized.groupBy("path").agg(F.count("*").alias("commits_analyzed"), F.count_if(F.col("files") > bulk).alias("bulk_commits_skipped"))
-    peers = co_changes(commits, commit_files, newest, bulk).groupBy("path").agg(F.count("*").alias("co_change_file_count"), F.sort_array(F.collect_list("peer")).alias("co_changed_files"))
+    peers = co_changes(commits, commit_files, newest, bulk, rows).groupBy("path").agg(F.count("*").alias("co_change_file_count"), F.sort_array(F.collect_list("peer")).alias("co_changed_files"))
     out = out.join(looked, "path", "left").join(peers, "path", "left")
     lines = F.lit(1)
     if sizes is not None:

@@ -7,7 +7,7 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import paths
+from ..functions import jsons, paths
 from ..functions.numeric import percent
 from ..operators import duplication, graph, history, scoring
 from ..sources import store
@@ -147,6 +147,46 @@ def file_languages(t: Tables) -> DataFrame:
     return t.read("part").select(path.alias("path")).select("path", paths.language(F.col("path")).alias("language"))
 
 
+REPLY = "CASE WHEN turn % 5 = 4 THEN 'no object ' || role ELSE 'Here: ```json' || chr(10) || '{{\"role\": \"' || role || '\", \"turn\": ' || CAST(turn AS VARCHAR) || CASE WHEN turn % 5 = 3 THEN '' ELSE '}}' END || chr(10) || '``` {end}' END"
+
+
+@query(f"""WITH texts AS (SELECT conv_id, turn, {REPLY.format(end="end.")} AS text FROM conversations), found AS (SELECT conv_id, turn, nullif(regexp_extract(text, '\\{{.*\\}}', 0, 's'), '') AS object FROM texts)
+SELECT conv_id, turn, object, CASE WHEN object IS NULL THEN NULL ELSE json_extract_string(object, '$.role') END AS role FROM found""")
+def salvaged_json(t: Tables) -> DataFrame:
+    """JSON objects out of texts with fences and words around them, some broken off."""
+    text = F.expr(REPLY.format(end="end.").replace("VARCHAR", "STRING"))
+    found = t.read("conversations").select("conv_id", "turn", jsons.salvaged(text).alias("object"))
+    return found.select("conv_id", "turn", "object", F.get_json_object("object", "$.role").alias("role"))
+
+
+@query("""WITH texts AS (SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '{}' WHEN o_orderkey % 4 = 1 THEN '[]' ELSE '[' || CAST(o_orderkey AS VARCHAR) || ', ' || CAST(o_custkey AS VARCHAR) || ']' END AS text FROM orders)
+SELECT o_orderkey, unnest(CASE WHEN json_type(text) = 'ARRAY' THEN CAST(json(text) AS BIGINT[]) ELSE [] END) AS item FROM texts""")
+def json_items(t: Tables) -> DataFrame:
+    """The elements of JSON arrays; other JSON has none."""
+    text = F.expr("case when o_orderkey % 4 = 0 then '{}' when o_orderkey % 4 = 1 then '[]' else concat('[', o_orderkey, ', ', o_custkey, ']') end")
+    return t.read("orders").select("o_orderkey", F.explode(jsons.items(text, "bigint")).alias("item"))
+
+
+@query("""SELECT l_orderkey, '{' || string_agg('"p' || CAST(k AS VARCHAR) || '":' || CAST(n AS VARCHAR), ',' ORDER BY 'p' || CAST(k AS VARCHAR)) || '}' AS object
+FROM (SELECT l_orderkey, l_partkey % 20 AS k, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey""")
+def sorted_json(t: Tables) -> DataFrame:
+    """Counts of each order as JSON with sorted keys."""
+    counts = t.read("lineitem").groupBy("l_orderkey", F.concat(F.lit("p"), (F.col("l_partkey") % 20).cast("string")).alias("k")).agg(F.count("*").alias("n"))
+    return counts.groupBy("l_orderkey").agg(jsons.sorted_json(F.map_from_entries(F.collect_list(F.struct("k", "n")))).alias("object"))
+
+
+@query("""SELECT id, CASE WHEN name IN ('ASIA', 'EUROPE') THEN name END AS role, strftime(timezone('UTC', timezone('America/New_York', created_at)), '%Y-%m-%d %H:%M:%S') AS created_utc FROM users JOIN roles r ON r.id = role_id""".replace("SELECT id,", "SELECT users.id,"))
+def user_roles(t: Tables) -> DataFrame:
+    """Known roles, others unknown, and local times in UTC."""
+    rows = t.users.join(t.roles.select(F.col("id").alias("role_id"), F.col("name").alias("role")), "role_id")
+    return rows.select("id", jsons.known(F.col("role"), ("ASIA", "EUROPE")).alias("role"), jsons.in_utc(F.col("created_at"), "America/New_York").alias("created_utc"))
+
+
+@query("""SELECT 'all' AS kind, src, dst FROM every_edge UNION ALL SELECT 'runtime', src, dst FROM live UNION ALL (SELECT 'type_only', src, dst FROM every_edge EXCEPT SELECT 'type_only', src, dst FROM live)""")
+def graph_edge_metadata(t: Tables) -> DataFrame:
+    return graph.edge_metadata(t.links)
+
+
 FILE_EDGES = "pairs AS (SELECT a.scan_id, a.file_id AS source_file_id, b.file_id AS target_file_id FROM files a JOIN files b USING (scan_id) WHERE a.file_id % 3 = 0 AND b.file_id % 4 = 1 AND a.file_id <> b.file_id)"
 
 

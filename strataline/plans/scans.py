@@ -102,7 +102,7 @@ def status_counts(scans: DataFrame, projects: DataFrame, user_id, project_id=Non
 
 def owned_scans(scans: DataFrame, projects: DataFrame, project_id, user_id=None) -> DataFrame:
     owned = matching(projects, project_id=project_id, user_id=user_id).select("project_id")
-    return matching(scans, project_id=project_id).join(F.broadcast(owned), "project_id")  # one row
+    return matching(scans, project_id=project_id).join(owned, "project_id", "left_semi")
 
 
 def latest_finished(scans: DataFrame, statuses=("succeeded",), limit: int = HISTORY) -> DataFrame:
@@ -114,7 +114,7 @@ def risk_trend(scans: DataFrame, projects: DataFrame, files: DataFrame, project_
     """Mean score in per cent of the last succeeded scans; those without files as 0."""
     last = latest_finished(owned_scans(scans, projects, project_id, user_id), limit=limit).select("scan_id", "finished_at")
     means = last.join(files.select("scan_id", "refactor_score"), "scan_id", "left").groupBy("scan_id", "finished_at").agg(F.avg("refactor_score").alias("mean"))
-    return means.select("scan_id", "finished_at", percent(F.col("mean")).alias("average_score"))
+    return means.select("scan_id", "finished_at", percent(F.col("mean")).alias("average_score")).orderBy("finished_at", "scan_id")
 
 
 def duration_trend(scans: DataFrame, projects: DataFrame, project_id, user_id=None, limit: int = HISTORY) -> DataFrame:
