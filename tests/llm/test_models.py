@@ -4,12 +4,16 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from strataline.llm import hamming, quality, registry, secrets, toxicity
 
+from .test_copies import brute, lowered
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -175,6 +179,34 @@ def test_pipeline_stages(spark, docs, texts, labels, tmp_path):
     assert out["secret_redaction"](spark, held.drop("n_chars"), str(tmp_path)).columns == held.drop("n_chars").columns
 
 
+def test_pipeline_from_end_to_end(spark, texts, labels, tmp_path):
+    """run() against the stages done by brute force; the quality model is the one that the labels give."""
+    held = [(i, t, len(t or "")) for i, t in texts if i is not None and i != 58]
+    docs = spark.createDataFrame(held, "doc_id long, text string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    scores = {r["doc_id"]: r["score"] for r in quality.score_quality(docs, labels).collect()}
+    kept = {i: t or "" for i, t, _ in held if scores[i] >= corpus_pipeline.QUALITY_AT_LEAST}
+    by_text = {}
+    for i, t in kept.items():
+        by_text[lowered(t)] = max(i, by_text.get(lowered(t), i))
+    kept = {i: kept[i] for i in by_text.values()}
+    classes = brute(list(kept.items()), 5, 80)
+    kept = {i: kept[i] for i, _, least in classes if i == least}
+    marked = {i: secrets.redact(t) for i, t in kept.items()}
+    assert len({*scores}) > len(by_text) > len(marked) > 20 and any("[SECRET]" in t for t in marked.values()) == any(marked[i] != kept[i] for i in kept)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter()
+    for i, t in marked.items():
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        for k in range(0, len(ids), 2048):
+            want[i, k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(np.array(ids[k : k + 2048], "<u4").tobytes())] += 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert Counter(got[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None)) == want
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 2048
+
+
 def test_gapped_insults_in_long_texts():
     rng = random.Random(6)
     words = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(2, 7))) for _ in range(300)]
