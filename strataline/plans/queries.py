@@ -387,7 +387,7 @@ def graph_dependents(t: Tables) -> DataFrame:
 @query(f"""WITH {REACH}, mutual AS (SELECT a.src AS node, least(min(a.dst), a.src) AS cycle_id, count(*) + 1 AS n FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src)
 SELECT node, cycle_id, coalesce(n, 0) AS circular_dependency_size FROM nodes LEFT JOIN mutual USING (node)""", again=True)
 def graph_cycles(t: Tables) -> DataFrame:
-    return graph.cycles(t.nodes, graph.closure(graph.runtime(t.links)))
+    return graph.cycles(t.nodes, graph.runtime(t.links))
 
 
 @query()

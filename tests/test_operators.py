@@ -48,12 +48,25 @@ def test_imports_and_architecture(spark):
     assert rows["service.py"]["betweenness_centrality"] == round(1 / 6, 6)
 
 
+def test_strong_components(spark):
+    rng = random.Random(8)
+    for n, m in ((12, 16), (30, 45), (9, 40), (5, 0)):
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)} | ({(k, k + 1) for k in range(20, 26)} if n == 30 else set())
+        reach = {(a, b) for a, b in pairs if a != b}
+        while len(more := reach | {(a, d) for a, b in reach for c, d in reach if b == c}) > len(reach):
+            reach = more
+        want = {v: [w for w in range(n) if w != v and (v, w) in reach and (w, v) in reach] for v in range(n)}
+        nodes, edges = spark.range(n).withColumnRenamed("id", "node"), spark.createDataFrame(sorted(pairs), "src long, dst long")
+        got = {r["node"]: (r["cycle_id"], r["circular_dependency_size"]) for r in graph.cycles(nodes, graph.all_edges(edges.withColumn("is_runtime", F.lit(True)))).collect()}
+        assert got == {v: (min([v, *w]), len(w) + 1) if w else (None, 0) for v, w in want.items()}
+
+
 def test_cycles(spark):
     edges = spark.createDataFrame([("a", "b", True), ("b", "c", True), ("c", "a", False), ("c", "d", True)], "src string, dst string, is_runtime boolean")
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "node string")
     got = {r["node"]: r for r in graph.architecture_metrics(nodes, edges).collect()}
     assert [got[x]["circular_dependency_size"] for x in "abcd"] == [3, 3, 3, 0] and not any(got[x]["runtime_circular_dependency_size"] for x in "abcd")
-    members = graph.cycles(nodes, graph.closure(graph.all_edges(edges)))
+    members = graph.cycles(nodes, graph.all_edges(edges))
     (group,) = graph.cycle_groups(members, graph.all_edges(edges)).collect()
     assert group["nodes"] == ["a", "b", "c"] and [tuple(e) for e in group["edges"]] == [("a", "b"), ("b", "c"), ("c", "a")]
 
