@@ -11,7 +11,9 @@ before the anchors, then tell for which d an equal string starts elsewhere. Comp
 hashes decide nothing but where to look.
 
 Equal texts meet first, by SHA-256, copies collapsing before the exchange: all of a text of LENGTH bytes that has
-a copy goes, and one of the copies stands for all in the sort, so repeated rows cost what they read.
+a copy goes, and one of the copies stands for all in the sort, so repeated rows cost what they read. In the same
+way a task sends one of equal contexts (the bytes around an anchor that its strings cover), so that the inside of a
+passage that many texts share reaches its owner once from each task; its ends, where texts differ, still all meet.
 
 Defined cases: texts are UTF-8 bytes, null or empty ones have none; rows are documents of their own, so two
 rows with one doc_id and one text repeat each other; texts above CHUNK bytes are read in parts that overlap, with
@@ -266,7 +268,7 @@ FOUND = pa.schema([("tid", pa.int64()), ("start", pa.int64()), ("end", pa.int64(
 
 
 def owner_side(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    out = ([], [], [])
+    out = tuple([x for xs in table.column(c).to_pylist() for x in xs] for c in ("tid", "start", "end"))  # known to the tasks
     keys, shared, fields = [], [], []
 
     def close():
@@ -306,34 +308,44 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     t.drop(marks, twice)
 
     def runs(batches):
-        items, ids, size = [], [], 0
+        """A task's sorted runs for each owner. Contexts that it holds twice or more are sent once, and their spans are known."""
+        items, first, known, size = [], {}, {}, 0
 
         def sent():
             items.sort(key=lambda x: (x[0], x[1][0]))
             at = 0
             while at < len(items):
-                to = at
-                while to < len(items) and items[to][0] == items[at][0]:
+                to, owner = at, items[at][0]
+                while to < len(items) and items[to][0] == owner:
                     to += 1
                 part = [x[1] for x in items[at:to]]
                 used = {k: j for j, k in enumerate(dict.fromkeys(x[2] for x in part))}
-                yield pa.record_batch([pa.array([items[at][0]], pa.int32()), pa.array([front_coded([(*x[:2], used[x[2]], *x[3:]) for x in part], [ids[k] for k in used])], pa.binary())], ["owner", "run"])
+                run = front_coded([(*x[:2], used[x[2]], *x[3:]) for x in part], list(used))
+                spans = zip(*known.get(owner, ()), strict=True) if owner in known else ([], [], [])
+                yield pa.record_batch([pa.array([owner], pa.int32()), pa.array([run], pa.binary()), *(pa.array([list(x)], pa.list_(pa.int64())) for x in spans)], ["owner", "run", "tid", "start", "end"])
                 at = to
 
         for b in pieces(batches):
             for tid, body, found in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 for m in found:
                     p, d1, d2, h = m["place"], m["d1"], m["d2"], m["hash"] & 0xFFFFFFFFFFFFFFFF
-                    key = h.to_bytes(8, "big") + body[p : p + LENGTH - d1]
-                    items.append((h % owners, (key, body[p - d2 : p][::-1], len(ids), p, d1, d2)))
-                    size += LENGTH + d2 - d1
-                ids.append(tid)
+                    key, left = h.to_bytes(8, "big") + body[p : p + LENGTH - d1], body[p - d2 : p][::-1]
+                    one, owner = (tid, p - d2, p - d1 + LENGTH), h % owners
+                    before = first.get((key, left, d1, d2))
+                    if before is not None:
+                        known.setdefault(owner, []).extend([before, one] if before != () else [one])
+                        first[key, left, d1, d2] = ()
+                        size += 24
+                    else:
+                        first[key, left, d1, d2] = one
+                        items.append((owner, (key, left, tid, p, d1, d2)))
+                        size += LENGTH + d2 - d1
                 if size > RUN_BYTES:
                     yield from sent()
-                    items, ids, size = [], [], 0
+                    items, first, known, size = [], {}, {}, 0
         yield from sent()
 
-    sent = texts.select("tid", "body").join(live, "tid").mapInArrow(runs, "owner int, run binary")
+    sent = texts.select("tid", "body").join(live, "tid").mapInArrow(runs, "owner int, run binary, tid array<long>, start array<long>, end array<long>")
     spans = t.write(sent.groupBy("owner").applyInArrow(owner_side, "tid long, start long, end long"))
     gone = spans.groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.length("body").cast("long").alias("end")))
