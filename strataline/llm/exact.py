@@ -61,14 +61,15 @@ def send(owners: int):
 
     def run(batches):
         block = TaskContext.get().partitionId()
-        ids, held = [], bytearray()  # 32 bytes of digest for each row
+        ids, nulls, held = [], [], bytearray()  # copies, for a column of a batch keeps its texts alive; 32 bytes of digest for each row
         for b in pieces(batches):
-            ids.append(b.column(0))
+            ids.append(b.column(0).fill_null(0).to_numpy(zero_copy_only=False).copy())
+            nulls.append(b.column(0).is_null().to_numpy(zero_copy_only=False).copy())
             for text in b.column(1).cast(pa.binary()):
                 held += sha256(text.as_py().translate(LOWER)).digest()
         if not held:
             return
-        ids = pa.chunked_array(ids)
+        ids, nulls = np.concatenate(ids), np.concatenate(nulls)
         prints = (np.frombuffer(held, ">u8").reshape(-1, 4)[:, 0] >> np.uint64(64 - FINGERPRINT_BITS)).astype(np.int64)
         distinct, back, counts = np.unique(prints, return_inverse=True, return_counts=True)
         owner = distinct // span
@@ -77,7 +78,7 @@ def send(owners: int):
         names, types = [x.split()[0] for x in SENT.split(", ")], [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
         for at in range(0, len(ids), 10_000):
             k = slice(at, at + 10_000)
-            own = ids[k].combine_chunks()
+            own = pa.array(ids[k], pa.int64(), mask=nulls[k])
             n = len(own)
             shas = [held[32 * j : 32 * j + 32].hex() for j in range(at, at + n)]
             cols = [(block << 33) + np.arange(at, at + n), shas, np.full(n, block), owner[back[k]], pos[back[k]], [None] * n]
