@@ -35,7 +35,7 @@ class Tables:
 
     def write(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         path = f"{self.top}/{len(self.paths)}"
-        before = self.spark.conf.get(self.SHUFFLES)
+        before = self.spark.conf.get(self.SHUFFLES, "false")
         self.spark.conf.set(self.SHUFFLES, "true")
         try:
             df.write.option("compression", compression).parquet(path)
