@@ -76,9 +76,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in Arrow batches of fewer rows than Spark's default, on both sides of the pipe; a user's own number stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text alone, whatever else docs holds; null texts count as empty."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
 
 
@@ -92,6 +100,7 @@ def pieces(batches, rows: int = 256):
 def mapped_texts(docs: DataFrame, name: str, kind: T.DataType, fn, text_col: str = "text", rows: int = 256) -> DataFrame:
     """docs with one more column, or a new one in its place: fn of the lists of texts, null ones as empty. All other columns pass through."""
     ship(docs.sparkSession)
+    small_batches(docs.sparkSession)
     inner = "".join(["_", *docs.columns])  # a name that no column has
     schema = T.StructType([f for f in docs.schema.fields if f.name != name] + [T.StructField(name, kind)])
     order = docs.columns if name in docs.columns else [*docs.columns, name]

@@ -93,7 +93,7 @@ def often(batches):
         for s in b.column(0):
             held.append(np.frombuffer(s.as_buffer(), np.uint64))
             size += len(held[-1])
-        if size > 1 << 22:
+        if size > 1 << 20:
             yield counted()
             held, size = [], 0
     if held:
