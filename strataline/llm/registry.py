@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import automaton, exact, hamming, nearby, packing, quality, repeats, secrets, tokenstore, toxicity
+from . import automaton, exact, hamming, infill, nearby, packing, quality, repeats, secrets, tokenstore, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_suffix_dedup": repeats.op8_suffix_dedup,
     "op9_minhash_near_dedup": nearby.op9_minhash_near_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact.OP1_SQL,
     "op4_topk_hamming": hamming.OP4_SQL,
+    "op13_fill_in_middle": infill.OP13_SQL,
 }
