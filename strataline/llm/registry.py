@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import automaton, exact, hamming, infill, nearby, packing, quality, repeats, secrets, tokenstore, toxicity
+from . import automaton, exact, hamming, infill, nearby, packing, prefixes, quality, repeats, secrets, tokenstore, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_suffix_dedup": repeats.op8_suffix_dedup,
     "op9_minhash_near_dedup": nearby.op9_minhash_near_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op12_prefix_trie": prefixes.op12_prefix_trie,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact.OP1_SQL,
     "op4_topk_hamming": hamming.OP4_SQL,
+    "op12_prefix_trie": prefixes.OP12_SQL,
     "op13_fill_in_middle": infill.OP13_SQL,
 }
