@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import automaton, exact, hamming, infill, nearby, packing, prefixes, quality, repeats, secrets, tokenstore, toxicity
+from . import automaton, exact, hamming, infill, nearby, packing, passages, prefixes, quality, repeats, secrets, tokenstore, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": repeats.op8_suffix_dedup,
     "op9_minhash_near_dedup": nearby.op9_minhash_near_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_fm_index_passages": passages.op11_fm_index_passages,
     "op12_prefix_trie": prefixes.op12_prefix_trie,
     "op13_fill_in_middle": infill.op13_fill_in_middle,
 }
