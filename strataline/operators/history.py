@@ -1,4 +1,8 @@
-"""Change-history metrics from commit tables: commits(hash, email, ts, subject) and commit_files(hash, path, added, deleted), added and deleted as text."""
+"""Change-history metrics from commit tables: commits(hash, email, ts, subject, pos) and commit_files(hash, path, added, deleted), added and deleted as text.
+
+pos is a commit's place in the log, counted from the newest; times are whole seconds and do not tell the order of
+commits of one second. Tables without pos fall back on time and hash.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +32,9 @@ def changes(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
     lines = lambda c: F.coalesce(F.col(c).try_cast("long"), F.lit(0))  # noqa: E731  "-" of binary files counts 0
     rows = commit_files.groupBy("path", "hash").agg(F.sum(lines("added") + lines("deleted")).alias("churn")).join(commits, "hash")
     w = Window.partitionBy("path")
-    return rows.withColumn("age", F.row_number().over(w.orderBy("ts", "hash"))).withColumn("recency", F.row_number().over(w.orderBy(F.desc("ts"), F.desc("hash"))))
+    newest = [F.col("pos"), F.col("hash")] if "pos" in commits.columns else [F.desc("ts"), F.desc("hash")]
+    oldest = [F.desc("pos"), F.desc("hash")] if "pos" in commits.columns else [F.col("ts"), F.col("hash")]
+    return rows.withColumn("age", F.row_number().over(w.orderBy(*oldest))).withColumn("recency", F.row_number().over(w.orderBy(*newest)))
 
 
 def co_changes(commits: DataFrame, commit_files: DataFrame, newest: int = CO_CHANGE_COMMITS, bulk: int = BULK_FILES, made: DataFrame | None = None) -> DataFrame:

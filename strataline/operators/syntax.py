@@ -221,15 +221,25 @@ def blocks(source: str | None) -> tuple[list[dict], list[str]]:
 BLOCK = "struct<block: int, kind: string, start: int, end: int, tokens: array<string>, lines: array<int>, text: string>"
 
 
-def code_blocks(sources: DataFrame) -> DataFrame:
-    """path, block, kind, start, end, tokens, lines, text of the blocks of sources(path, source)."""
+def parsed_blocks(sources: DataFrame) -> DataFrame:
+    """path, found (a list of blocks) and errors of every row of sources(path, source)."""
     ship(sources.sparkSession)
 
     @pandas_udf(f"found array<{BLOCK}>, errors array<string>")
     def cut(source: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([blocks(s) for s in source], columns=["found", "errors"])
 
-    return sources.select("path", cut("source").alias("b")).select("path", F.explode("b.found").alias("b")).select("path", "b.*")
+    return sources.select("path", cut("source").alias("b")).select("path", "b.*")
+
+
+def code_blocks(sources: DataFrame) -> DataFrame:
+    """path, block, kind, start, end, tokens, lines, text of the blocks of sources(path, source)."""
+    return listed(parsed_blocks(sources))
+
+
+def listed(parsed: DataFrame) -> DataFrame:
+    """The blocks of parsed_blocks, a row each."""
+    return parsed.select("path", F.explode("found").alias("b")).select("path", "b.*")
 
 
 def import_candidates(source: str | None, module: str) -> list[dict]:

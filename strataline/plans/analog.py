@@ -27,7 +27,8 @@ nodes AS (SELECT src AS node FROM links UNION SELECT dst FROM links),
 live AS (SELECT DISTINCT src, dst FROM links WHERE is_runtime AND src <> dst),
 every_edge AS (SELECT DISTINCT src, dst FROM links WHERE src <> dst),
 commits AS (
-  SELECT CAST(o_orderkey AS VARCHAR) AS hash, ' c' || CAST(o_custkey % 40 AS VARCHAR) AS email, o_orderdate AS ts, CASE WHEN o_orderkey % 5 = 0 THEN 'Fix build' WHEN o_orderkey % 5 = 1 THEN 'prefix change' ELSE 'feature' END AS subject FROM orders),
+  SELECT CAST(o_orderkey AS VARCHAR) AS hash, ' c' || CAST(o_custkey % 40 AS VARCHAR) AS email, o_orderdate AS ts, CASE WHEN o_orderkey % 5 = 0 THEN 'Fix build' WHEN o_orderkey % 5 = 1 THEN 'prefix change' ELSE 'feature' END AS subject,
+         CAST(date_diff('day', o_orderdate, TIMESTAMP '2100-01-01') AS BIGINT) * 1000000007 + o_orderkey * 7919 % 1000000007 AS pos FROM orders),
 commit_files AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS hash, 'p' || CAST(l_partkey AS VARCHAR) AS path, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS added, CASE WHEN l_linenumber % 4 = 0 THEN '-' ELSE CAST(l_linenumber AS VARCHAR) END AS deleted FROM lineitem),
 records AS (
@@ -86,7 +87,9 @@ class Tables:
 
     @property
     def commits(self) -> DataFrame:
-        return self.read("orders").selectExpr("cast(o_orderkey as string) hash", "concat(' c', o_custkey % 40) email", "cast(o_orderdate as timestamp) ts", "case when o_orderkey % 5 = 0 then 'Fix build' when o_orderkey % 5 = 1 then 'prefix change' else 'feature' end subject")
+        """The log's order follows the days, and within a day neither hash nor key."""
+        return self.read("orders").selectExpr("cast(o_orderkey as string) hash", "concat(' c', o_custkey % 40) email", "cast(o_orderdate as timestamp) ts", "case when o_orderkey % 5 = 0 then 'Fix build' when o_orderkey % 5 = 1 then 'prefix change' else 'feature' end subject",
+            "cast(datediff(date'2100-01-01', cast(o_orderdate as date)) as bigint) * 1000000007 + o_orderkey * 7919 % 1000000007 pos")
 
     @property
     def commit_files(self) -> DataFrame:

@@ -417,7 +417,7 @@ def import_prefixes(t: Tables) -> DataFrame:
 # History
 
 CHANGES = """WITH touched AS (SELECT path, hash, sum(coalesce(try_cast(added AS BIGINT), 0) + coalesce(try_cast(deleted AS BIGINT), 0)) AS churn FROM commit_files GROUP BY path, hash),
-changes AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts, hash) AS age, row_number() OVER (PARTITION BY path ORDER BY ts DESC, hash DESC) AS recency FROM touched JOIN commits USING (hash)),
+changes AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY pos DESC, hash DESC) AS age, row_number() OVER (PARTITION BY path ORDER BY pos, hash) AS recency FROM touched JOIN commits USING (hash)),
 sizes AS (SELECT hash, count(DISTINCT path) AS files FROM commit_files GROUP BY hash),
 peers AS (SELECT DISTINCT c.path, f.path AS peer FROM changes c JOIN sizes s USING (hash) JOIN commit_files f USING (hash) WHERE age > 1 AND recency <= 20 AND s.files <= 6 AND c.path <> f.path)
 """

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import duplication, graph, history, scoring, syntax
-from ..sources import store, workspace
+from ..sources import gitlog, store, workspace
 from ..sources.storage import cut
 
 #: Metrics of each layer.
@@ -40,15 +40,20 @@ def layer(paths: DataFrame, name: str, made: Callable[[], DataFrame]) -> DataFra
         out = paths.select("path").join(rows, "path", "left").withColumn(f"{name}_errors", F.coalesce(f"{name}_errors", no_errors()))
         return cut(out)
     except (PySparkException, ValueError) as e:
-        failed = F.array(F.lit(f"{name} failed: {str(e).strip().splitlines()[0][: workspace.ERROR_TAIL]}"))
+        failed = F.array(F.lit(f"{name} failed: {str(e).strip().splitlines()[0][: gitlog.ERROR_TAIL]}"))
         return cut(paths.select("path", *(F.lit(None).cast("double").alias(m) for m in metrics), failed.alias(f"{name}_errors")))
 
 
-def history_layer(paths: DataFrame, static: DataFrame, log: DataFrame | None, versions: DataFrame | None, as_of: datetime) -> DataFrame:
-    """Metrics of the log; without a repository's log every metric is unknown and the path has an error."""
+def history_layer(paths: DataFrame, static: DataFrame, log: DataFrame | None, versions: DataFrame | None, as_of: datetime, repo: str | None = None) -> DataFrame:
+    """Metrics of the log; without a repository's log every metric is unknown and the path has an error. repo: whose log it is, where there are several; errors of others do not count."""
+    if log is not None and repo is not None:
+        log = log.where(F.col("repo") == repo)
+        versions = versions.where(F.col("repo") == repo) if versions is not None else None
     failed = log.where("error is not null").select("error").head() if log is not None else ["no repository"]
     if failed:
         raise ValueError(f"Failed to prepare git history context: {failed[0]}")
+    if log.select("repo").distinct().limit(2).count() > 1:
+        raise ValueError("the log has several repositories: say which one is scanned")
     commits, touched = workspace.split_log(log)
     sizes = static.select("path", F.col("lines_of_code").alias("lines"))
     made = history.history_metrics(commits, touched, as_of, sizes)
@@ -69,6 +74,7 @@ def architecture_layer(sources: DataFrame) -> DataFrame:
 
 def scan_files(
     sources: DataFrame, log: DataFrame | None = None, coverage: DataFrame | None = None, as_of: datetime | None = None, versions: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] | None = duplication.hashing_vectors,
+    repo: str | None = None,
 ) -> DataFrame:
     """One row for each file of sources(path, source): the metrics of four layers, their errors, and the scores.
 
@@ -80,11 +86,12 @@ def scan_files(
     static = layer(paths, "static", lambda: syntax.static_metrics(sources, coverage))
 
     def copies() -> DataFrame:
-        blocks = cut(syntax.code_blocks(sources))
-        return duplication.duplication_metrics(paths, blocks, cut(embed(blocks)) if embed else None)
+        parsed = cut(syntax.parsed_blocks(sources))
+        blocks = cut(syntax.listed(parsed))
+        return duplication.duplication_metrics(paths, blocks, cut(embed(blocks)) if embed else None).join(parsed.select("path", "errors"), "path", "left")
 
     layers = [
-        static, layer(paths, "history", lambda: history_layer(paths, static, log, versions, as_of or datetime.now())), layer(paths, "duplication", copies), layer(paths, "architecture", lambda: architecture_layer(sources)),
+        static, layer(paths, "history", lambda: history_layer(paths, static, log, versions, as_of or datetime.now(), repo)), layer(paths, "duplication", copies), layer(paths, "architecture", lambda: architecture_layer(sources)),
     ]
     wide = cut(reduce(lambda a, b: a.join(b, "path"), layers))
     return scoring.score_files(wide)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import subprocess
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import canonical, is_source
 from ..shipping import ship
-
-GIT_SECONDS, ERROR_TAIL = 120, 500
-COMMITS = "repo string, hash string, email string, ts timestamp, subject string, path string, added string, deleted string, source_path string, error string"
+from . import gitlog
+from .storage import cut
 
 
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
@@ -27,46 +25,10 @@ def read_sources(spark: SparkSession, root: str) -> DataFrame:
     return out.where(is_source(F.col("path"))).withColumn("error", F.when(F.col("source").isNull(), "Failed to read file: not UTF-8"))
 
 
-def numstat(body: str) -> list[tuple[str, str, str, str | None]]:
-    """added, deleted, path and the path before a rename, of the NUL-ended lines of one commit."""
-    out, fields = [], iter(body.split("\0"))
-    for line in fields:
-        if line.strip():
-            added, deleted, path = line.lstrip("\n").split("\t", 2)
-            before = None if path else next(fields)
-            out.append((added, deleted, path or next(fields), before))
-    return out
-
-
-def git_log(repo: str) -> list[dict]:
-    """Commits of a local repository with the lines of each file under today's path; one row with an error where git fails.
-
-    The log runs from the newest commit back, and a rename gives the old path's earlier commits to the new path.
-    `source_path` is the path of that time.
-    """
-    try:
-        done = subprocess.run(["git", "-C", repo, "log", "--no-merges", "--numstat", "-M", "-z", "--format=%x01%H%x02%ae%x02%at%x02%s%x03"], capture_output=True, text=True, errors="replace", timeout=GIT_SECONDS, check=True)
-    except (OSError, subprocess.SubprocessError) as e:
-        return [{"repo": repo, "error": (getattr(e, "stderr", None) or str(e))[-ERROR_TAIL:]}]
-    rows, today = [], {}
-    for entry in done.stdout.split("\x01")[1:]:
-        head, _, body = entry.partition("\x03")
-        hash_, email, at, subject = head.split("\x02", 3)
-        renamed = {}
-        for added, deleted, path, before in numstat(body):
-            now = today.get(path, path)
-            if before is not None:
-                renamed[before] = now
-                today.pop(path, None)  # an older file of the new name is another one
-            rows.append({"repo": repo, "hash": hash_, "email": email, "ts": pd.Timestamp(int(at), unit="s"), "subject": subject, "path": now, "added": added, "deleted": deleted, "source_path": path})
-        today |= renamed
-    return rows
-
-
 def git_sources(repo: str, wanted: list[tuple[str, str]]) -> list[str | None]:
     """The texts of (hash, path), null where git has none or it is no UTF-8."""
     asked = "".join(f"{h}:{p}\n" for h, p in wanted).encode()
-    done = subprocess.run(["git", "-C", repo, "cat-file", "--batch"], input=asked, capture_output=True, timeout=GIT_SECONDS, check=True).stdout
+    done = gitlog.git(repo, "cat-file", "--batch", asked=asked)
     out, at = [], 0
     for _ in wanted:
         end = done.index(b"\n", at)
@@ -84,36 +46,30 @@ def git_sources(repo: str, wanted: list[tuple[str, str]]) -> list[str | None]:
     return out
 
 
-def commit_log(spark: SparkSession, repos: list[str]) -> DataFrame:
-    """One row for each commit and file of local repositories that the executors see; a repository is one task's work."""
-    ship(spark)
-    columns = [c.split()[0] for c in COMMITS.split(", ")]
-
-    def run(frames):
-        for frame in frames:
-            for repo in frame["repo"]:
-                yield pd.DataFrame(git_log(repo), columns=columns, dtype=object).astype({"ts": "datetime64[us]"})
-
-    return spark.createDataFrame([(r,) for r in repos], "repo string").repartition(max(1, len(repos))).mapInPandas(run, COMMITS)
+def commit_log(spark: SparkSession, repos: list[str], commits: int = gitlog.RANGE) -> DataFrame:
+    """One row for each commit and file of local repositories that the executors see, under today's paths, with the commit's place `pos` in the log, newest first; an error row for a repository that cannot be read."""
+    return cut(gitlog.todays_paths(cut(gitlog.raw_log(spark, repos, commits))))
 
 
 def first_versions(log: DataFrame) -> DataFrame:
-    """repo, path, ts and source of the oldest commit of each *.py path of a log; a repository is one task's work."""
+    """repo, path, ts and source of the oldest commit of each *.py path of a log; a batch of rows asks git once for each repository in it."""
     ship(log.sparkSession)
-    first = log.where("error is null and path like '%.py'").groupBy("repo", "path").agg(F.min_by(F.struct("hash", "source_path", "ts"), F.struct("ts", "hash")).alias("v"))
+    first = log.where("error is null and path like '%.py'").groupBy("repo", "path").agg(F.max_by(F.struct("hash", "source_path", "ts"), "pos").alias("v"))
 
-    def read(frame: pd.DataFrame) -> pd.DataFrame:
-        out = frame[["repo", "path", "ts"]].copy()
-        out["source"] = git_sources(frame["repo"].iat[0], list(zip(frame["hash"], frame["source_path"], strict=True)))
-        return out
+    def read(frames):
+        for frame in frames:
+            for repo, rows in frame.groupby("repo"):
+                out = rows[["repo", "path", "ts"]].copy()
+                out["source"] = git_sources(repo, list(zip(rows["hash"], rows["source_path"], strict=True)))
+                yield out
 
-    return first.select("repo", "path", "v.*").groupBy("repo").applyInPandas(read, "repo string, path string, ts timestamp, source string")
+    return first.select("repo", "path", "v.*").mapInPandas(read, "repo string, path string, ts timestamp, source string")
 
 
-def split_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """commits and commit_files of one repository's log."""
-    good = log.where("error is null")
-    return good.select("hash", "email", "ts", "subject").distinct(), good.select("hash", "path", "added", "deleted")
+def split_log(log: DataFrame, repo: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """commits and commit_files of one repository's log; repo: which one, where the log has several."""
+    good = log.where("error is null") if repo is None else log.where((F.col("repo") == repo) & F.col("error").isNull())
+    return good.select("hash", "email", "ts", "subject", "pos").distinct(), good.select("hash", "path", "added", "deleted")
 
 
 def repositories(listing: DataFrame) -> DataFrame:
