@@ -45,7 +45,9 @@ CHUNK, SHARD = 1 << 18, 1 << 19
 CROWD, SHARE = 1000, 1 / 50_000
 #: Stands for a null id, smaller than all others.
 FIRST = -(1 << 63)
-MARKS = "tid long, doc long, gram long, ctx long, place int, start int, end int"
+#: Multipliers of the hashes of grams and of windows.
+GRAM, WIDE = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
+MARKS = "tid long, doc long, gram long, ctx long, start int, end int"
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -94,14 +96,14 @@ def chunks(texts: list[list[bytes]]):
 
 
 def anchors(texts: list[list[bytes]], hot: np.ndarray | None = None):
-    """text, gram, ctx, place, start and end of each context: its windows start from start to end - WINDOW, and share one anchor, at place.
+    """text, gram, ctx, start and end of each context: its windows start from start to end - WINDOW, and share one anchor, a gram.
 
     hot: sorted grams that are anchors of windows without another alone.
     """
     out = []
     for words, bounds in chunks(texts):
         h = word_hashes(words)
-        grams, wide = combined(h, K, 0xD6E8FEB86659FD93), combined(h, WINDOW, 0x9E3779B97F4A7C15)
+        grams, wide = combined(h, K, GRAM), combined(h, WINDOW, WIDE)
         order = grams >> np.uint64(1)
         if hot is not None and len(hot):
             found = grams.view(np.int64)
@@ -119,8 +121,8 @@ def anchors(texts: list[list[bytes]], hot: np.ndarray | None = None):
         s1, s2 = starts[turn], starts[np.r_[turn[1:], len(starts)] - 1]
         p, w = p[turn], w[turn]
         ctx = finish(wide[s1] * np.uint64(0xE7037ED1A0B428DB) + finish(wide[s2] + (s2 - s1).astype(np.uint64)))  # the first and the last window overlap, so both are all words
-        out.append((np.array([b[0] for b in bounds])[w], grams[p].view(np.int64), ctx.view(np.int64), p + base[w], s1 + base[w], s2 + WINDOW + base[w]))
-    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
+        out.append((np.array([b[0] for b in bounds])[w], grams[p].view(np.int64), ctx.view(np.int64), s1 + base[w], s2 + WINDOW + base[w]))
+    return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
 
 
 class Bits:
@@ -268,7 +270,7 @@ def searched(contexts: list[bytes], docs: list[int]) -> list[list[tuple[int, int
     return out
 
 
-SPANS = "gram long, ctx long, spans array<struct<start: int, end: int>>"
+SPANS = "gram long, ctx long, doc long, spans array<struct<start: int, end: int>>"
 
 
 def shards(batches):
@@ -277,9 +279,9 @@ def shards(batches):
 
     def closed():
         made = searched([r[3] for r in rows], [r[2] for r in rows])
-        kept = [(r[0], r[1], [{"start": a, "end": z} for a, z in spans]) for r, spans in zip(rows, made, strict=True) if spans]
+        kept = [(*r[:3], [{"start": a, "end": z} for a, z in spans]) for r, spans in zip(rows, made, strict=True) if spans]
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.record_batch([pa.array([r[k] for r in kept], t) for k, t in enumerate((pa.int64(), pa.int64(), kind))], ["gram", "ctx", "spans"])
+        return pa.record_batch([pa.array([r[k] for r in kept], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), kind))], ["gram", "ctx", "doc", "spans"])
 
     for b in pieces(batches):
         for row in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
@@ -299,43 +301,44 @@ def marked(texts: DataFrame, hot: np.ndarray | None = None) -> DataFrame:
         for b in pieces(batches):
             k, *rest = anchors([body.split() for body in b.column(2).to_pylist()], hot)
             k = pa.array(k)
-            yield pa.record_batch([b.column(0).take(k), b.column(1).take(k), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int64(), *[pa.int32()] * 3), strict=True))], [x.split()[0] for x in MARKS.split(", ")])
+            yield pa.record_batch([b.column(0).take(k), b.column(1).take(k), *(pa.array(x, t) for x, t in zip(rest, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True))], [x.split()[0] for x in MARKS.split(", ")])
 
     return texts.select("tid", "doc", "body").mapInArrow(run, MARKS)
 
 
-def cooled(texts: DataFrame, marks: DataFrame, groups: DataFrame, crowd: int, t: Tables) -> DataFrame:
-    """marks with the windows of hot grams under other anchors, where they have any."""
-    most = lambda rows: max(crowd, int(SHARE * rows))  # noqa: E731  so that at most 1 / SHARE values are above it
-    limit = most(groups.count())
-    hot = groups.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("gram")
-    hot = t.write(hot)
-    if hot.isEmpty():
-        return marks
-    near = t.write(marks.join(F.broadcast(hot), "gram").groupBy("tid").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+def near_hot(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """gram and n: how often each gram occurs in the contexts of hot grams."""
 
-    def grams(batches):
+    def run(batches):
         for b in pieces(batches):
-            out = []
-            for body, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = combined(word_hashes(body.split()), K, 0xD6E8FEB86659FD93)
+            split = [body.split() for body in b.column(0).to_pylist()]
+            k, gram, _, start, end = anchors(split)
+            mine, out = np.isin(gram, hot), []
+            for j in np.unique(k[mine]):
+                h = combined(word_hashes(split[j]), K, GRAM)
                 inside = np.zeros(len(h) + 1, np.int32)
-                for s in spans:
-                    inside[s["start"]] += 1
-                    inside[s["end"] - K + 1] -= 1
+                here = mine & (k == j)
+                np.add.at(inside, start[here], 1)
+                np.add.at(inside, end[here] - K + 1, -1)
                 out.append(h[np.cumsum(inside)[:-1] > 0])
-            values, counts = np.unique(np.concatenate(out), return_counts=True)
-            yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["gram", "n"])
-
-    counted = t.write(texts.join(near, "tid").select("body", "spans").mapInArrow(grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") > crowd))
-    limit = most(counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    wide = t.write(counted.where(F.col("n") > limit).select("gram").unionByName(hot).distinct())
-    known = np.sort(np.array([r[0] for r in wide.collect()], np.int64))  # at most 2 / SHARE values
-    touched = t.write(marks.join(F.broadcast(wide), "gram").select("tid").distinct())
-    again = marked(texts.join(touched, "tid", "left_semi"), known)
-    out = t.write(marks.join(touched, "tid", "left_anti").unionByName(again))
-    t.drop(hot, near, counted, wide, touched)
-    return out
+            if out:
+                values, counts = np.unique(np.concatenate(out), return_counts=True)
+                yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(counts, pa.int64())], ["gram", "n"])
+
+    return texts.select("body").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def hot_grams(texts: DataFrame, groups: DataFrame, several: DataFrame, crowd: int, t: Tables) -> np.ndarray:
+    """Sorted grams with too many contexts, and those as frequent near them; at most 2 / SHARE values, whatever the corpus."""
+    most = lambda rows: max(crowd, int(SHARE * rows))  # noqa: E731  at most 1 / SHARE values are above it
+    listed = lambda rows: np.sort(np.array([r[0] for r in rows.select("gram").collect()], np.int64))
+    hot = listed(several.where(F.col("contexts") > most(groups.count())))
+    if not len(hot):
+        return hot
+    near = t.write(near_hot(texts, hot).where(F.col("n") > crowd))
+    wide = listed(near.where(F.col("n") > most(near.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])))
+    t.drop(near)
+    return np.union1d(hot, wide)
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowd: int = CROWD) -> DataFrame:
@@ -344,15 +347,26 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     t, width = Tables(spark), shuffle_width(spark)
     texts = t.write(docs.select(F.monotonically_increasing_id().alias("tid"), "doc_id", F.coalesce("doc_id", F.lit(FIRST)).alias("doc"), F.col("text").cast("binary").alias("body")))
-    grouped = lambda rows: t.write(rows.groupBy("gram", "ctx").agg(F.min(F.struct("doc", "tid", "start", "end")).alias("one"), F.count("*").alias("n")))
-    raw = t.write(marked(texts))
-    groups = grouped(raw)
-    marks = cooled(texts, raw, groups, crowd, t)
-    if marks is not raw:
-        t.drop(raw, groups)
-        groups = grouped(marks)
-    several = groups.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1").select("gram")
-    asked = t.write(groups.join(several, "gram").select("gram", "ctx", "one.doc", "one.tid", "one.start", "one.end").groupBy("tid", "doc").agg(F.collect_list(F.struct("gram", "ctx", "start", "end")).alias("asked")))
+
+    def met(hot: np.ndarray | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The contexts of all texts, those that differ with their least owner, and grams with several of these."""
+        marks = t.write(marked(texts, hot))
+        groups = t.write(marks.groupBy("gram", "ctx").agg(F.min("doc").alias("least"), F.count("*").alias("n")))
+        return marks, groups, t.write(groups.groupBy("gram").agg(F.count("*").alias("contexts")).where("contexts > 1"))
+
+    marks, groups, several = met(None)
+    hot = hot_grams(texts, groups, several, crowd, t)
+    if len(hot):
+        t.drop(marks, groups, several)
+        marks, groups, several = met(hot)
+    both = F.xxhash64("gram", "ctx")
+    some = marked_by(groups, "gram", several, "gram", "some").where("some").join(several, "gram", "left_semi")
+    asked = t.write(some.select(F.col("gram").alias("g"), F.col("ctx").alias("c"), "least", both.alias("id")))
+    own = marked_by(marks.withColumn("own", both), "own", asked, "id", "some").where("some")
+    one = own.join(asked, (F.col("gram") == F.col("g")) & (F.col("ctx") == F.col("c")) & (F.col("doc") == F.col("least")))
+    one = one.groupBy("gram", "ctx", "doc").agg(F.min(F.struct("tid", "start", "end")).alias("one")).select("gram", "ctx", "doc", "one.*")  # where a document repeats itself
+    wanted = t.write(one.groupBy("tid", "doc").agg(F.collect_list(F.struct("gram", "ctx", "start", "end")).alias("asked")))
+    t.drop(several, asked)
 
     def cut(batches):
         for b in pieces(batches):
@@ -362,18 +376,20 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 out += [(x["gram"], x["ctx"], doc, b" ".join(words[x["start"] : x["end"]])) for x in asked]
             yield pa.record_batch([pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["gram", "ctx", "doc", "words"])
 
-    sent = marked_by(texts, "tid", asked, "tid", "some").where("some").select("tid", "body").join(asked, "tid").select("doc", "body", "asked").mapInArrow(cut, "gram long, ctx long, doc long, words binary")
+    sent = marked_by(texts, "tid", wanted, "tid", "some").where("some").select("tid", "body").join(wanted, "tid").select("doc", "body", "asked").mapInArrow(cut, "gram long, ctx long, doc long, words binary")
     found = t.write(sent.repartition(width, "gram").sortWithinPartitions("gram").mapInArrow(shards, SPANS))
-    t.drop(asked)
-    told = groups.join(found, ["gram", "ctx"], "left").where("n > 1 or spans is not null").select(F.col("gram").alias("g"), F.col("ctx").alias("c"), F.col("one.doc").alias("least"), "spans", F.xxhash64("gram", "ctx").alias("both"))
-    told = t.write(told)
-    named = marked_by(marks.withColumn("own", F.xxhash64("gram", "ctx")), "own", told, "both", "some").where("some")
-    met = named.join(told, (F.col("gram") == F.col("g")) & (F.col("ctx") == F.col("c")))
-    whole = F.array(F.struct("start", "end"))
-    moved = F.transform(F.coalesce("spans", F.array().cast("array<struct<start: int, end: int>>")), lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["end"] + F.col("start")).alias("end")))
-    spans = met.select("tid", F.when(F.col("doc") > F.col("least"), whole).otherwise(moved).alias("spans")).where(F.size("spans") > 0)
-    gone = t.write(spans.groupBy("tid").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    t.drop(groups, marks, found, told)
+    t.drop(wanted)
+    whole = groups.where("n > 1").select(F.col("gram").alias("g"), F.col("ctx").alias("c"), "least", F.lit(True).alias("all"), F.lit(None).cast("array<struct<start: int, end: int>>").alias("spans"))
+    parts = found.select(F.col("gram").alias("g"), F.col("ctx").alias("c"), F.col("doc").alias("least"), F.lit(False).alias("all"), "spans")
+    told = t.write(whole.unionByName(parts).withColumn("id", F.xxhash64("g", "c")))
+    t.drop(groups, found)
+    named = marked_by(marks.withColumn("own", both), "own", told, "id", "some").where("some")
+    # of a context with several owners all but the least lose all of it, and the least one what its shard has found
+    lost = named.join(told, (F.col("gram") == F.col("g")) & (F.col("ctx") == F.col("c")) & ((F.col("all") & (F.col("doc") > F.col("least"))) | (~F.col("all") & (F.col("doc") == F.col("least")))))
+    moved = F.transform("spans", lambda s: F.struct((s["start"] + F.col("start")).alias("start"), (s["end"] + F.col("start")).alias("end")))
+    spans = lost.select("tid", F.explode(F.coalesce(moved, F.array(F.struct("start", "end")))).alias("span"))
+    gone = t.write(spans.groupBy("tid").agg(F.collect_list("span").alias("spans")))
+    t.drop(marks, told)
 
     def kept(batches):
         for b in pieces(batches):

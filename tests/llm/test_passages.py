@@ -69,10 +69,11 @@ def test_hot_grams_are_split_with_the_same_result(spark, shared):
     assert got_of(passages.remove_passages(frame, crowd=4)) == brute(shared)
     t = Tables(spark)
     texts = t.write(frame.select(F.monotonically_increasing_id().alias("tid"), F.col("doc_id").alias("doc"), F.col("text").cast("binary").alias("body")))
-    raw = t.write(passages.marked(texts))
+    raw = passages.marked(texts)
+    groups = raw.groupBy("gram", "ctx").count()
+    hot = passages.hot_grams(texts, groups, groups.groupBy("gram").agg(F.count("*").alias("contexts")), 4, t)
     largest = lambda m: m.groupBy("gram").agg(F.count_distinct("ctx").alias("n")).agg(F.max("n")).first()[0]
-    cool = passages.cooled(texts, raw, t.write(raw.select("gram", "ctx").distinct()), 4, t)
-    assert largest(raw) >= 20 and largest(cool) < largest(raw)  # what is left are parts of one text, at most 41 * 42 / 2 for each
+    assert largest(raw) >= 20 and largest(passages.marked(texts, hot)) < largest(raw)  # what is left are parts of one text, at most 41 * 42 / 2 for each
 
 
 def test_long_texts_in_parts(spark, words, monkeypatch):
@@ -81,7 +82,7 @@ def test_long_texts_in_parts(spark, words, monkeypatch):
     every = [(2, " ".join(long)), (1, " ".join(long[130:330])), (3, " ".join(long[:200] + ["x"] + long[201:]))]
     monkeypatch.setattr(passages, "CHUNK", 100)
     split = [t.split() for _, t in ((i, t.encode()) for i, t in every)]
-    k, gram, ctx, place, start, end = passages.anchors(split)
+    k, gram, ctx, start, end = passages.anchors(split)
     for j, words_of in enumerate(split):
         covered = {s for a, z in zip(start[k == j], end[k == j], strict=True) for s in range(a, z - 49)}
         assert covered == set(range(len(words_of) - 49))
