@@ -120,6 +120,8 @@ def directory_insight(files: DataFrame, scan_id=None, limit: int = 5, reasons: s
     out = counts.join(best, "path")
     if reasons:
         said = rows.select("path", "file_path", F.posexplode(reasons).alias("n", "reason")).groupBy("path", "reason").agg(F.count("*").alias("c"), F.min(F.struct("file_path", "n")).alias("first"))
-        ranked = said.groupBy("path").agg(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("o"), "first", "reason"))).alias("r"))
-        out = out.join(ranked.select("path", F.transform(F.slice("r", 1, 3), lambda s: s["reason"]).alias("top_risk_reasons")), "path", "left")
+        place = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("c"), "first", "reason"))
+        ranked = said.select("path", "reason", place.alias("n")).where("n <= 3")  # a group limit before the shuffle
+        listed = ranked.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "reason"))), lambda s: s["reason"]).alias("top_risk_reasons"))
+        out = out.join(listed, "path", "left")
     return out.orderBy(F.desc(F.col("critical_files") + F.col("high_files")), F.desc("average_score"), F.asc("path")).limit(limit)

@@ -24,15 +24,13 @@ AS_OF = date(1998, 6, 15)
 TS = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {0}"
 
 
-def query(sql: str | None = None, again: bool = False):
-    """Register a query of tables, and its SQL, which may use the analog tables; again: as NAME_whole too, an older name."""
+def query(sql: str | None = None):
+    """Register a query of tables, and its SQL, which may use the analog tables."""
 
     def add(fn):
         name = fn.__name__
         QUERIES[name] = lambda spark, sf_dir: plain(fn(Tables(spark, sf_dir)))
         QUERIES[name].__doc__ = fn.__doc__
-        if again:
-            QUERIES[f"{name}_whole"] = QUERIES[name]
         if sql:
             text = sql.strip()
             ORACLE[name] = f"{SQL.rstrip()},\n{text[5:]}" if text.startswith("WITH ") else SQL + text
@@ -196,14 +194,14 @@ def file_edges(t: Tables) -> DataFrame:
     return a.join(b, "scan_id").where("source_file_id <> target_file_id")
 
 
-@query(f"WITH {FILE_EDGES} SELECT p.scan_id, source_file_id, target_file_id, s.file_path AS source_path, t.file_path AS target_path FROM pairs p JOIN files s ON s.file_id = source_file_id JOIN files t ON t.file_id = target_file_id", again=True)
+@query(f"WITH {FILE_EDGES} SELECT p.scan_id, source_file_id, target_file_id, s.file_path AS source_path, t.file_path AS target_path FROM pairs p JOIN files s ON s.file_id = source_file_id JOIN files t ON t.file_id = target_file_id")
 def dependency_graph(t: Tables) -> DataFrame:
     """Edges joined to both files."""
     return fl.dependency_edges(file_edges(t), t.files)
 
 
 @query("""WITH members AS (SELECT scan_id, file_id % 3 AS group_id, file_id FROM files)
-SELECT m.scan_id, m.group_id, count(*) AS size, string_agg(file_path, '|' ORDER BY file_path, f.file_id) AS paths FROM members m JOIN files f USING (file_id) GROUP BY m.scan_id, m.group_id""", again=True)
+SELECT m.scan_id, m.group_id, count(*) AS size, string_agg(file_path, '|' ORDER BY file_path, f.file_id) AS paths FROM members m JOIN files f USING (file_id) GROUP BY m.scan_id, m.group_id""")
 def circular_dependencies(t: Tables) -> DataFrame:
     members = t.files.selectExpr("scan_id", "file_id % 3 group_id", "file_id")
     return fl.circular_dependencies(members, t.files).select("scan_id", "group_id", "size", F.transform("members", lambda m: m["file_path"]).alias("paths"))
@@ -220,7 +218,7 @@ def busiest(edges: DataFrame) -> int | None:
 
 @query(f"""WITH {FILE_EDGES}, edges AS (SELECT CASE WHEN source_file_id = {FILE} THEN target_file_id ELSE source_file_id END AS file_id, CASE WHEN source_file_id = {FILE} THEN 'outgoing' ELSE 'incoming' END AS direction
 FROM pairs WHERE source_file_id = {FILE} OR target_file_id = {FILE})
-SELECT file_id, direction, file_path, priority_band FROM edges JOIN files USING (file_id)""", again=True)
+SELECT file_id, direction, file_path, priority_band FROM edges JOIN files USING (file_id)""")
 def file_dependencies(t: Tables) -> DataFrame:
     edges = file_edges(t)
     return fl.neighbours(edges, t.files, busiest(edges))
@@ -229,7 +227,7 @@ def file_dependencies(t: Tables) -> DataFrame:
 CO = "co AS (SELECT scan_id, least(source_file_id, target_file_id) AS a, greatest(source_file_id, target_file_id) AS b FROM pairs GROUP BY ALL)"
 
 
-@query(f"WITH {FILE_EDGES}, {CO} SELECT f.file_id, file_path, priority_band FROM co JOIN files f ON f.file_id = CASE WHEN a = {FILE} THEN b ELSE a END WHERE a = {FILE} OR b = {FILE}", again=True)
+@query(f"WITH {FILE_EDGES}, {CO} SELECT f.file_id, file_path, priority_band FROM co JOIN files f ON f.file_id = CASE WHEN a = {FILE} THEN b ELSE a END WHERE a = {FILE} OR b = {FILE}")
 def co_changed_files(t: Tables) -> DataFrame:
     one = busiest(file_edges(t))
     edges = file_edges(t).select("scan_id", F.least("source_file_id", "target_file_id").alias("file_id_a"), F.greatest("source_file_id", "target_file_id").alias("file_id_b")).distinct()
@@ -271,7 +269,7 @@ def risk_by_directory(t: Tables) -> DataFrame:
 
 @query(f"""WITH rows AS (SELECT {DIRECTORY} AS path, file_path, priority_band, {PERCENT.format("refactor_score")} AS score FROM files), ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, file_path) AS n FROM rows)
 SELECT path, count(*) FILTER (priority_band = 'critical') AS critical_files, count(*) FILTER (priority_band = 'high') AS high_files, round(avg(score), 2) AS average_score, string_agg(file_path, '|' ORDER BY n) FILTER (n <= 3) AS top_files
-FROM ranked GROUP BY path ORDER BY critical_files + high_files DESC, average_score DESC, path LIMIT 5""", again=True)
+FROM ranked GROUP BY path ORDER BY critical_files + high_files DESC, average_score DESC, path LIMIT 5""")
 def directory_insight(t: Tables) -> DataFrame:
     return fl.directory_insight(t.files)
 
@@ -304,11 +302,11 @@ def users_over_time(t: Tables) -> DataFrame:
     return sc.timeline_months(t.users, "created_at", AS_OF)
 
 
-@query("""WITH every AS (SELECT 'users' AS entity, created_at AS moment FROM users UNION ALL SELECT 'projects', created_at FROM projects UNION ALL SELECT 'scans', created_at FROM scans),
+@query("""WITH every AS (SELECT 'users' AS entity, created_at AS moment FROM users UNION ALL SELECT 'projects', created_at FROM projects UNION ALL SELECT 'scans', created_at FROM scans UNION ALL SELECT 'files', created_at FROM files),
 counts AS (SELECT entity, count(*) AS total, count(*) FILTER (moment >= TIMESTAMP '1998-05-16' AND moment < TIMESTAMP '1998-06-15') AS current_period_count, count(*) FILTER (moment >= TIMESTAMP '1998-04-16' AND moment < TIMESTAMP '1998-05-16') AS previous_period_count FROM every GROUP BY entity)
 SELECT *, current_period_count - previous_period_count AS delta, round((current_period_count - previous_period_count) * 100.0 / nullif(previous_period_count, 0)::DOUBLE, 2) AS delta_percent FROM counts""")
 def kpis(t: Tables) -> DataFrame:
-    return pr.kpis({"users": (t.users, "created_at"), "projects": (t.projects, "created_at"), "scans": (t.scans, "created_at")}, AS_OF)
+    return pr.kpis({"users": (t.users, "created_at"), "projects": (t.projects, "created_at"), "scans": (t.scans, "created_at"), "files": (t.files, "created_at")}, AS_OF)
 
 
 @query("""WITH rows AS (SELECT u.id, username, email, r.name AS role, u.created_at FROM users u LEFT JOIN roles r ON r.id = role_id WHERE username ILIKE '%a%' OR email ILIKE '%a%')
@@ -341,12 +339,12 @@ def snapshot(t: Tables) -> DataFrame:
     return rows.select("scan_id", "file_path", F.transform("layers", lambda x: F.concat_ws(":", x["layer"], x["metrics"].cast("string"))).alias("layers"))
 
 
-@query("SELECT item_id, project_id, status, CAST(row_number() OVER (PARTITION BY project_id, status ORDER BY position, item_id) - 1 AS INTEGER) AS position FROM items", again=True)
+@query("SELECT item_id, project_id, status, CAST(row_number() OVER (PARTITION BY project_id, status ORDER BY position, item_id) - 1 AS INTEGER) AS position FROM items")
 def refactor_queue_positions(t: Tables) -> DataFrame:
     return sn.queue_positions(t.items)
 
 
-@query("SELECT CAST(coalesce(max(position), -1) + 1 AS INTEGER) AS position FROM items WHERE project_id = 3 AND status = 'todo'", again=True)
+@query("SELECT CAST(coalesce(max(position), -1) + 1 AS INTEGER) AS position FROM items WHERE project_id = 3 AND status = 'todo'")
 def refactor_queue_next(t: Tables) -> DataFrame:
     return sn.next_position(t.items, 3, "todo")
 
@@ -364,28 +362,28 @@ REACH = "reach AS (WITH RECURSIVE r(src, dst) AS (SELECT src, dst FROM live UNIO
 
 
 @query("""SELECT n.node, coalesce(i, 0) AS fan_in, coalesce(o, 0) AS fan_out, coalesce(round(coalesce(o, 0)::DOUBLE / nullif(coalesce(i, 0) + coalesce(o, 0), 0), 3), 0.0) AS instability_index
-FROM nodes n LEFT JOIN (SELECT dst AS node, count(*) AS i FROM live GROUP BY 1) USING (node) LEFT JOIN (SELECT src AS node, count(*) AS o FROM live GROUP BY 1) USING (node)""", again=True)
+FROM nodes n LEFT JOIN (SELECT dst AS node, count(*) AS i FROM live GROUP BY 1) USING (node) LEFT JOIN (SELECT src AS node, count(*) AS o FROM live GROUP BY 1) USING (node)""")
 def graph_degrees(t: Tables) -> DataFrame:
     return graph.degrees(t.nodes, graph.runtime(t.links))
 
 
-@query("SELECT src, dst FROM every_edge EXCEPT SELECT src, dst FROM live", again=True)
+@query("SELECT src, dst FROM every_edge EXCEPT SELECT src, dst FROM live")
 def graph_type_only_edges(t: Tables) -> DataFrame:
     return graph.type_only(t.links)
 
 
-@query(f"WITH {REACH} SELECT src, dst FROM reach", again=True)
+@query(f"WITH {REACH} SELECT src, dst FROM reach")
 def graph_closure(t: Tables) -> DataFrame:
     return graph.closure(graph.runtime(t.links))
 
 
-@query(f"WITH {REACH} SELECT node, count(src) AS transitive_dependents_count FROM nodes LEFT JOIN reach ON dst = node AND src <> dst GROUP BY node", again=True)
+@query(f"WITH {REACH} SELECT node, count(src) AS transitive_dependents_count FROM nodes LEFT JOIN reach ON dst = node AND src <> dst GROUP BY node")
 def graph_dependents(t: Tables) -> DataFrame:
-    return graph.dependents(t.nodes, graph.closure(graph.runtime(t.links)))
+    return graph.dependents(t.nodes, graph.runtime(t.links))
 
 
 @query(f"""WITH {REACH}, mutual AS (SELECT a.src AS node, least(min(a.dst), a.src) AS cycle_id, count(*) + 1 AS n FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst GROUP BY a.src)
-SELECT node, cycle_id, coalesce(n, 0) AS circular_dependency_size FROM nodes LEFT JOIN mutual USING (node)""", again=True)
+SELECT node, cycle_id, coalesce(n, 0) AS circular_dependency_size FROM nodes LEFT JOIN mutual USING (node)""")
 def graph_cycles(t: Tables) -> DataFrame:
     return graph.cycles(t.nodes, graph.runtime(t.links))
 
@@ -404,7 +402,7 @@ def module_names(t: Tables) -> DataFrame:
 
 @query("""WITH named AS (SELECT DISTINCT 'a.b' || CAST(p_partkey % 30 AS VARCHAR) AS module FROM part WHERE p_partkey % 30 < 20 UNION SELECT 'a' AS module),
 used AS (SELECT DISTINCT l_suppkey AS path, 'a.b' || CAST(l_partkey % 30 AS VARCHAR) || '.c' AS candidate FROM lineitem)
-SELECT path, candidate, arg_max(module, length(module)) AS module FROM used JOIN named ON starts_with(candidate || '.', module || '.') GROUP BY path, candidate""", again=True)
+SELECT path, candidate, arg_max(module, length(module)) AS module FROM used JOIN named ON starts_with(candidate || '.', module || '.') GROUP BY path, candidate""")
 def import_prefixes(t: Tables) -> DataFrame:
     """Longest known prefix of dotted names."""
     some = t.read("part").where("p_partkey % 30 < 20").selectExpr("concat('a.b', p_partkey % 30) module").distinct()
@@ -543,7 +541,7 @@ def score_summary(t: Tables) -> DataFrame:
 # Store
 
 @query("""WITH rows AS (SELECT DISTINCT l_orderkey AS scan_id, l_partkey % 50 AS path, l_returnflag AS layer FROM lineitem)
-SELECT scan_id, path, string_agg(layer, '|' ORDER BY layer) AS layers, count(*) AS n FROM rows GROUP BY scan_id, path""", again=True)
+SELECT scan_id, path, string_agg(layer, '|' ORDER BY layer) AS layers, count(*) AS n FROM rows GROUP BY scan_id, path""")
 def file_payloads(t: Tables) -> DataFrame:
     rows = t.read("lineitem").selectExpr("l_orderkey scan_id", "l_partkey % 50 path", "l_returnflag layer").distinct()
     vectors = rows.select("*", F.create_map(F.lit("x"), F.lit(1.0), F.lit("y"), F.lit(float("nan"))).alias("metrics"), F.array().cast("array<string>").alias("errors"))
@@ -553,7 +551,7 @@ def file_payloads(t: Tables) -> DataFrame:
 
 @query("""WITH named AS (SELECT DISTINCT l_orderkey AS scan_id, 'p' || CAST(l_partkey % 50 AS VARCHAR) AS path, l_orderkey * 100 + l_partkey % 50 AS file_id FROM lineitem),
 raw AS (SELECT l_orderkey AS scan_id, 'p' || CAST(l_partkey % 50 AS VARCHAR) AS s, 'p' || CAST(l_suppkey % 50 AS VARCHAR) AS t FROM lineitem)
-SELECT DISTINCT r.scan_id, a.file_id AS source_file_id, b.file_id AS target_file_id FROM raw r JOIN named a ON a.scan_id = r.scan_id AND a.path = s JOIN named b ON b.scan_id = r.scan_id AND b.path = t WHERE s <> t""", again=True)
+SELECT DISTINCT r.scan_id, a.file_id AS source_file_id, b.file_id AS target_file_id FROM raw r JOIN named a ON a.scan_id = r.scan_id AND a.path = s JOIN named b ON b.scan_id = r.scan_id AND b.path = t WHERE s <> t""")
 def stored_dependency_edges(t: Tables) -> DataFrame:
     some = t.read("lineitem")
     named = some.selectExpr("l_orderkey scan_id", "concat('p', l_partkey % 50) path", "l_orderkey * 100 + l_partkey % 50 file_id").distinct()
@@ -606,3 +604,6 @@ def events_by_day(t: Tables) -> DataFrame:
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: scores of all files."""
     return QUERIES["refactor_scores"](spark, sf_dir)
+
+
+from . import operations  # noqa: E402, F401  registers more queries

@@ -117,26 +117,26 @@ def test_whole_tables(spark, tmp_path):
     path = lambda p: ("" if p % 11 == 0 else f"src/m{p % 7}/") + f"f{p}" + (".JS" if p % 5 == 0 else ".py")
     files = {(o, o * 1000000 + p): path(p) for o, p, *_ in lines}
     pairs = sorted((o, a, b, files[o, a], files[o, b]) for o, a in files for q, b in files if o == q and a != b and a % 3 == 0 and b % 4 == 1)
-    assert pairs and got("dependency_graph_whole") == pairs
+    assert pairs and got("dependency_graph") == pairs
     groups: dict = {}
     for (o, f), name in files.items():
         groups.setdefault((o, f % 3), []).append(name)
-    assert got("circular_dependencies_whole") == sorted((*k, len(v), "|".join(sorted(v))) for k, v in groups.items())
+    assert got("circular_dependencies") == sorted((*k, len(v), "|".join(sorted(v))) for k, v in groups.items())
     most = Counter(a for _, a, *_ in pairs)
     one = min(a for a in most if most[a] == max(most.values()))
     touching = {(b if a == one else a, "outgoing" if a == one else "incoming") for _, a, b, *_ in pairs if one in (a, b)}
-    assert touching and {r[:2] for r in got("file_dependencies_whole")} == touching and {r[0] for r in got("co_changed_files_whole")} == {f for f, _ in touching}
+    assert touching and {r[:2] for r in got("file_dependencies")} == touching and {r[0] for r in got("co_changed_files")} == {f for f, _ in touching}
     layers: dict = {}
     for o, p, _, _, flag, *_ in lines:
         layers.setdefault((o, p % 50), set()).add(flag)
-    assert got("file_payloads_whole") == sorted((*k, "|".join(sorted(v)), len(v)) for k, v in layers.items())
+    assert got("file_payloads") == sorted((*k, "|".join(sorted(v)), len(v)) for k, v in layers.items())
     named = {(o, p % 50) for o, p, *_ in lines}
-    assert got("stored_dependency_edges_whole") == sorted({(o, o * 100 + p % 50, o * 100 + s % 50) for o, p, s, *_ in lines if (o, s % 50) in named and p % 50 != s % 50})
-    assert got("import_prefixes_whole") == sorted({(s, f"a.b{p % 30}.c", f"a.b{p % 30}" if p % 30 < 20 else "a") for _, p, s, *_ in lines})
+    assert got("stored_dependency_edges") == sorted({(o, o * 100 + p % 50, o * 100 + s % 50) for o, p, s, *_ in lines if (o, s % 50) in named and p % 50 != s % 50})
+    assert got("import_prefixes") == sorted({(s, f"a.b{p % 30}.c", f"a.b{p % 30}" if p % 30 < 20 else "a") for _, p, s, *_ in lines})
     state = {"F": "done", "O": "in_progress", "P": "todo"}
     items = [(o, c % 20, state[x], o % 13) for o, c, x in orders]
     want = [(o, p, st, sum((q, x, b, a) < (p, st, pos, o) and (q, x) == (p, st) for a, q, x, b in items)) for o, p, st, pos in items]
-    assert got("refactor_queue_positions_whole") == sorted(want) and got("refactor_queue_next_whole") == [(max(i[3] for i in items if i[2] == "todo") + 1,)]
+    assert got("refactor_queue_positions") == sorted(want) and got("refactor_queue_next") == [(max(i[3] for i in items if i[2] == "todo") + 1,)]
 
 
 def test_directory_insight(spark, tmp_path):
@@ -156,7 +156,7 @@ def test_directory_insight(spark, tmp_path):
     for where, g in groups.items():
         want.append((where, sum(x[2] for x in g), sum(x[3] for x in g), math.floor(-sum(x[0] for x in g) / len(g) * 100 + 0.5) / 100, "|".join(x[1] for x in sorted(g)[:3])))
     want.sort(key=lambda r: (-r[1] - r[2], -r[3], r[0]))
-    assert [tuple(r) for r in queries.QUERIES["directory_insight_whole"](spark, str(tmp_path)).collect()] == want[:5]
+    assert [tuple(r) for r in queries.QUERIES["directory_insight"](spark, str(tmp_path)).collect()] == want[:5]
     some = spark.range(9).selectExpr("id file_id", "concat('a/f', id) file_path", "0.1D refactor_score", "'low' priority_band")
     plan = fl.directory_insight(some)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
@@ -193,11 +193,11 @@ def test_whole_graphs(spark, tmp_path):
             for v in (v for v in order if w in after[v] and depth[w] == depth[v] + 1):
                 share[v] += count[v] / count[w] * (1 + share[w])
             total[w] += share[w] * (w != s)
-    assert got("graph_type_only_edges_whole") == sorted(every - live) and got("graph_closure_whole") == sorted(reach)
-    assert [r[:3] for r in got("graph_degrees_whole")] == [(v, sum(b == v for _, b in live), len(after[v])) for v in nodes]
-    assert got("graph_dependents_whole") == [(v, sum(b == v != a for a, b in reach)) for v in nodes]
+    assert got("graph_type_only_edges") == sorted(every - live) and got("graph_closure") == sorted(reach)
+    assert [r[:3] for r in got("graph_degrees")] == [(v, sum(b == v for _, b in live), len(after[v])) for v in nodes]
+    assert got("graph_dependents") == [(v, sum(b == v != a for a, b in reach)) for v in nodes]
     mutual = {v: [w for w in nodes if w != v and (v, w) in reach and (w, v) in reach] for v in nodes}
-    assert any(mutual.values()) and got("graph_cycles_whole") == [(v, min(m + [v]) if m else None, len(m) + 1 if m else 0) for v, m in mutual.items()]
+    assert any(mutual.values()) and got("graph_cycles") == [(v, min(m + [v]) if m else None, len(m) + 1 if m else 0) for v, m in mutual.items()]
     want, scale = {str(v): total[v] for v in nodes}, (len(nodes) - 1) * (len(nodes) - 2)
     near = lambda rows: {r["node"] for r in rows} == set(want) and all(abs(r["betweenness_centrality"] - want[r["node"]] / scale) < 2e-6 for r in rows)
     assert max(want.values()) > 0 and near(queries.QUERIES["graph_betweenness"](spark, str(tmp_path)).collect())
