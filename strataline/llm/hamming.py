@@ -3,10 +3,12 @@
 Codes are cut into m segments of about log2(rows) bits, and every segment value is indexed. Searches go in
 rounds: round r probes the segment values at distance exactly r, a candidate counts where it is found first
 (so none comes twice), its full distance is held against the query's last wanted distance so far, and a query ends once its last wanted distance is at
-most m * (r + 1) - 1, for a code that near differs in some segment by at most r bits. Where a round would probe more
-values for a query than there are rows, the queries left read all rows instead, in blocks, which is as exact and
-costs less. All of it is DataFrame code: probes are made by tasks that share out queries and segments. Of rows with one code only the k + 1 least ids are indexed, and queries of one code are searched once,
-so a vector that many rows share costs no more than others.
+most m * (r + 1) - 1, for a code that near differs in some segment by at most r bits. The values at distance r of a
+segment come from flipping r of its bits, or, where that would give more values than the segment has in the index, from
+holding the query's segment against these distinct values: blocks of queries meet tiles of values, and only values at
+distance r go on. Both give the same probes, so all neighbours are found and verified through the segments' lists. Of
+rows with one code only the k + 1 least ids are indexed, and queries of one code are searched once, so a vector that
+many rows share costs no more than others.
 
 Defined cases: bit i of a code is set where component i of the vector is above zero (null and NaN are not; a
 vector of more than 64 components is an error); rows with a null id or vector take no part; rows that share an id
@@ -20,14 +22,18 @@ from __future__ import annotations
 from functools import reduce
 from math import comb, log2
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..shipping import ship
-from .common import Tables, materialise, shuffle_width
+from .common import Tables, materialise, shuffle_width, small_batches
 
 BITS = 64
+#: Distinct values of a segment that a tile holds.
+TILE = 65_536
 
 
 def sign_code(vector) -> F.Column:
@@ -56,22 +62,29 @@ def probes_at(asked: DataFrame, r: int, tasks: int) -> DataFrame:
     return rows.select("query", "bound", "j", F.call_function("shiftleft", F.col("j").cast("long"), F.lit(40)).bitwiseOR(F.col("value").bitwiseXOR(F.col("mask"))).alias("key"))
 
 
-def scanned(index: DataFrame, active: DataFrame, block: int = 4096) -> DataFrame:
-    """query, vec_id and distance of all rows within the bounds of the active queries, a block of queries at a time."""
-    blocks = max(1, -(-active.count() // block))
-    out = None
-    for k in range(blocks):
-        part = active.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k).agg(F.collect_list(F.struct("query", "bound")).alias("asked"))
-        gap = F.bit_count(F.col("q.query").bitwiseXOR(F.col("code")))
-        met = index.crossJoin(F.broadcast(part)).select("vec_id", "code", F.explode("asked").alias("q")).where(gap <= F.col("q.bound"))  # one row of about `block` queries
-        met = met.select(F.col("q.query").alias("query"), "vec_id", gap.alias("distance"))
-        out = met if out is None else out.unionByName(met)
-    return out
+def held_against(asked: DataFrame, values: DataFrame, tiles: int, r: int, queries: int, block: int = 4096) -> DataFrame:
+    """The same for segments whose distinct values are fewer: those at distance r among values(j, tile, held), by blocks of queries and tiles of values."""
+    blocks = max(1, -(-queries // block))
+    packed = asked.groupBy("j", F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query", "bound", "value")).alias("asked"))
+    met = packed.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).join(values, ["j", "tile"]).select("j", "asked", "held")
 
+    def compare(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                j, structs, held = b.column(0)[k].as_py(), b.column(1)[k].values, b.column(2)[k].values.to_numpy()
+                query, bound, value = (structs.field(n).to_numpy() for n in ("query", "bound", "value"))
+                for at in range(0, len(query), 256):
+                    near = np.bitwise_count((value[at : at + 256, None] ^ held[None]).view(np.uint64)) == r
+                    q, v = np.nonzero(near)
+                    yield pa.record_batch([pa.array(query[at + q]), pa.array(bound[at + q], pa.int32()), pa.array(np.full(len(q), j), pa.int32()), pa.array((j << 40) | held[v])], ["query", "bound", "j", "key"])
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """rows and queries: vec_id, code. Gives query_id, neighbor_id, distance and rank of the k nearest rows of each query."""
+    return met.mapInArrow(compare, "query long, bound int, j int, key long")
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, rounds: list[int] | None = None) -> DataFrame:
+    """rows and queries: vec_id, code. Gives query_id, neighbor_id, distance and rank of the k nearest rows of each query. rounds: takes the number of codes whose search each round ended."""
     spark = ship(rows.sparkSession)
+    small_batches(spark)
     want = k + 1  # one may be the query itself
     least = Window.partitionBy("code").orderBy("vec_id")
     t, tasks = Tables(spark), shuffle_width(spark)
@@ -85,11 +98,19 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     asked = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(w).alias("width"), segment(F.col("query"), a, w).alias("value")) for j, (a, w) in enumerate(zip(starts, cuts, strict=True))))
     rank = Window.partitionBy("query").orderBy("distance", "vec_id")
     best, done = None, []
+    low = F.lit((1 << 40) - 1).cast("long")
+    kinds = buckets.select(F.shiftright("key", 40).cast("int").alias("j"), F.col("key").bitwiseAND(low).alias("value")).distinct()
+    kinds = t.write(kinds)
+    sizes = {row["j"]: row["n"] for row in kinds.groupBy("j").agg(F.count("*").alias("n")).collect()}  # a row for each segment
+    tiles = max(1, -(-max(sizes.values(), default=1) // TILE))
+    values = t.write(kinds.groupBy("j", F.pmod(F.xxhash64("value"), F.lit(tiles)).cast("int").alias("tile")).agg(F.collect_list("value").alias("held")))
+    t.drop(kinds)
     for r in range(max(cuts) + 1):
-        if sum(comb(w, r) for w in cuts) > held:
-            done.append(t.write(scanned(index, active).withColumn("n", F.row_number().over(rank)).where(F.col("n") <= want).drop("n")))
-            break
-        probes = probes_at(active.select("query", "bound", F.explode(asked).alias("s")).select("query", "bound", "s.*"), r, tasks)
+        segments = active.select("query", "bound", F.explode(asked).alias("s")).select("query", "bound", "s.*")
+        few = [j for j, w in enumerate(cuts) if comb(w, r) > sizes.get(j, 0)]  # the segment has fewer values than there would be flips
+        probes = probes_at(segments.where(~F.col("j").isin(few)), r, tasks)
+        if few:
+            probes = probes.unionByName(held_against(segments.where(F.col("j").isin(few)), values, tiles, r, active.count()))
         gap = F.col("query").bitwiseXOR(F.col("code"))
         first = F.bit_count(gap) <= F.col("bound")  # and no earlier segment is as near, no later one nearer
         for i, (a, w) in enumerate(zip(starts, cuts, strict=True)):
@@ -106,12 +127,14 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         t.drop(active, near, *([best] if best else []))
         active, best = left, t.write(ranked.join(left.select("query"), "query", "left_semi"))
         t.drop(ranked)
+        if rounds is not None:
+            rounds.append(done[-1].select("query").distinct().count())
         if active.isEmpty():
             break
-    t.drop(index, buckets)
+    t.drop(index, buckets, values)
     done = reduce(DataFrame.unionByName, done)
     per = Window.partitionBy("query_id").orderBy("distance", "neighbor_id")
-    out = queries.select(F.col("vec_id").alias("query_id"), F.col("code").alias("query")).join(done, "query").where("query_id <> vec_id")
+    out = queries.select(F.col("vec_id").alias("query_id"), F.col("code").alias("query")).distinct().join(done, "query").where("query_id <> vec_id")
     out = out.select("query_id", F.col("vec_id").alias("neighbor_id"), F.col("distance").cast("int").alias("distance"))
     return out.withColumn("rank", F.row_number().over(per)).where(F.col("rank") <= k)
 

@@ -1,5 +1,6 @@
 """A query's rows beside those of its SQL in DuckDB."""
 
+import os
 from collections import Counter
 
 import duckdb
@@ -14,7 +15,7 @@ def both(made, sql, sf_dir=None, **tables):
         if t in tables:
             con.register(t, tables[t])
         elif sf_dir:
-            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+            con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet{'/*' if os.path.isdir(f'{sf_dir}/{t}.parquet') else ''}'")
     found = con.sql(sql)
     order = sorted(made.columns)
     assert sorted(found.columns) == order
