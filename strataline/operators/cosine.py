@@ -42,12 +42,14 @@ def normalised(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def spread(sample: np.ndarray, most: int = PIVOTS) -> np.ndarray:
-    """Rows far from each other: each next one is the farthest from those before."""
-    kept = [0]
-    near = sample @ sample[0]
-    while len(kept) < min(most, len(sample)):
+    """Different rows far from each other: each next one is the farthest from those before. Zero rows are no pivots, but where there are no others."""
+    some = sample[(sample != 0).any(1)]
+    sample = some if len(some) else sample
+    kept, near = [0], sample @ sample[0]
+    while len(kept) < most and near.min() < 1 - 1e-9:
         kept.append(int(near.argmin()))
         near = np.maximum(near, sample @ sample[kept[-1]])
+        near[kept[-1]] = 1
     return sample[kept]
 
 
@@ -146,6 +148,7 @@ def semantic_matches(vectors: DataFrame, threshold: float = SEMANTIC_THRESHOLD,
     if not sample:
         return spark.createDataFrame([], MATCH)
     length = len(sample[0])
+    sample = [v for v in sample if len(v) == length]
     checked = unit.withColumn("v", F.when(F.size("v") == length, F.col("v")).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("array<double>")))
     tiles = tiled(placed(checked, spread(np.array(sample))), rows or max(1, min(TILE_ROWS, TILE_BYTES // (8 * length))))
     widest = (math.acos(max(-1.0, min(1.0, threshold))) if threshold > -1 else math.pi) + ROOM

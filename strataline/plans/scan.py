@@ -7,11 +7,11 @@ from datetime import datetime
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import duplication, graph, history, scoring, syntax
-from ..sources import gitlog, store, workspace
+from ..sources import gitlog, store, versions, workspace
 from ..sources.storage import cut
 
 #: Metrics of each layer.
@@ -108,13 +108,31 @@ def layer_records(scored: DataFrame, scan_id: int, created_at: datetime) -> Data
     return reduce(DataFrame.unionByName, map(one, LAYERS))
 
 
-def store_scan(scored: DataFrame, scan_id: int, created_at: datetime, folder: str) -> DataFrame:
-    """Append the records, replace the scan's payloads, and give the summary of the scan. Sinks that fail are logged."""
+#: What a scan replaces as one, and the columns of each table.
+STORED = {
+    "payloads": "path string, metrics string, errors string, refactor_score decimal(6,5)", "dependencies": "src string, dst string, is_runtime boolean", "co_changes": "path string, peer string", "cycles": "node string, cycle_id string",
+}
+
+
+def scan_store(spark: SparkSession, folder: str) -> versions.Store:
+    return versions.Store(spark, folder, "scan_id", STORED)
+
+
+def store_scan(scored: DataFrame, scan_id: int, created_at: datetime, folder: str, **children: DataFrame) -> DataFrame:
+    """Append the records, replace the scan's payloads and children in one commit, and give the summary of the scan.
+
+    children: dependencies, co_changes and cycles, those that are there; tables left out are empty for this scan from
+    now on. Readers see all of a scan's tables change at once (`scan_store(...).read(name)`). Records are a log of
+    their own; a sink that fails is logged, and what was stored before stays.
+    """
     scored = cut(scored)
     records = cut(layer_records(scored, scan_id, created_at))
     store.best_effort(store.append_records, records, f"{folder}/records")
     payloads = store.file_payloads(records.select("scan_id", "path").distinct(), records)
-    store.best_effort(store.overwrite_scans, payloads.select("path", F.to_json("metrics").alias("metrics"), F.to_json("errors").alias("errors"), "refactor_score", "scan_id"), f"{folder}/payloads")
+    parts = {"payloads": payloads.select("scan_id", "path", F.to_json("metrics").alias("metrics"), F.to_json("errors").alias("errors"), "refactor_score")}
+    parts |= {name: rows.withColumn("scan_id", F.lit(scan_id).cast("long")) for name, rows in children.items()}
+    spark = scored.sparkSession
+    store.best_effort(scan_store(spark, folder).replace, parts, spark.createDataFrame([(scan_id,)], "scan_id long"))
     return scoring.summarise(scored, "path")
 
 

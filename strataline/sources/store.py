@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import logging
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .versions import Raced
+
 
 def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
@@ -60,10 +64,10 @@ def append_records(df: DataFrame, path: str) -> None:
 
 
 def best_effort(write, *args) -> bool:
-    """A sink whose failure is logged and does not stop the pipeline."""
+    """A sink whose failure to write is logged and does not stop the pipeline; faults of the caller still raise."""
     try:
         write(*args)
-    except Exception:
+    except (PySparkException, Py4JJavaError, OSError, Raced):
         logging.getLogger(__name__).exception("sink failed")
         return False
     return True

@@ -4,9 +4,12 @@ import subprocess
 from datetime import datetime
 from itertools import groupby
 
+import pytest
+from pyspark.sql import functions as F
+
 from strataline.operators import history
 from strataline.plans import scan
-from strataline.sources import gitlog, workspace
+from strataline.sources import gitlog, store, workspace
 
 CODE = {
     "src/a.py": "from pkg import b\n\ndef f(x):\n    if x and x > 1 and x < 9:\n        return 1\n    return 2\n",
@@ -120,7 +123,8 @@ def test_scan(spark, tmp_path):
     scan.store_scan(got, 8, datetime(2026, 1, 1), str(tmp_path / "store"))
     scan.store_scan(got.where("path <> 'src/broken.py'"), 7, datetime(2026, 1, 2), str(tmp_path / "store"))
     assert summary["files_evaluated"] == 3
-    kept = spark.read.parquet(str(tmp_path / "store" / "payloads")).collect()
+    folder = str(tmp_path / "store")
+    kept = scan.scan_store(spark, folder).read("payloads").collect()
     assert sorted((r["scan_id"], r["path"]) for r in kept) == [(7, "src/a.py"), (7, "src/pkg/b.py"), *((8, p) for p in sorted(CODE))]
     records = spark.read.parquet(str(tmp_path / "store" / "records"))
     assert records.count() == 5 * 8
@@ -138,3 +142,23 @@ def test_scan_with_failed_layers(spark):
     for r in rows.values():
         assert r["update_count"] is None and "no repository" in r["history_errors"][0] and r["duplicate_blocks_count"] is None and "no provider" in r["duplication_errors"][0]
     assert rows["src/a.py"]["fan_out"] == 1 and rows["src/a.py"]["history_score"] is None and rows["src/a.py"]["score_confidence"] < 1 and rows["src/a.py"]["refactor_score"] is not None
+
+
+def test_sinks_of_a_scan_change_together(spark, tmp_path):
+    metrics = [m for names in scan.LAYERS.values() for m in names]
+    scored = spark.createDataFrame([("a.py",), ("b.py",)], "path string").withColumns({m: F.lit(0.5) for m in metrics})
+    scored = scored.withColumns({f"{n}_errors": scan.no_errors() for n in scan.LAYERS}).withColumn("priority_band", F.lit("low"))
+    edges = spark.createDataFrame([("a.py", "b.py", True)], "src string, dst string, is_runtime boolean")
+    folder, at = str(tmp_path / "store"), datetime(2026, 1, 1)
+    scan.store_scan(scored, 1, at, folder, dependencies=edges)
+    read = lambda name: [tuple(r) for r in scan.scan_store(spark, folder).read(name).orderBy("scan_id").collect()]
+    before = read("payloads"), read("dependencies")
+    assert [r[1] for r in sorted(before[0])] == ["a.py", "b.py"] and before[1] == [(1, "a.py", "b.py", True)]
+    broken = edges.withColumn("dst", F.raise_error(F.lit("the sink breaks")).cast("string"))
+    summary = scan.store_scan(scored.where("path = 'a.py'"), 1, at, folder, dependencies=broken).first()
+    assert summary["files_evaluated"] == 1  # the scan goes on
+    assert sorted(read("payloads")) == sorted(before[0]) and read("dependencies") == before[1]
+    (tmp_path / "blocked").write_text("no folder")
+    assert store.best_effort(store.append_records, edges, str(tmp_path / "blocked")) is False
+    with pytest.raises(TypeError):
+        store.best_effort(store.append_records, edges)
