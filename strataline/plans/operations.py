@@ -9,8 +9,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import duplication, scoring
-from ..sources import store, versions
+from ..operators import duplication, graph, scoring
+from ..sources import coverage, store, versions
 from ..sources.storage import cut, shared_dir
 from ..streaming import lifecycle
 from . import files as fl
@@ -181,6 +181,47 @@ def keyed_batch(t: Tables) -> DataFrame:
     return versions.judge(batch, rows, "id", [["name"]]).select("ordinal", "op", "id", "name", F.coalesce("reason", F.lit("accepted")).alias("result"))
 
 
+# Imports and coverage by longest prefixes
+
+
+@query("""WITH named AS (SELECT DISTINCT 'pkg.b' || CAST(p_partkey % 30 AS VARCHAR) AS module FROM part WHERE p_partkey % 30 < 20
+  UNION SELECT DISTINCT 'pkg.b' || CAST(p_partkey % 30 AS VARCHAR) || '.m' || CAST(p_partkey % 11 AS VARCHAR) FROM part WHERE p_partkey % 4 = 0 UNION SELECT 'pkg'),
+lines AS (SELECT 'pkg.b' || CAST(l_suppkey % 30 AS VARCHAR) AS path, l_orderkey * 8 + l_linenumber AS statement, CASE WHEN l_partkey % 5 = 0 THEN 'other' ELSE 'pkg' END || '.b' || CAST(l_partkey % 30 AS VARCHAR) AS base, 'm' || CAST(l_suppkey % 13 AS VARCHAR) AS name, l_returnflag <> 'R' AS is_runtime FROM lineitem),
+tried AS (SELECT path, statement, 0 AS ordinal, base || '.' || name AS candidate, is_runtime FROM lines UNION ALL SELECT path, statement, 1, base, is_runtime FROM lines),
+found AS (SELECT candidate, arg_max(module, length(module)) AS module FROM (SELECT DISTINCT candidate FROM tried) JOIN named ON starts_with(candidate || '.', module || '.') GROUP BY candidate),
+first AS (SELECT path, statement, arg_min(module, ordinal) AS module, bool_or(is_runtime) AS is_runtime FROM tried JOIN found USING (candidate) GROUP BY path, statement)
+SELECT path AS src, module AS dst, bool_or(is_runtime) AS is_runtime FROM first WHERE path <> module GROUP BY path, module""")
+def import_resolution(t: Tables) -> DataFrame:
+    """Edges of `from base import name`: a module base.name before the base itself, each by its longest known prefix."""
+    whole = t.read("part").where("p_partkey % 30 < 20").selectExpr("concat('pkg.b', p_partkey % 30) module")
+    inner = t.read("part").where("p_partkey % 4 = 0").selectExpr("concat('pkg.b', p_partkey % 30, '.m', p_partkey % 11) module")
+    named = whole.union(inner).union(t.read("region").selectExpr("'pkg' module")).distinct().withColumn("path", F.col("module"))
+    lines = t.read("lineitem").selectExpr(
+        "concat('pkg.b', l_suppkey % 30) path", "l_orderkey * 8 + l_linenumber statement", "concat(if(l_partkey % 5 = 0, 'other', 'pkg'), '.b', l_partkey % 30) base", "concat('m', l_suppkey % 13) name", "l_returnflag <> 'R' is_runtime"
+    )
+    tried = lines.select("path", "statement", F.posexplode(F.array(F.concat_ws(".", "base", "name"), "base")).alias("ordinal", "candidate"), "is_runtime")
+    return graph.resolve_imports(tried, named)
+
+
+@query("""WITH subs AS (SELECT DISTINCT 'd' || CAST(s_suppkey % 7 AS VARCHAR) || '/e' || CAST(s_suppkey % 5 AS VARCHAR) AS folder FROM supplier WHERE s_suppkey % 3 = 0),
+tops AS (SELECT DISTINCT 'd' || CAST(s_suppkey % 7 AS VARCHAR) AS folder, s_suppkey % 7 = 3 AS broken FROM supplier WHERE s_suppkey % 7 < 5),
+code AS (SELECT l_partkey AS k, 'd' || CAST(l_partkey % 7 AS VARCHAR) AS top, 'd' || CAST(l_partkey % 7 AS VARCHAR) || '/e' || CAST(l_partkey % 5 AS VARCHAR) AS sub, l_linenumber, bool_or(l_returnflag = 'R') AS r, bool_or(l_returnflag = 'A') AS a FROM lineitem GROUP BY ALL),
+ran AS (SELECT k, sub, CASE WHEN s.folder IS NOT NULL THEN r AND k % 4 <> 0 ELSE a END AS ran FROM code LEFT JOIN subs s ON sub = s.folder LEFT JOIN tops t ON top = t.folder WHERE s.folder IS NOT NULL OR NOT t.broken)
+SELECT sub || '/f' || CAST(k AS VARCHAR) || '.py' AS path, CAST(count(*) AS INTEGER) AS n_statements, CAST(count(*) FILTER (NOT ran) AS INTEGER) AS n_missing FROM ran GROUP BY sub, k""")
+def coverage_by_nearest_folder(t: Tables) -> DataFrame:
+    """Statements that ran, of each source by the data file in the nearest folder above it; one that cannot be read covers nothing."""
+    sub, top = "concat('d', l_partkey % 7, '/e', l_partkey % 5)", "concat('d', l_partkey % 7)"
+    lines = t.read("lineitem").selectExpr("l_partkey k", f"concat({sub}, '/f', l_partkey, '.py') path", f"{sub} sub", f"{top} top", "cast(l_linenumber as int) line", "l_returnflag flag")
+    code = lines.groupBy("path").agg(F.collect_set("line").alias("statements"))
+    none = ["cast(null as string) path", "cast(null as array<int>) lines"]
+    subs = t.read("supplier").where("s_suppkey % 3 = 0").selectExpr("concat('d', s_suppkey % 7, '/e', s_suppkey % 5) folder", *none, "cast(null as string) error")
+    tops = t.read("supplier").where("s_suppkey % 7 < 5").selectExpr("concat('d', s_suppkey % 7) folder", *none, "if(s_suppkey % 7 = 3, 'Failed to read coverage', null) error")
+    files = subs.union(tops).distinct()
+    ran = lines.where("flag = 'R' and k % 4 <> 0").select(F.col("sub").alias("folder"), "path", "line").union(lines.where("flag = 'A'").select(F.col("top").alias("folder"), "path", "line"))
+    rows = ran.groupBy("folder", "path").agg(F.collect_set("line").alias("lines")).join(files.select("folder").distinct(), "folder", "left_semi")
+    return coverage.measured(code, files.unionByName(rows.withColumn("error", F.lit(None).cast("string"))))
+
+
 # Streams
 
 LIMIT = 21_600

@@ -1,4 +1,4 @@
-"""Reading source trees, commit logs, coverage tables and repository listings."""
+"""Reading source trees and commit logs."""
 
 from __future__ import annotations
 
@@ -70,12 +70,3 @@ def split_log(log: DataFrame, repo: str | None = None) -> tuple[DataFrame, DataF
     """commits and commit_files of one repository's log; repo: which one, where the log has several."""
     good = log.where("error is null") if repo is None else log.where((F.col("repo") == repo) & F.col("error").isNull())
     return good.select("hash", "email", "ts", "subject", "pos").distinct(), good.select("hash", "path", "added", "deleted")
-
-
-def repositories(listing: DataFrame) -> DataFrame:
-    """A listing of repositories as read from JSON pages."""
-    return listing.select("name", F.col("owner.login").alias("owner"), "full_name", "private", "default_branch", "html_url")
-
-
-def branches(listing: DataFrame) -> DataFrame:
-    return listing.select("name", F.col("commit.sha").alias("sha"), "protected")
