@@ -81,6 +81,50 @@ def resolve_samples(samples: DataFrame, files: DataFrame) -> DataFrame:
     return rows.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("n", "file_path", "peer_id", "priority_band"))).alias("matches"))
 
 
+#: Samples of matching blocks in a file's metadata, in the order in which they are listed.
+SAMPLES = {"syntax": "$.duplication_analysis.syntax_duplicate_blocks_sample", "semantic": "$.duplication_analysis.semantic_duplicate_blocks_sample"}
+MATCH = "struct<kind: string, start_line: int, end_line: int, max_similarity: double, matched_files: array<string>>"
+
+
+def duplicate_matches(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """The matches in the metadata (JSON) of rows(file_id, scan_id, metadata), each with its matched files as references.
+
+    A row for each item of the samples: match_type, place (in its sample, from 0), kind, lines, max_similarity and
+    matched_files, references to files of the scan in the order of the item. Paths that the scan does not have are left
+    out, items that are no objects too, and metadata that are null, no JSON or of another form have no matches.
+    """
+
+    def items(kind: str, path: str):
+        listed_ = F.coalesce(F.from_json(F.get_json_object("metadata", path), "array<string>"), F.array().cast("array<string>"))
+        return F.transform(listed_, lambda item, at: F.struct(F.lit(list(SAMPLES).index(kind)).alias("sample"), at.alias("place"), F.lit(kind).alias("match_type"), F.when(item.startswith("{"), item).alias("item")))
+
+    every = rows.select("file_id", "scan_id", F.explode(F.concat(*(items(k, p) for k, p in SAMPLES.items()))).alias("m")).select("file_id", "scan_id", "m.*").where("item is not null")
+    parsed = every.withColumn("item", F.from_json("item", MATCH)).select("file_id", "scan_id", "sample", "place", "match_type", "item.*")
+    asked = parsed.select("file_id", "scan_id", "sample", "place", F.posexplode("matched_files").alias("n", "file_path"))
+    known = files.select(F.col("file_id").alias("peer_id"), "scan_id", "file_path", "priority_band")
+    found = asked.join(known, ["scan_id", "file_path"]).groupBy("file_id", "sample", "place").agg(F.sort_array(F.collect_list(F.struct("n", "file_path", "peer_id", "priority_band"))).alias("found"))
+    both = parsed.drop("matched_files").join(found, ["file_id", "sample", "place"], "left")
+    references = F.transform(F.coalesce("found", F.array().cast(found.schema["found"].dataType)), lambda m: F.struct(m["peer_id"].alias("file_id"), m["file_path"].alias("file_path"), m["priority_band"].alias("priority_band")))
+    return both.select("file_id", "match_type", "place", "kind", "start_line", "end_line", "max_similarity", references.alias("matched_files"))
+
+
+def file_report(scans: DataFrame, projects: DataFrame, files: DataFrame, edges: DataFrame, members: DataFrame, co_changes: DataFrame, file_id, user_id) -> DataFrame:
+    """file_details of one file, with its metadata and, as arrays of references ordered by path, what it depends on, what depends on it, the other members of its cycle and the files changed with it; and its duplicate matches."""
+
+    def listed_(rows: DataFrame, name: str) -> DataFrame:
+        return rows.agg(F.sort_array(F.collect_set(F.struct("file_path", "file_id", "priority_band"))).alias(name))
+
+    near = neighbours(edges, files, file_id)
+    own = members.where(F.col("file_id") == file_id).select("scan_id", "group_id")
+    cycle = members.join(own, ["scan_id", "group_id"], "left_semi").where(F.col("file_id") != file_id).select("file_id").join(files.select("file_id", "file_path", "priority_band"), "file_id")
+    metadata = matching(files, file_id=file_id).select("file_id", "scan_id", "metadata")
+    matches = duplicate_matches(metadata, files).agg(F.sort_array(F.collect_list(F.struct(F.col("match_type") != "syntax", "place", F.struct("match_type", "kind", "start_line", "end_line", "max_similarity", "matched_files").alias("match")))).alias("m"))
+    out = file_details(scans, projects, files, file_id, user_id).join(metadata.select("file_id", "metadata"), "file_id")
+    for part in (listed_(near.where("direction = 'outgoing'"), "depends_on"), listed_(near.where("direction = 'incoming'"), "dependents"), listed_(cycle, "cycle"), listed_(co_changed(co_changes, files, file_id), "changed_with"), matches.select(F.col("m.match").alias("duplicate_matches"))):
+        out = out.crossJoin(part)  # one row each
+    return out
+
+
 def overview_trend(scans: DataFrame, files: DataFrame, scan_id, previous: int = 3) -> DataFrame:
     """The scan and the succeeded ones of its project just before it, with mean scores."""
     target = F.broadcast(matching(scans, scan_id=scan_id).select("project_id", F.col("finished_at").alias("at"), F.col("scan_id").alias("target")))  # one row

@@ -103,6 +103,22 @@ def resolved_samples(t: Tables) -> DataFrame:
     return fl.resolve_samples(samples, files).select("file_id", F.transform("matches", lambda m: F.concat(m["file_path"], F.lit("="), F.coalesce(m["peer_id"].cast("string"), F.lit("?")))).alias("matches"))
 
 
+METADATA = """case file_id % 4 when 0 then concat('{"duplication_analysis": {"syntax_duplicate_blocks_sample": ["odd", {"kind": "function", "start_line": 3, "end_line": ', file_id % 90, ', "matched_files": ["', file_path, '", "none.py", "src/m1/f', file_id % 50, '.py"]}],
+ "semantic_duplicate_blocks_sample": [{"kind": "class", "max_similarity": 0.5, "matched_files": []}, {"start_line": 7}]}}') when 1 then '{"duplication_analysis": "odd"}' when 2 then 'no json' end metadata"""
+
+
+@query("""WITH held AS (SELECT * FROM files WHERE file_id % 4 = 0),
+peers AS (SELECT file_id, scan_id, 0 AS n, file_path FROM held UNION ALL SELECT file_id, scan_id, 2, 'src/m1/f' || CAST(file_id % 50 AS VARCHAR) || '.py' FROM held),
+found AS (SELECT p.file_id, string_agg(f.file_path || '=' || CAST(f.file_id AS VARCHAR), '|' ORDER BY n) AS matched FROM peers p JOIN files f USING (scan_id, file_path) GROUP BY p.file_id)
+SELECT file_id, 'syntax' AS match_type, 1 AS place, 'function' AS kind, 3 AS start_line, CAST(file_id % 90 AS INTEGER) AS end_line, CAST(NULL AS DOUBLE) AS max_similarity, matched FROM held JOIN found USING (file_id)
+UNION ALL SELECT file_id, 'semantic', 0, 'class', NULL, NULL, 0.5, '' FROM held UNION ALL SELECT file_id, 'semantic', 1, NULL, 7, NULL, NULL, '' FROM held""")
+def duplicate_matches(t: Tables) -> DataFrame:
+    """Matching blocks in the metadata of all files, their peers as references to files of the scan."""
+    files = t.files
+    rows = fl.duplicate_matches(files.selectExpr("file_id", "scan_id", METADATA), files)
+    return rows.withColumn("matched", F.array_join(F.transform("matched_files", lambda m: F.concat(m["file_path"], F.lit("="), m["file_id"].cast("string"))), "|")).drop("matched_files")
+
+
 @query("""WITH blocks AS (SELECT source AS path, doc_id, regexp_split_to_array(text, '\\s+') AS tokens FROM documents),
 groups AS (SELECT tokens, count(DISTINCT path) AS n FROM blocks GROUP BY tokens)
 SELECT path, count(*) AS duplicate_blocks_count, count(DISTINCT doc_id % 1000) AS duplicate_loc_count, max(n) AS duplication_group_size FROM blocks JOIN groups USING (tokens) WHERE n > 1 GROUP BY path""")

@@ -1,3 +1,4 @@
+import json
 import math
 from collections import Counter
 from datetime import date, datetime
@@ -5,7 +6,7 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from strataline.plans import projects, scans, snapshots
+from strataline.plans import files, projects, scans, snapshots
 
 SCANS = "scan_id int, project_id int, status string, created_at timestamp, started_at timestamp, finished_at timestamp, updated_at timestamp, error_message string"
 
@@ -206,3 +207,24 @@ def test_whole_graphs(spark, tmp_path):
     rows = graph.betweenness(*both, graph="g", block=20).collect()  # in three blocks
     assert near([r for r in rows if r["g"] == "a"]) and near([r for r in rows if r["g"] == "b"]) and len(rows) == 2 * len(nodes)
     assert {r["betweenness_centrality"] for r in graph.betweenness(one, links.limit(0)).collect()} == {0.0}
+
+
+def test_file_report(spark):
+    done = spark.createDataFrame([(1, 1, "succeeded", at(1), at(1), at(2), at(2), None)], SCANS)
+    own = spark.createDataFrame([(1, 9, "a", at(1))], "project_id int, user_id int, name string, created_at timestamp")
+    block = lambda *peers, **more: {"kind": "function", "matched_files": list(peers)} | more
+    metadata = {"duplication_analysis": {"syntax_duplicate_blocks_sample": [block("c.py", "gone.py", "b.py", start_line=2, end_line=9), 5, None, [1], block("b.py", "b.py")], "semantic_duplicate_blocks_sample": [block(max_similarity=0.9), {"kind": "class", "matched_files": None}]}}
+    rows = [(k, 1, f"{n}.py", 0.5, "high", at(1), json.dumps(metadata) if n == "a" else None) for k, n in enumerate("abcd")] + [(8, 2, "b.py", 0.1, "low", at(1), "[1]"), (9, 2, "x.py", 0.1, "low", at(1), '{"duplication_analysis": {"syntax_duplicate_blocks_sample": "text"}}')]
+    table = spark.createDataFrame(rows, "file_id int, scan_id int, file_path string, refactor_score double, priority_band string, created_at timestamp, metadata string")
+    edges = spark.createDataFrame([(0, 2), (0, 1), (1, 0), (3, 0), (2, 3)], "source_file_id int, target_file_id int")
+    members = spark.createDataFrame([(1, 7, 0), (1, 7, 1), (1, 8, 3), (2, 7, 9)], "scan_id int, group_id int, file_id int")
+    together = spark.createDataFrame([(0, 3), (1, 2)], "file_id_a int, file_id_b int")
+    (got,) = files.file_report(done, own, table, edges, members, together, 0, 9).collect()
+    names = lambda c: [x["file_path"] for x in got[c]]
+    assert (names("depends_on"), names("dependents"), names("cycle"), names("changed_with")) == (["b.py", "c.py"], ["b.py", "d.py"], ["b.py"], ["d.py"]) and got["last_scan_at"] == at(2) and got["language"] == "Python"
+    matches = [(m["match_type"], m["kind"], m["start_line"], m["max_similarity"], [(f["file_id"], f["file_path"]) for f in m["matched_files"]]) for m in got["duplicate_matches"]]
+    assert matches == [("syntax", "function", 2, None, [(2, "c.py"), (1, "b.py")]), ("syntax", "function", None, None, [(1, "b.py"), (1, "b.py")]), ("semantic", "function", None, 0.9, []), ("semantic", "class", None, None, [])]
+    (alone,) = files.file_report(done, own, table, edges.limit(0), members.limit(0), together.limit(0), 1, 9).collect()
+    assert alone["duplicate_matches"] == alone["cycle"] == alone["depends_on"] == []
+    assert files.file_report(done, own, table, edges, members, together, 9, 9).isEmpty() and files.file_report(done, own, table, edges, members, together, 0, 1).isEmpty()
+    assert files.duplicate_matches(table.where("scan_id = 2"), table).isEmpty()
