@@ -13,7 +13,8 @@ is left are pairs of one list in different components. Two members near one hub
 overlaps with the hub alone would do (a condition on four numbers, joined once for each kind of member), or if
 they share values that the hub lacks, as many as make up for it; prefixes of these values, rare ones first within
 the group, make the lists of the next level, until no list spans two components, or until the lists left have few
-pairs for each node, which are then verified. Each level takes the hub and its values out of a group, so work follows
+pairs of different components for each node, which are then verified: where a list's members outside its largest
+component are few, so are its pairs, however long it is. Each level takes the hub and its values out of a group, so work follows
 the differences between copies and not the pairs of a group. Members that are not near the hub of their list
 meet the others of the list, under a length and a position filter.
 
@@ -41,10 +42,12 @@ from .exact import LOWER
 K, SIGMAS = 128, 6
 #: Values of a brief sketch (their upper halves), and the share of them that a node has in common with a hub that stands for its group.
 BRIEF, NEAR = 32, 0.3
-#: Lists that have no more pairs than so many for each node give them all.
+#: Lists that have no more pairs of different components than so many for each node give them all.
 PAIRS_A_NODE = 2
 #: Bound of the table of frequent values.
 FREQUENT = 100_000
+#: Pairs, nodes or lists that are not more, which is measured, are broadcast (a row of them is at most 100 bytes).
+FEW = 50_000
 
 
 def finish(x: np.ndarray) -> np.ndarray:
@@ -200,11 +203,14 @@ class Verifier:
     def near(self, pairs: DataFrame, least: float) -> DataFrame:
         return self.t.write(with_both(pairs, self.brief, "sketch").mapInArrow(estimate(least), "a long, b long"))
 
-    def whole(self, pairs: DataFrame) -> DataFrame:
-        """nid, n and the whole set of each node on a pair."""
+    def whole(self, pairs: DataFrame, few: bool) -> DataFrame:
+        """nid, n and the whole set of each node on a pair; few pairs need no bitmaps, and only the texts found are shuffled."""
         size, t = self.size, self.t
         ids = t.write(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct())
-        some = marked_by(self.nodes, "nid", ids, "nid", "some").where("some").drop("some").join(ids, "nid", "left_semi")
+        if few:
+            some = self.nodes.join(F.broadcast(ids), "nid", "left_semi")
+        else:
+            some = marked_by(self.nodes, "nid", ids, "nid", "some").where("some").drop("some").join(ids, "nid", "left_semi")
         needed = t.write(some.select("nid", "n", "node", "rep_id", "rep_tag", F.when(F.col("n") <= K, F.col("sketch")).alias("sketch")))
         large = needed.where("sketch is null").select("nid", "node", "rep_id", "rep_tag")
 
@@ -214,7 +220,11 @@ class Verifier:
                 ok = [digest(s) == d for s, d in zip(sets, b.column(1).to_pylist(), strict=True)]
                 yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["nid", "n", "whole"]).filter(pa.array(ok))
 
-        texts = marked_by(self.docs, "tag", large, "rep_tag", "some").where("some").drop("some")
+        texts = self.docs
+        if few:
+            large = F.broadcast(large)
+        else:
+            texts = marked_by(texts, "tag", large, "rep_tag", "some").where("some").drop("some")
         held = texts.join(large, (F.col("tag") == F.col("rep_tag")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("nid", "node", "text")
         made = held.groupBy("nid", "node").agg(F.first("text").alias("text")).mapInArrow(built, "nid long, n long, whole binary")
         out = t.write(needed.where("sketch is not null").select("nid", "n", F.col("sketch").alias("whole")).union(made))
@@ -223,8 +233,9 @@ class Verifier:
 
     def compare(self, pairs: DataFrame, own: bool = False) -> DataFrame:
         """a, b, n1, n2, both and, if asked for, own."""
-        sets = self.whole(pairs)
-        done = with_both(pairs, sets, "whole").mapInArrow(compared, "a long, b long, n1 long, n2 long, both long, own binary")
+        few = 2 * pairs.count() <= FEW
+        sets = self.whole(pairs, few)
+        done = with_both(F.broadcast(pairs) if few else pairs, sets, "whole").mapInArrow(compared, "a long, b long, n1 long, n2 long, both long, own binary")
         out = self.t.write(done if own else done.drop("own"))
         self.t.drop(sets)
         return out
@@ -246,7 +257,8 @@ def components(t: Tables, edges: DataFrame) -> DataFrame:
             out = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
             out = out.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
-        return out.where("a <> b").distinct()
+        out = out.where("a <> b")
+        return out if large else out.distinct()  # large stars have no more rows than edges
 
     def settled(pairs: DataFrame) -> bool:
         """Whether each node points to one root and no root to another node."""
@@ -263,22 +275,35 @@ def components(t: Tables, edges: DataFrame) -> DataFrame:
     return out
 
 
-def shared_lists(lists: DataFrame) -> DataFrame:
-    """Lists of two members or more: group, value, their number, and as a first hub a member with few rare values."""
-    deep = F.struct((F.col("pos") / F.col("n")).alias("depth"), "nid")
-    first = lists.groupBy("group", "value").agg(F.min(deep).alias("p"), F.count("*").alias("members")).where("members > 1")
-    return first.select("group", "value", F.col("p.nid").alias("hub"), "members")
+def shared_lists(lists: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """Lists whose members are in two components or more; without roots, each node is one of its own.
+
+    group, value, as a first hub a member with few rare values, the component of most members (main; null without roots),
+    and the most pairs of different components that the list can have.
+    """
+    key, deep = ["group", "value"], F.struct((F.col("pos") / F.col("n")).alias("depth"), "nid")
+    if roots is None:
+        found = lists.groupBy(*key).agg(F.min(deep).alias("p"), F.count("*").alias("members")).where("members > 1")
+        return found.select(*key, F.col("p.nid").alias("hub"), F.lit(None).cast("long").alias("main"), F.expr("members * (members - 1) div 2").alias("pairs"))
+    parts = rooted(lists, roots, "nid").groupBy(*key, "nid_root").agg(F.min(deep).alias("p"), F.count("*").alias("c"))
+    most = F.max(F.struct("c", "nid_root")).alias("most")
+    found = parts.groupBy(*key).agg(F.min("p").alias("p"), most, (F.sum("c") - F.max("c")).alias("others")).where("others > 0")
+    return found.select(*key, F.col("p.nid").alias("hub"), F.col("most.nid_root").alias("main"), F.expr("others * most.c + others * (others - 1) div 2").alias("pairs"))
 
 
-def hubs_of(t: Tables, lists: DataFrame, first: DataFrame) -> DataFrame:
-    """The lists of two members or more (group, value, nid, n, pos), with a hub for each.
+def hubs_of(t: Tables, lists: DataFrame, first: DataFrame, few: bool) -> DataFrame:
+    """The lists of `first` (group, value, nid, n, pos), with a hub for each.
 
     A list points to its first hub; a node's home is the one that most of its lists point
     to; the list's hub is the home of most of its members, which is a member of the group, though not of each list.
     """
     key = ["group", "value"]
-    some = marked_by(lists, "value", first, "value", "some").where("some").drop("some")  # most values are in no shared list
-    live = t.write(some.join(first.drop("members"), key))
+    hub = first.select(*key, "hub")
+    if few:
+        live = t.write(lists.join(F.broadcast(hub), key))
+    else:
+        some = marked_by(lists, "value", first, "value", "some").where("some").drop("some")  # most values are in no shared list
+        live = t.write(some.join(hub, key))
     homes = live.groupBy("group", "nid", "hub").agg(F.count("*").alias("c")).groupBy("group", "nid").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("home"))
     at_home = t.write(live.drop("hub").join(homes, ["group", "nid"]))
     hubs = at_home.groupBy(*key, "home").agg(F.count("*").alias("c")).groupBy(*key).agg(F.max_by("home", F.struct("c", -F.col("home"))).alias("hub"))
@@ -328,18 +353,19 @@ def linked(t: Tables, lists: DataFrame, verifier: Verifier, percent: int) -> Dat
         return out
 
     nodes = verifier.brief.count()
+    first = t.write(shared_lists(lists))
     while True:
-        first = t.write(shared_lists(lists))
-        crossing = first.agg(F.coalesce(F.sum(F.expr("members * (members - 1) div 2")), F.lit(0))).first()[0]
-        if crossing <= PAIRS_A_NODE * nodes:  # then all pairs of the lists cost less than hubs
-            at = rooted(lists.join(first.select("group", "value"), ["group", "value"], "left_semi"), roots, "nid")
-            x, y = at.alias("x"), at.alias("y")
-            same = (F.col("x.group") == F.col("y.group")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.nid") < F.col("y.nid")) & (F.col("x.nid_root") != F.col("y.nid_root"))
+        crossing, shared = first.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.count("*")).first()
+        if crossing <= PAIRS_A_NODE * nodes:  # then these pairs cost less than hubs
             if crossing:
+                mains = first.select("group", "value", "main")
+                at = rooted(lists.join(F.broadcast(mains) if shared <= FEW else mains, ["group", "value"]), roots, "nid").withColumn("inner", F.coalesce(F.col("nid_root") == F.col("main"), F.lit(False)))
+                x, y = at.where("not inner").alias("x"), at.alias("y")
+                same = (F.col("x.group") == F.col("y.group")) & (F.col("x.value") == F.col("y.value")) & (F.col("y.inner") | (F.col("x.nid") < F.col("y.nid"))) & (F.col("x.nid_root") != F.col("y.nid_root"))
                 roots = met(x.join(y, same & possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)).select(*ordered("x.nid", "y.nid")))
             t.drop(lists, first, *([before] if before else []))
             return roots
-        live = hubs_of(t, lists, first)
+        live = hubs_of(t, lists, first, shared <= FEW)
         t.drop(lists, first)
         # Hubs and the members that may be near them.
         at_hub = live.where("nid = hub").select("group", "value", F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
@@ -390,10 +416,9 @@ def linked(t: Tables, lists: DataFrame, verifier: Verifier, percent: int) -> Dat
         rank = F.row_number().over(Window.partitionBy("group", "nid").orderBy("times", "value"))
         heads = values.join(often_in, ["group", "value"]).withColumn("pos", rank).join(wanted, ["group", "nid"]).where("pos <= keep and times > 1")
         heads = t.write(heads.select("group", "value", "nid", "n", (F.col("pos") - 1).cast("long").alias("pos")))
-        open_ = rooted(heads, roots, "nid").groupBy("group", "value").agg(F.min("nid_root").alias("r"), F.max("nid_root").alias("s")).where("r <> s").select("group", "value")
-        lists = t.write(heads.join(open_, ["group", "value"], "left_semi"))
-        t.drop(live, close, near, others, around, members, heads, *([before] if before else []))
-        before = values
+        first = t.write(shared_lists(heads, roots))
+        t.drop(live, close, near, others, around, members, *([before] if before else []))
+        lists, before = heads, values
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -86,6 +86,21 @@ def test_near_groups_of_many_variants(spark, words, monkeypatch, pairs_a_node):
     assert answer(nearby.near_duplicates(df, 3, 85)) == brute(out, 3, 85)
 
 
+def test_lists_count_pairs_of_different_components(spark):
+    lists = spark.createDataFrame([(0, 7, k, 9, 0) for k in range(100)] + [(0, 8, 1, 9, 1), (0, 8, 2, 9, 1)], "group long, value long, nid long, n long, pos long")
+    assert {r["value"]: r["pairs"] for r in nearby.shared_lists(lists).collect()} == {7: 4950, 8: 1}
+    roots = spark.createDataFrame([(k, 0) for k in range(97)], "nid long, root long")
+    got = nearby.shared_lists(lists, roots).collect()  # 97 nodes of one component, and 3 others
+    assert [(r["value"], r["main"], r["pairs"]) for r in got] == [(7, 0, 3 * 97 + 3)]
+
+
+@pytest.mark.parametrize(("few", "pairs_a_node"), [(0, 0), (0, 2), (1 << 20, 2)])
+def test_near_with_tables_that_are_few_or_many(spark, docs, texts, monkeypatch, few, pairs_a_node):
+    monkeypatch.setattr(nearby, "FEW", few)
+    monkeypatch.setattr(nearby, "PAIRS_A_NODE", pairs_a_node)
+    assert answer(nearby.near_duplicates(docs, 3, 85)) == brute(texts, 3, 85)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 12)] + [(100, 101), (103, 101), (5, 50)]
     got = {r["nid"]: r["root"] for r in nearby.components(Tables(spark), spark.createDataFrame(edges, "a long, b long")).collect()}
