@@ -73,18 +73,19 @@ def sequences(texts):
 
 def context_sums(batches):
     """Sums of near index vectors over the rows of a task, as rows of GROUP buckets."""
-    vectors, sums = index_vectors(), np.zeros((BUCKETS, DIM), np.float64)  # whole numbers, the same in any order
+    vectors, sums = index_vectors().astype(np.int8), np.zeros((BUCKETS, DIM), np.float64)  # whole numbers, the same in any order
     for b in pieces(batches):
         for held, _ in sequences(b.column(0).to_pylist()):
             ids, text = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
+            own = vectors[ids]
+            near = np.zeros_like(own)  # of each token, 2 * REACH vectors of -1 to 1 at most
             for step in range(1, REACH + 1):
-                same = text[step:] == text[:-step]
-                a, z = ids[:-step][same], ids[step:][same]
-                for at, near in ((a, z), (z, a)):
-                    if len(at):
-                        order = np.argsort(at, kind="stable")
-                        first = np.flatnonzero(np.diff(at[order], prepend=-1))
-                        sums[at[order][first]] += np.add.reduceat(vectors[near[order]], first)
+                same = (text[step:] == text[:-step])[:, None]
+                near[:-step] += own[step:] * same
+                near[step:] += own[:-step] * same
+            order = np.argsort(ids.astype(np.uint16), kind="stable")  # of 16 bits: a radix sort
+            first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+            sums[ids[order[first]]] += np.add.reduceat(near[order], first, dtype=np.int32)
     block, rows = TaskContext.get().partitionId(), sums.reshape(-1, GROUP * DIM)
     used = np.flatnonzero(rows.any(axis=1))
     yield pa.record_batch([pa.array(used, pa.int32()), pa.array([block % 64] * len(used), pa.int32()), pa.array([r.tobytes() for r in rows[used]], pa.binary())], ["part", "salt", "sums"])

@@ -2,9 +2,11 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -250,3 +252,22 @@ def test_keys_of_letters():
     assert secrets.redact("key ZxQpLkVbNmTrWqYsJhGfDc here").startswith("key [SECRET]")
     for words in ("getHttpResponseCodeFromServer", "AbstractSingletonProxyFactoryBean", "com/example/MyApp/ViewController", "Library/Developer/iOSSupport/README", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT", "well-known_words/and-Other-Names", "thequickbrownfoxjumpsoverthelazydog", "=-=-=-=-=-=-=-=-=-=-=-=-"):
         assert not secrets.scan(words), words
+
+
+def test_context_sums_sort_a_chunk_once(monkeypatch, words):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 1, 2, 3, 50, 400)]
+    sorts, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **how: sorts.append(x.dtype.itemsize) or sort(x, **how))
+    monkeypatch.setattr(quality.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    (got,) = quality.context_sums([pa.record_batch([pa.array(texts)], ["text"])])
+    want, vectors = np.zeros((quality.BUCKETS, quality.DIM)), quality.index_vectors()
+    for t in texts:
+        ids = [quality._buckets[w] for w in quality.WORD.findall(t)]
+        for k, a in enumerate(ids):
+            for z in ids[max(0, k - quality.REACH) : k] + ids[k + 1 : k + 1 + quality.REACH]:
+                want[a] += vectors[z]
+    sums = np.zeros((quality.BUCKETS // quality.GROUP, quality.GROUP * quality.DIM))
+    for part, x in zip(got.column(0).to_pylist(), got.column(2).to_pylist(), strict=True):
+        sums[part] = np.frombuffer(x, np.float64)
+    assert (sums.reshape(want.shape) == want).all() and sorts == [2]  # once, by 16 bits
