@@ -48,6 +48,8 @@ PAIRS_A_NODE = 2
 FREQUENT = 100_000
 #: Pairs, nodes or lists that are not more, which is measured, are broadcast (a row of them is at most 100 bytes).
 FEW = 50_000
+#: Whole sets that hold not more values together (8 MB), which is measured, are broadcast.
+FEW_VALUES = 1 << 20
 
 
 def finish(x: np.ndarray) -> np.ndarray:
@@ -182,11 +184,17 @@ def compared(batches):
         yield pa.record_batch([*(b.column(k) for k in range(4)), pa.array(both, pa.int64()), pa.array(own, pa.binary())], ["a", "b", "n1", "n2", "both", "own"])
 
 
-def with_both(pairs: DataFrame, held: DataFrame, column: str) -> DataFrame:
-    """a, b, their sizes and their values of the column."""
+def bounded(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def with_both(pairs: DataFrame, held: DataFrame, column: str, few: bool = False, brief: bool = False) -> DataFrame:
+    """a, b, their sizes and their values of the column; few pairs are broadcast, with one value each if these are brief."""
     right = held.select(F.col("nid").alias("b"), F.col("n").alias("n2"), F.col(column).alias("y"))
     left = held.select(F.col("nid").alias("a"), F.col("n").alias("n1"), F.col(column).alias("x"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n1", "n2", "x", "y")
+    one = (F.broadcast(pairs) if few else pairs).join(left, "a")
+    return (F.broadcast(one) if few and brief else one).join(right, "b").select("a", "b", "n1", "n2", "x", "y")
 
 
 def alike(percent: int, both="both", n1="n1", n2="n2"):
@@ -200,18 +208,28 @@ class Verifier:
         self.t, self.docs, self.nodes, self.size = t, docs, nodes, size
         self.brief = t.write(nodes.select("nid", "n", "sketch").mapInArrow(shortened, "nid long, n long, sketch binary"))
 
-    def near(self, pairs: DataFrame, least: float) -> DataFrame:
-        return self.t.write(with_both(pairs, self.brief, "sketch").mapInArrow(estimate(least), "a long, b long"))
+    def near(self, pairs: DataFrame, least: float, few: bool) -> DataFrame:
+        return self.t.write(with_both(pairs, self.brief, "sketch", few, brief=True).mapInArrow(estimate(least), "a long, b long"))
 
-    def whole(self, pairs: DataFrame, few: bool) -> DataFrame:
-        """nid, n and the whole set of each node on a pair; few pairs need no bitmaps, and only the texts found are shuffled."""
+    def whole(self, pairs: DataFrame, few: bool) -> tuple[DataFrame, DataFrame, int]:
+        """nid, n and the whole set of each node on a pair, the table to drop after them, and how many values they hold.
+
+        Few pairs need no bitmaps, only the texts found are shuffled, and none are read if every set is kept whole.
+        """
         size, t = self.size, self.t
-        ids = t.write(pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct())
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("nid"))
         if few:
             some = self.nodes.join(F.broadcast(ids), "nid", "left_semi")
         else:
+            ids = t.write(ids.distinct())
             some = marked_by(self.nodes, "nid", ids, "nid", "some").where("some").drop("some").join(ids, "nid", "left_semi")
         needed = t.write(some.select("nid", "n", "node", "rep_id", "rep_tag", F.when(F.col("n") <= K, F.col("sketch")).alias("sketch")))
+        if not few:
+            t.drop(ids)
+        values, built_sets = needed.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("sketch").isNull())).first()
+        kept = needed.where("sketch is not null").select("nid", "n", F.col("sketch").alias("whole"))
+        if not built_sets:
+            return kept, needed, values
         large = needed.where("sketch is null").select("nid", "node", "rep_id", "rep_tag")
 
         def built(batches):
@@ -227,17 +245,18 @@ class Verifier:
             texts = marked_by(texts, "tag", large, "rep_tag", "some").where("some").drop("some")
         held = texts.join(large, (F.col("tag") == F.col("rep_tag")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("nid", "node", "text")
         made = held.groupBy("nid", "node").agg(F.first("text").alias("text")).mapInArrow(built, "nid long, n long, whole binary")
-        out = t.write(needed.where("sketch is not null").select("nid", "n", F.col("sketch").alias("whole")).union(made))
-        t.drop(ids, needed)
-        return out
+        out = t.write(kept.union(made))
+        t.drop(needed)
+        return out, out, values
 
     def compare(self, pairs: DataFrame, own: bool = False) -> DataFrame:
         """a, b, n1, n2, both and, if asked for, own."""
         few = 2 * pairs.count() <= FEW
-        sets = self.whole(pairs, few)
-        done = with_both(F.broadcast(pairs) if few else pairs, sets, "whole").mapInArrow(compared, "a long, b long, n1 long, n2 long, both long, own binary")
+        sets, table, values = self.whole(pairs, few)
+        small = few and values <= FEW_VALUES
+        done = with_both(pairs, F.broadcast(sets) if small else sets, "whole", few and not small).mapInArrow(compared, "a long, b long, n1 long, n2 long, both long, own binary")
         out = self.t.write(done if own else done.drop("own"))
-        self.t.drop(sets)
+        self.t.drop(table)
         return out
 
 
@@ -246,31 +265,37 @@ def ordered(x: str, y: str, names: str = "ab") -> list:
 
 
 def components(t: Tables, edges: DataFrame) -> DataFrame:
-    """nid and root (the least nid reachable) of every node on an edge (a, b), by alternating large and small stars."""
+    """nid and root (the least nid reachable) of every node on an edge (a, b), by alternating large and small stars.
 
-    def stars(pairs: DataFrame, large: bool) -> DataFrame:
+    A star has no more rows than there are edges, so equal ones are left until the end; the least neighbours of few edges are broadcast.
+    """
+
+    def stars(pairs: DataFrame, large: bool, few: bool) -> DataFrame:
         both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
         near = both.union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"))) if large else pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = near.join(least, "u")
+        out = near.join(F.broadcast(least) if few else least, "u")
         if large:
             out = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        else:
-            out = out.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
-        out = out.where("a <> b")
-        return out if large else out.distinct()  # large stars have no more rows than edges
+        else:  # the least neighbour's row stands for u's own
+            out = out.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+        return out.where("a <> b")
 
     def settled(pairs: DataFrame) -> bool:
         """Whether each node points to one root and no root to another node."""
-        ends = pairs.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(pairs.select("b", F.lit(0), F.lit(1)))
-        return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+        ends = pairs.select(F.col("a").alias("v"), F.col("b").alias("up"), F.lit(0).alias("down")).union(pairs.select("b", F.lit(None).cast("long"), F.lit(1)))
+        return ends.groupBy("v").agg(F.min("up").alias("x"), F.max("up").alias("y"), F.max("down").alias("down")).where("x < y or (x is not null and down > 0)").isEmpty()
 
-    now = t.write(edges.where("a <> b").select(*ordered("b", "a", "ba")).distinct())
-    while not settled(now):
-        new = t.write(stars(stars(now, True), False))
+    now = t.write(edges.where("a <> b").select(*ordered("b", "a", "ba")))
+    few = 2 * now.count() <= FEW
+    while True:
+        new = t.write(stars(stars(now, True, few), False, few))
         t.drop(now)
         now = new
-    out = t.write(now.select(F.col("a").alias("nid"), F.col("b").alias("root")).union(now.select(F.col("b").alias("nid"), F.col("b").alias("root")).distinct()))
+        if settled(now):
+            break
+    ends = now.select(F.col("a").alias("nid"), F.col("b").alias("root")).union(now.select("b", "b"))
+    out = t.write(ends.groupBy("nid").agg(F.min("root").alias("root")))
     t.drop(now)
     return out
 
@@ -300,15 +325,17 @@ def hubs_of(t: Tables, lists: DataFrame, first: DataFrame, few: bool) -> DataFra
     key = ["group", "value"]
     hub = first.select(*key, "hub")
     if few:
-        live = t.write(lists.join(F.broadcast(hub), key))
+        live = lists.join(F.broadcast(hub), key)
     else:
         some = marked_by(lists, "value", first, "value", "some").where("some").drop("some")  # most values are in no shared list
-        live = t.write(some.join(hub, key))
-    homes = live.groupBy("group", "nid", "hub").agg(F.count("*").alias("c")).groupBy("group", "nid").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("home"))
-    at_home = t.write(live.drop("hub").join(homes, ["group", "nid"]))
+        live = some.join(hub, key)
+    # All that a node's home takes is in its own lists, so one shuffle by nodes does.
+    held = live.repartition("group", "nid").withColumn("c", F.count("*").over(Window.partitionBy("group", "nid", "hub")))
+    at_home = held.withColumn("home", F.max_by("hub", F.struct("c", -F.col("hub"))).over(Window.partitionBy("group", "nid")))
+    at_home = t.write(at_home.drop("hub", "c"))
     hubs = at_home.groupBy(*key, "home").agg(F.count("*").alias("c")).groupBy(*key).agg(F.max_by("home", F.struct("c", -F.col("home"))).alias("hub"))
-    out = t.write(at_home.drop("home").join(hubs, key))
-    t.drop(live, at_home)
+    out = t.write(at_home.drop("home").join(F.broadcast(hubs) if few else hubs, key))
+    t.drop(at_home)
     return out
 
 
@@ -330,6 +357,7 @@ def rooted(df: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
 def linked(t: Tables, lists: DataFrame, verifier: Verifier, percent: int) -> DataFrame:
     """nid and root of all nodes on a link between nodes that share a list (group, value, nid, n, pos). See the module's text."""
     roots = t.write(verifier.brief.where("false").select("nid", F.col("nid").alias("root")))
+    light = lambda df, few: F.broadcast(df) if few else df
     before = None  # the values, group by group, that no hub above holds
 
     def added(found: DataFrame) -> DataFrame:
@@ -343,7 +371,7 @@ def linked(t: Tables, lists: DataFrame, verifier: Verifier, percent: int) -> Dat
     def met(pairs: DataFrame) -> DataFrame:
         """The roots after all of these pairs are verified."""
         pairs = t.write(pairs.distinct())
-        likely = verifier.near(pairs, least_share(percent, BRIEF))
+        likely = verifier.near(pairs, least_share(percent, BRIEF), pairs.count() <= FEW)
         if likely.isEmpty():
             t.drop(pairs, likely)
             return roots
@@ -359,7 +387,7 @@ def linked(t: Tables, lists: DataFrame, verifier: Verifier, percent: int) -> Dat
         if crossing <= PAIRS_A_NODE * nodes:  # then these pairs cost less than hubs
             if crossing:
                 mains = first.select("group", "value", "main")
-                at = rooted(lists.join(F.broadcast(mains) if shared <= FEW else mains, ["group", "value"]), roots, "nid").withColumn("inner", F.coalesce(F.col("nid_root") == F.col("main"), F.lit(False)))
+                at = rooted(lists.join(light(mains, shared <= FEW), ["group", "value"]), bounded(roots), "nid").withColumn("inner", F.coalesce(F.col("nid_root") == F.col("main"), F.lit(False)))
                 x, y = at.where("not inner").alias("x"), at.alias("y")
                 same = (F.col("x.group") == F.col("y.group")) & (F.col("x.value") == F.col("y.value")) & (F.col("y.inner") | (F.col("x.nid") < F.col("y.nid"))) & (F.col("x.nid_root") != F.col("y.nid_root"))
                 roots = met(x.join(y, same & possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)).select(*ordered("x.nid", "y.nid")))
@@ -367,30 +395,35 @@ def linked(t: Tables, lists: DataFrame, verifier: Verifier, percent: int) -> Dat
             return roots
         live = hubs_of(t, lists, first, shared <= FEW)
         t.drop(lists, first)
+        few = live.count() <= FEW  # then nothing that is made of the lists has more rows, but for pairs
         # Hubs and the members that may be near them.
         at_hub = live.where("nid = hub").select("group", "value", F.col("n").alias("hub_n"), F.col("pos").alias("hub_pos"))
-        ahead = live.where("nid <> hub").join(at_hub, ["group", "value"], "left")
+        ahead = live.where("nid <> hub").join(light(at_hub, few), ["group", "value"], "left")
         meets = F.coalesce(possible(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), percent), F.lit(False))
-        asked = ahead.groupBy(F.col("nid").alias("a"), F.col("hub").alias("b")).agg(F.count("*").alias("c"), F.max(meets).alias("meets")).where("meets or c > 1").select("a", "b")
-        close = verifier.near(asked, min(NEAR, least_share(percent, BRIEF)))
+        asked = ahead.select(F.col("nid").alias("a"), F.col("hub").alias("b"), meets.alias("meets")).repartition("a")  # by a, which is joined next
+        asked = asked.groupBy("a", "b").agg(F.count("*").alias("c"), F.max("meets").alias("meets")).where("meets or c > 1").select("a", "b")
+        close = verifier.near(asked, min(NEAR, least_share(percent, BRIEF)), few)
         near = verifier.compare(close, own=True)
         roots = added(near)
+        at_roots, few_near = bounded(roots), near.count() <= FEW
 
         # Members that are not near the hub of a list meet all others of the list.
         beside = near.select(F.col("a").alias("nid"), F.col("b").alias("hub"), F.lit(True).alias("close"))
-        others = t.write(rooted(live.where("nid <> hub").join(beside, ["nid", "hub"], "left"), roots, "nid"))
+        others = t.write(rooted(live.where("nid <> hub").join(light(beside, few_near), ["nid", "hub"], "left"), at_roots, "nid"))
         x, y = others.where("close is null").alias("x"), others.alias("y")
         apart = (F.col("x.nid_root") != F.col("y.nid_root")) & (F.col("y.close") | (F.col("x.nid") < F.col("y.nid")))
         fits = possible(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), percent)
         same_list = (F.col("x.group") == F.col("y.group")) & (F.col("x.value") == F.col("y.value"))
-        strangers = x.join(y, same_list & F.coalesce(apart, F.lit(False)) & fits).select(*ordered("x.nid", "y.nid"))
+        strangers = light(x, few).join(y, same_list & F.coalesce(apart, F.lit(False)) & fits).select(*ordered("x.nid", "y.nid"))
 
         # Members near one hub: those that may be similar without a common value beyond the hubs meet now, others in lists of such values.
         asides = near.select(F.col("a").alias("nid"), F.col("b").alias("hub"), "n1", "own")
-        around = rooted(live.select("group", "hub", "nid").distinct().join(asides, ["hub", "nid"]), roots, "hub", "nid")
+        around = live.select("group", "hub", "nid").repartition("hub", "nid").distinct().join(asides, ["hub", "nid"])
+        around = rooted(around, at_roots, "hub", "nid")
         around = around.select(F.col("group").alias("outer"), F.xxhash64("group", "hub").alias("group"), "nid", F.col("n1").alias("n"), "own", F.col("nid_root").alias("root"), (F.col("nid_root") == F.col("hub_root")).alias("main"))
         mixed = around.groupBy("group").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("group")
-        around = t.write(around.join(mixed, "group", "left_semi"))
+        around = t.write(around.join(light(mixed, few or few_near and before is None), "group", "left_semi"))  # at first there is one group
+        few = around.count() <= FEW
         values = around.select("outer", "group", "nid", "n", "own").mapInArrow(spread, "outer long, group long, nid long, n long, value long")
         if before is not None:
             values = values.join(before.select(F.col("group").alias("outer"), "nid", "value"), ["outer", "nid", "value"], "left_semi")
@@ -400,23 +433,23 @@ def linked(t: Tables, lists: DataFrame, verifier: Verifier, percent: int) -> Dat
         kinds = members.groupBy("group", "n", "inside", "main").agg(F.count("*").alias("c"))
         u, v = kinds.where("not main").alias("u"), kinds.alias("v")
         enough = (100 + percent) * F.least("u.inside", "v.inside") >= percent * (F.col("u.n") + F.col("v.n"))
-        some = u.join(v, (F.col("u.group") == F.col("v.group")) & enough).select("u.group", *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "uv" for c in ("n", "inside", "main")))
+        some = light(u, few).join(v, (F.col("u.group") == F.col("v.group")) & enough).select("u.group", *(F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "uv" for c in ("n", "inside", "main")))
         of = lambda s: members.select("group", *(F.col(c).alias(f"{s}_{c}") for c in ("nid", "root", "n", "inside", "main")))
         for s in "uv":
-            some = some.join(of(s), ["group", f"{s}_n", f"{s}_inside", f"{s}_main"])
+            some = some.join(light(of(s), few), ["group", f"{s}_n", f"{s}_inside", f"{s}_main"])
         nested = some.where("u_root <> v_root").select(*ordered("u_nid", "v_nid"))
 
         roots = met(strangers.union(nested))
         # The next lists: of each member's values that the hubs lack, rare ones first, as many as must hold one that a similar member shares.
         smallest = members.groupBy("group").agg(F.min("n").alias("least"))
-        wanted = members.join(smallest, "group").withColumn("least", F.greatest("least", F.ceil(percent * F.col("n") / 100)))
+        wanted = members.join(light(smallest, few), "group").withColumn("least", F.greatest("least", F.ceil(percent * F.col("n") / 100)))
         need = F.ceil(percent * (F.col("n") + F.col("least")) / (100 + percent)) - F.col("inside")
         wanted = wanted.select("group", "nid", (F.col("n") - F.col("inside") - F.greatest(need, F.lit(1)) + 1).alias("keep"))
         often_in = values.groupBy("group", "value").agg(F.count("*").alias("times"))
         rank = F.row_number().over(Window.partitionBy("group", "nid").orderBy("times", "value"))
-        heads = values.join(often_in, ["group", "value"]).withColumn("pos", rank).join(wanted, ["group", "nid"]).where("pos <= keep and times > 1")
+        heads = values.join(often_in, ["group", "value"]).withColumn("pos", rank).join(light(wanted, few), ["group", "nid"]).where("pos <= keep and times > 1")
         heads = t.write(heads.select("group", "value", "nid", "n", (F.col("pos") - 1).cast("long").alias("pos")))
-        first = t.write(shared_lists(heads, roots))
+        first = t.write(shared_lists(heads, bounded(roots)))
         t.drop(live, close, near, others, around, members, *([before] if before else []))
         lists, before = heads, values
 
@@ -438,10 +471,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     lists = t.write(postings.select(F.lit(0).cast("long").alias("group"), "value", "nid", "n", "pos"))
     verifier = Verifier(t, docs, nodes, size)
     roots = linked(t, lists, verifier, percent)
-    found = roots.join(nodes.select("nid", "doc_id"), "nid")
+    found = nodes.select("nid", "doc_id").join(bounded(roots), "nid")
     least = t.write(found.groupBy("root").agg(F.min("doc_id").alias("component_id")))
-    reached = t.write(found.join(least, "root").select("nid", "component_id"))
-    classes = t.write(nodes.select("node", "nid", "doc_id").join(reached, "nid", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")))
+    reached = t.write(found.join(bounded(least), "root").select("nid", "component_id"))
+    classes = t.write(nodes.select("node", "nid", "doc_id").join(bounded(reached), "nid", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id")))
     t.drop(nodes, verifier.brief, roots, least, reached)
     whole = light.where("n > 0").join(classes, "node").select("doc_id", "n", "component_id")
     out = whole.union(light.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))

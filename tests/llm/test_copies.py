@@ -107,6 +107,21 @@ def test_components(spark):
     assert set(got) == {*range(13), 50, 100, 101, 103} and {got[k] for k in (*range(13), 50)} == {0} and {got[k] for k in (100, 101, 103)} == {100}
 
 
+def test_components_of_few_edges_take_few_shuffles(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    edges, number = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long"), spark.sparkContext._jsc.sc().newShuffleId
+    try:
+        for name in names:
+            spark.conf.set(name, "-1")  # sizes are unknown to Spark
+        before = number()
+        got = nearby.components(Tables(spark), edges)
+        assert number() - before < 30
+        assert {(r["nid"], r["root"]) for r in got.collect()} == {(k, 0) for k in range(41)}
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+
+
 def removed(texts):
     n, seen = repeats.LENGTH, Counter()
     bodies = [(i, (t or "").encode()) for i, t in texts]
