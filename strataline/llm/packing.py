@@ -45,6 +45,7 @@ def cut(capacity: int, end_id: int, vocab: str | None):
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "block", "rank"]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, types, strict=True)], names)
+        enc.clear()  # the worker goes on to other stages, where its words are no use
 
     return run
 

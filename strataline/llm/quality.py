@@ -36,14 +36,19 @@ HIDDEN, EPOCHS, MAX_LABELLED = 32, 150, 10_000
 
 
 class Buckets(dict):
+    """word -> bucket, for one task: workers live longer than tasks, and what one keeps stays in its memory through all later stages."""
+
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:
             self.clear()
         found = self[word] = zlib.crc32(word.encode()) % BUCKETS
         return found
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, WORD.findall(text)), np.int32)
+
 
-_buckets = Buckets()
+_buckets = Buckets()  # outside tasks
 
 
 def index_vectors() -> np.ndarray:
@@ -54,28 +59,28 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def sequences(texts):
-    """Chunks of about CHUNK tokens: (buckets, index of the text of each token); a long text may go on in the next chunk, which repeats its last tokens."""
-    held, owner, size = [], [], 0
-    for k, text in enumerate(texts):
-        ids = np.fromiter(map(_buckets.__getitem__, WORD.findall(text)), np.int32)
+def sequences(texts, buckets: Buckets):
+    """Chunks of about CHUNK tokens, as the buckets of each text's tokens; a long text may go on in the next chunk, which repeats its last tokens."""
+    held, size = [], 0
+    for text in texts:
+        ids = buckets.ids(text)
         for at in range(0, len(ids), CHUNK):
             part = ids[max(0, at - REACH) : at + CHUNK]
             held.append(part)
-            owner.append((k, at > 0))
             size += len(part)
             if size >= CHUNK:
-                yield held, owner
-                held, owner, size = [], [], 0
+                yield held
+                held, size = [], 0
     if held:
-        yield held, owner
+        yield held
 
 
 def context_sums(batches):
     """Sums of near index vectors over the rows of a task, as rows of GROUP buckets."""
     vectors, sums = index_vectors().astype(np.int8), np.zeros((BUCKETS, DIM), np.float64)  # whole numbers, the same in any order
+    buckets = Buckets()
     for b in pieces(batches):
-        for held, _ in sequences(b.column(0).to_pylist()):
+        for held in sequences(b.column(0).to_pylist(), buckets):
             ids, text = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
             own = vectors[ids]
             near = np.zeros_like(own)  # of each token, 2 * REACH vectors of -1 to 1 at most
@@ -112,25 +117,19 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return np.divide(out, norm, out=out, where=norm > 0)
 
 
-def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
-    """One row for each text: mean vector, mean absolute step, log of the length."""
+def pooled(texts: list[str], vectors: np.ndarray, buckets: Buckets = _buckets) -> np.ndarray:
+    """One row for each text: mean vector, mean absolute step, log of the length. No more than a text's own vectors are held at once."""
     n = len(texts)
-    mean, step, count, steps = np.zeros((n, DIM)), np.zeros((n, DIM)), np.zeros(n), np.zeros(n)
-    for held, owner in sequences(texts):
-        ids = np.concatenate(held)
-        v, ends = vectors[ids], np.cumsum([len(h) for h in held])
-        starts = ends - [len(h) for h in held]
-        which, again = np.array([k for k, _ in owner]), np.array([REACH * a for _, a in owner])
-        d = np.zeros_like(v)
-        np.abs(v[1:] - v[:-1], out=d[1:])
-        d[starts] = 0
-        for at, k in enumerate(which):  # rows repeated from the chunk before count once
-            s = starts[at] + again[at]
-            mean[k] += v[s : ends[at]].sum(0)
-            step[k] += d[s : ends[at]].sum(0)
-            count[k] += ends[at] - s
-            steps[k] += ends[at] - s - (not again[at])
-    return np.hstack([mean / np.maximum(count, 1)[:, None], step / np.maximum(steps, 1)[:, None], np.log1p(count)[:, None]]).astype(np.float32)
+    mean, step, count = np.zeros((n, DIM)), np.zeros((n, DIM)), np.zeros(n)
+    for k, text in enumerate(texts):
+        ids = buckets.ids(text)
+        count[k] = len(ids)
+        for at in range(0, len(ids), CHUNK):
+            v = vectors[ids[max(0, at - 1) : at + CHUNK]]  # from the last token before on
+            mean[k] += v[at > 0 :].sum(0)
+            d = v[1:] - v[:-1]
+            step[k] += np.abs(d, out=d).sum(0)
+    return np.hstack([mean / np.maximum(count, 1)[:, None], step / np.maximum(count - 1, 1)[:, None], np.log1p(count)[:, None]]).astype(np.float32)
 
 
 def train(x: np.ndarray, y: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
@@ -182,17 +181,18 @@ def with_quality(docs: DataFrame, labels: DataFrame, name: str = "score", max_la
     known = keyed(docs, id_col, text_col)
     context = docs.sparkSession.sparkContext
     vectors = context.broadcast(word_vectors(known))
+    buckets = Buckets()  # each task gets an empty copy
 
     def features(batches):
         for b in pieces(batches):
-            x = pooled(b.column(0).to_pylist(), vectors.value)
+            x = pooled(b.column(0).to_pylist(), vectors.value, buckets)
             yield pa.record_batch([b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["label", "x"])
 
     rows = labelled(known, labels, "quality", max_labelled).select("text", "label").mapInArrow(features, "label int, x binary").collect()
     rows = sorted(rows, key=lambda r: (r["label"], bytes(r["x"])))  # the same model whatever order rows come in
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows]).reshape(len(rows), 2 * DIM + 1)
     model = context.broadcast(train(x, np.array([r["label"] for r in rows], np.float64)))
-    return mapped_texts(docs, name, DoubleType(), lambda texts: probability(pooled(texts, vectors.value), model.value), text_col)
+    return mapped_texts(docs, name, DoubleType(), lambda texts: probability(pooled(texts, vectors.value, buckets), model.value), text_col)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -12,7 +13,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from strataline.llm import hamming, quality, registry, secrets, toxicity
+from strataline.llm import hamming, packing, quality, registry, secrets, toxicity
 
 from .test_copies import brute, lowered
 
@@ -271,3 +272,33 @@ def test_context_sums_sort_a_chunk_once(monkeypatch, words):
     for part, x in zip(got.column(0).to_pylist(), got.column(2).to_pylist(), strict=True):
         sums[part] = np.frombuffer(x, np.float64)
     assert (sums.reshape(want.shape) == want).all() and sorts == [2]  # once, by 16 bits
+
+
+def test_quality_holds_one_text_at_a_time_and_no_words_after_a_task(monkeypatch):
+    """What a worker keeps or allocates at once is memory of an executor through all later stages."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32)
+    texts = [" ".join(f"{a}{chr(97 + k % 26)}" for a in rng.choice(list("abcdefghij"), 600)) for k in range(256)]
+    quality.pooled(texts[:1], vectors)
+    tracemalloc.start()
+    got = quality.pooled(texts, vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_000_000
+    for k in (0, 255):
+        v = vectors[[zlib.crc32(w.encode()) % quality.BUCKETS for w in quality.WORD.findall(texts[k])]]
+        want = np.hstack([v.mean(0), np.abs(np.diff(v, axis=0)).mean(0), [np.log1p(len(v))]])
+        assert np.allclose(got[k], want, atol=1e-5)
+    monkeypatch.setattr(quality.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    before = len(quality._buckets)
+    list(quality.context_sums([pa.record_batch([pa.array([" ".join(f"only{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(500))])], ["text"])]))
+    assert len(quality._buckets) == before
+
+
+def test_packing_keeps_no_words_after_a_task(monkeypatch):
+    monkeypatch.setattr(packing.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    texts = ["some words of a text", "", "other words"]
+    (got,) = packing.cut(2048, 0, None)([pa.record_batch([pa.array([1, 2, 3]), pa.array(texts)], ["doc_id", "text"])])
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert got.column("length").to_pylist() == [len(library.encode(t, add_special_tokens=False).ids) + 1 for t in texts]
+    assert not len(packing.encoder(None))
