@@ -5,6 +5,9 @@ allowed is refused and leaves the state alone, so a repeated or late transition
 applied in order of time. A scan that is still pending or running `limit` seconds after its last accepted
 transition fails at that time: when a later row comes, or once the watermark says that none of that time can still come.
 So where batches begin and end changes nothing; rows behind the watermark are dropped.
+
+Spark's groups are hash buckets of scans, whose states are held as one Arrow table, since a call for each scan costs more
+than all that it does. A bucket's timer is that of its first scan due; whenever it is called, all that are due fail.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -24,6 +28,8 @@ from ..sources.storage import shared_dir
 ALLOWED = {"pending": {None}, "running": {"pending"}, "succeeded": {"running"}, "failed": {"pending", "running"}, "cancelled": {"pending", "running"}}
 OPEN, TIMED_OUT = {"pending", "running"}, "no transition within the limit"
 STATE = "status string, started_us long, finished_us long, error_message string, nth long, last_us long"
+SCANS = pa.schema([("scan_id", pa.int64()), ("status", pa.string()), ("started_us", pa.int64()), ("finished_us", pa.int64()), ("error_message", pa.string()), ("nth", pa.int64()), ("last_us", pa.int64())])
+BUCKETS = 4096
 OUT = f"scan_id long, at_us long, asked string, accepted boolean, {STATE}"  # nth: the how manyth transition of the scan, refused ones too
 
 
@@ -38,39 +44,58 @@ def step(state: tuple, asked: str, at_us: int, why: str | None) -> tuple[bool, t
     return True, (asked, started, None if asked in OPEN else at_us, why if asked == "failed" else None, nth, at_us)
 
 
-def transitions(changes: DataFrame, limit: int | None = None, late: str = "1 hour") -> DataFrame:
-    """changes(scan_id, status, at, error_message), a stream or a table -> a row for each transition: asked, accepted, and the scan's state after it. limit: seconds."""
+def packed(states: dict) -> bytes:
+    """scan_id -> state as a compressed Arrow stream."""
+    rows = [(key, *state) for key, state in states.items()]
+    table = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), SCANS, strict=True)], schema=SCANS)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, SCANS, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(held: bytes) -> dict:
+    columns = [c.to_pylist() for c in pa.ipc.open_stream(held).read_all().columns]
+    return {key: state for key, *state in zip(*columns, strict=True)}
+
+
+def transitions(changes: DataFrame, limit: int | None = None, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
+    """changes(scan_id, status, at, error_message), a stream or a table -> a row for each transition: asked, accepted, and the scan's state after it. limit: seconds; buckets: groups that scans are dealt to, part of a stream's checkpoint."""
     ship(changes.sparkSession)
 
+    def due(state: tuple) -> float:
+        return state[5] + limit * 1_000_000 if limit is not None and state[0] in OPEN else float("inf")
+
     def fold(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = tuple(None if pd.isna(x) else x for x in held.get) if held.exists else (None,) * 6
+        states = unpacked(held.get[0]) if held.exists else {}
         rows = []
 
-        def go(asked: str, at: int, why: str | None) -> None:
-            nonlocal state
-            done, state = step(state, asked, at, why)
-            rows.append((key[0], at, asked, done, *state))
-
-        def due() -> float:
-            return state[5] + limit * 1_000_000 if limit is not None and state[0] in OPEN else float("inf")
+        def go(scan: int | None, asked: str, at: int, why: str | None) -> None:
+            done, states[scan] = step(states.get(scan, (None,) * 6), asked, at, why)
+            rows.append((scan, at, asked, done, *states[scan]))
 
-        if held.hasTimedOut:
-            go("failed", int(due()), TIMED_OUT)
-        else:
+        if not held.hasTimedOut:
             found = pd.concat(list(frames)).sort_values(["at_us", "status"], kind="stable")
-            for asked, at, why in zip(found["status"], found["at_us"], found["error_message"], strict=True):
-                if int(at) > due():  # its timer was due before, whichever batch the row came in
-                    go("failed", int(due()), TIMED_OUT)
-                go(asked, int(at), why)
-        held.update(state)
-        if limit is not None and state[0] in OPEN:
-            held.setTimeoutTimestamp(max(int(due()) // 1000, held.getCurrentWatermarkMs()) + 1)
+            scans = [None if pd.isna(x) else int(x) for x in found["scan_id"]]
+            for scan, asked, at, why in zip(scans, found["status"], found["at_us"].tolist(), found["error_message"], strict=True):
+                if scan in states and int(at) > (end := due(states[scan])):  # its timer was due before, whichever batch the row came in
+                    go(scan, "failed", int(end), TIMED_OUT)
+                go(scan, asked, int(at), why)
+        if limit is not None:
+            now = held.getCurrentWatermarkMs()
+            ends = {scan: int(due(state)) for scan, state in states.items() if state[0] in OPEN}
+            over = [scan for scan, end in ends.items() if now > 0 and end // 1000 + 1 < now]
+            for scan in over:
+                go(scan, "failed", ends.pop(scan), TIMED_OUT)
+            if ends:
+                held.setTimeoutTimestamp(max(min(ends.values()) // 1000, now) + 1)
+        held.update((packed(states),))
         names = [c.split()[0] for c in OUT.split(", ")]
-        yield pd.DataFrame(rows, columns=names, dtype=object).astype({"accepted": bool, "started_us": "Int64", "finished_us": "Int64", "last_us": "Int64"})
+        yield pd.DataFrame(rows, columns=names, dtype=object).astype({"accepted": bool, "scan_id": "Int64", "started_us": "Int64", "finished_us": "Int64", "last_us": "Int64"})
 
-    stamped = changes.withWatermark("at", late).select("scan_id", "at", F.unix_micros("at").alias("at_us"), "status", "error_message")
+    stamped = changes.withWatermark("at", late).select(F.pmod(F.xxhash64("scan_id"), F.lit(buckets)).alias("bucket"), "scan_id", "at", F.unix_micros("at").alias("at_us"), "status", "error_message")
     timeout = GroupStateTimeout.NoTimeout if limit is None else GroupStateTimeout.EventTimeTimeout
-    return stamped.groupBy("scan_id").applyInPandasWithState(fold, OUT, STATE, "append", timeout)
+    return stamped.groupBy("bucket").applyInPandasWithState(fold, OUT, "scans binary", "append", timeout)
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:

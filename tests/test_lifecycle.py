@@ -55,3 +55,26 @@ def test_scans_that_never_end_fail(spark, tmp_path):
     assert got == {1: ("failed", lifecycle.TIMED_OUT), 2: ("failed", lifecycle.TIMED_OUT), 3: ("failed", "broke"), 9: ("pending", None)}
     refused = {(r["scan_id"], r["asked"]) for r in made.where("not accepted").collect()}
     assert refused == {(1, "succeeded")}  # after its timer; that of scan 2 was behind the watermark
+
+
+def test_scans_share_the_state_of_a_bucket(spark, tmp_path):
+    """Timers of scans that no row comes for, in buckets that rows come for in every batch, against each scan on its own."""
+    rng = random.Random(5)
+    batches = [[(s, rng.choice(["pending", "pending", "running", "succeeded", "cancelled"]), START + timedelta(minutes=30 * b, seconds=rng.randrange(1500)), f"e{s}") for s in range(60 * b, 60 * b + 90) for _ in range(rng.randint(0, 3))] for b in range(4)]
+    made = run(spark, tmp_path, batches, limit=1800, late="40 minutes", buckets=3)
+    states = [tuple(r) for r in made.select("scan_id", "nth").collect()]
+    assert len(states) == len(set(states))
+    us = lambda at: round((at - datetime(1970, 1, 1)).total_seconds() * 1_000_000)
+    end = us(max(at for rows in batches for _, _, at, _ in rows) - timedelta(minutes=40))
+    want = {}
+    for s, status, at, why in sorted((r for rows in batches for r in rows), key=lambda r: (r[2], r[1])):
+        state, done = want.get(s, ((None,) * 6, 0))
+        if state[0] in lifecycle.OPEN and us(at) > state[5] + 1_800_000_000:
+            state, done = lifecycle.step(state, "failed", state[5] + 1_800_000_000, lifecycle.TIMED_OUT)[1], done + 1
+        ok, state = lifecycle.step(state, status, us(at), why)
+        want[s] = (state, done + ok)
+    late = {s for s, (state, _) in want.items() if state[0] in lifecycle.OPEN and state[5] + 1_800_000_000 < end - 2000}
+    for s in late:
+        want[s] = (lifecycle.step(want[s][0], "failed", want[s][0][5] + 1_800_000_000, lifecycle.TIMED_OUT)[1], want[s][1] + 1)
+    got = {r["scan_id"]: (r["status"], r["error_message"], r["accepted"]) for r in lifecycle.last_states(made).collect()}
+    assert got == {s: (state[0], state[3], n) for s, (state, n) in want.items()} and len(late) > 20
